@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fichaflow import schemas as S
 from fichaflow.functions.times import local_day
-from fichaflow.functions.values import map_put
 from fichaflow.operators import blocks, coin_dedup, ingest
 from fichaflow.operators.machine_state import Heartbeat, after_sweep, snapshot, sweep, track_states
 
@@ -171,9 +170,6 @@ def replay(
 
 
 def event_rows(events: DataFrame) -> DataFrame:
-    """Event log as stored: JSON payload text, ``auto`` and ``test`` as JSON booleans are text."""
+    """Event log as stored, with the payload as JSON text (all values are strings)."""
     return events.select("id", "machine_id", "type", "timestamp", F.to_json("data").alias("data"), "local_day")
 
-
-def mark_test(data: Column) -> Column:
-    return map_put(data, "test", F.lit("true"))
