@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def nonempty(c: Column) -> Column:
@@ -28,25 +28,23 @@ def strip(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Number read from text; blank text is 0, anything unreadable is null."""
-    s = strip(c.cast("string"))
-    return F.when(s == "", F.lit(0.0)).when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
+    """Number read from text; white space is 0, empty or unreadable text is null.
 
-
-def finite(c: Column) -> Column:
-    return c.isNotNull() & (F.abs(c) < F.lit(float("inf"))) & ~F.isnan(c)
+    Kept short because callers repeat it: the cast trims and rejects by itself, the
+    pattern only shuts out words such as 'NaN' and suffixes such as '1d'.
+    """
+    return F.when(c.rlike(NUMERIC_TEXT), c.try_cast("double")).when(c.rlike(r"^\s+$"), F.lit(0.0))
 
 
 def whole_non_negative(c: Column) -> Column:
-    """Truncate towards zero; null when negative, unreadable or beyond the integer range."""
-    n = number(c)
-    whole = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
-    return F.when(finite(n) & (whole >= 0) & (whole <= 2147483647), whole.cast("int"))
+    """Truncated towards zero; null when negative, unreadable or beyond the integer range."""
+    whole = number(c).try_cast("int")
+    return F.when(whole >= 0, whole)
 
 
 def money_non_negative(c: Column) -> Column:
     n = number(c)
-    return F.when(finite(n) & (n >= 0), n.try_cast("decimal(12,2)"))
+    return F.when(n >= 0, n.try_cast("decimal(12,2)"))
 
 
 def present(c: Column) -> Column:

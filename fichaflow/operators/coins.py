@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fichaflow import schemas as S
 from fichaflow.functions.times import between_days, local_day, parse_bound, parse_upper_bound
-from fichaflow.functions.values import finite, number, strip
+from fichaflow.functions.values import number, strip
 
 
 def daily_income(
@@ -38,10 +38,10 @@ def total_coins(coins: DataFrame) -> DataFrame:
 
 def valid_coin_values(changes: DataFrame) -> DataFrame:
     """Changes with a usable key and a positive value; key trimmed and lower-cased."""
-    value = number(F.col("value"))
-    keyed = changes.withColumns({"type": F.lower(strip(F.col("type"))), "_value": value})
-    ok = (F.col("type") != "") & finite(F.col("_value")) & (F.col("_value") > 0)
-    return keyed.where(ok).withColumn("value", F.col("_value").cast(S.COIN_VALUE)).drop("_value")
+    keyed = changes.withColumns({
+        "type": F.lower(strip(F.col("type"))), "value": number(F.col("value").cast("string")).try_cast(S.COIN_VALUE),
+    })
+    return keyed.where((F.col("type") != "") & (F.col("value") > 0))
 
 
 def coin_value_upsert(changes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from fichaflow import schemas as S
 from fichaflow.functions.roles import not_listed_as_supervisor
 from fichaflow.functions.times import between_days
-from fichaflow.functions.values import is_ymd, money_non_negative, present, strip, whole_non_negative
+from fichaflow.functions.values import is_ymd, money_non_negative, strip, whole_non_negative
 from fichaflow.operators.sales import supervised_machines
 
 VALUES = (*S.REPORT_COUNTS, *S.REPORT_MONEY)
@@ -15,17 +15,13 @@ VALUES = (*S.REPORT_COUNTS, *S.REPORT_MONEY)
 
 def validate_reports(payloads: DataFrame) -> DataFrame:
     """Typed values and ``reject`` (null when valid); every count and amount is required."""
-    date_ok = is_ymd(F.col("week_end_date")) & F.col("week_end_date").try_cast("date").isNotNull()
-    typed = {c: F.when(present(F.col(c)), whole_non_negative(F.col(c))) for c in S.REPORT_COUNTS}
-    typed |= {c: F.when(present(F.col(c)), money_non_negative(F.col(c))) for c in S.REPORT_MONEY}
-    rows = payloads.withColumns(typed).withColumn("_date_ok", date_ok)
-    missing = F.lit(False)
-    for c in VALUES:
-        missing = missing | F.col(c).isNull()
-    reject = F.when(~F.col("_date_ok"), "invalid_date").when(missing, "invalid_payload")
-    return rows.withColumns({
-        "reject": reject, "week_end_date": F.col("week_end_date").try_cast("date"), "daily": is_daily(),
-    }).drop("_date_ok")
+    typed = {c: whole_non_negative(F.col(c)) for c in S.REPORT_COUNTS}
+    typed |= {c: money_non_negative(F.col(c)) for c in S.REPORT_MONEY}
+    typed |= {"week_end_date": F.when(is_ymd(F.col("week_end_date")), F.col("week_end_date").try_cast("date"))}
+    rows = payloads.withColumns(typed)
+    incomplete = F.array_contains(F.array(*[F.col(c).isNull() for c in VALUES]), F.lit(True))
+    reject = F.when(F.col("week_end_date").isNull(), "invalid_date").when(incomplete, "invalid_payload")
+    return rows.withColumns({"reject": reject, "daily": is_daily()})
 
 
 def is_daily():

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fichaflow import schemas as S
 from fichaflow.functions.roles import acts_as_supervisor, is_operator, not_listed_as_supervisor
 from fichaflow.functions.times import between_days
-from fichaflow.functions.values import finite, is_ymd, number, present, whole_non_negative
+from fichaflow.functions.values import is_ymd, money_non_negative, number, present, whole_non_negative
 from fichaflow.operators import blocks
 from fichaflow.operators.blocks import BLK, HotKeys, find_hot_keys, hot_blocks, with_blocks
 
@@ -22,27 +22,32 @@ def validate_sales(payloads: DataFrame) -> DataFrame:
     empty is rejected when the field itself was sent (``has_entry_coins``). Fractional
     coins do not fit the stored integer and are rejected too.
     """
-    raw_coins = F.col("coins")
-    coins = F.when(raw_coins.isNotNull(), number(raw_coins))
-    prize = F.when(present(F.col("prize_bs")), number(F.col("prize_bs")))
+    coins = F.when(F.col("coins") == "", F.lit(0.0)).otherwise(number(F.col("coins")))
     optional = lambda c: F.when(present(F.col(c)), whole_non_negative(F.col(c))).otherwise(F.lit(0))
-    entry = F.when(present(F.col("entry_coins")), whole_non_negative(F.col("entry_coins")))
-    date_ok = is_ymd(F.col("date")) & F.col("date").try_cast("date").isNotNull()
+    typed = payloads.withColumns({
+        "_coins": coins,
+        "_prize": money_non_negative(F.col("prize_bs")),
+        "_lost": optional("lost"),
+        "_returned": optional("returned"),
+        "_entry": whole_non_negative(F.col("entry_coins")),
+        "_day": F.when(is_ymd(F.col("date")), F.col("date").try_cast("date")),
+    })
+    whole = F.col("_coins").try_cast("int")
     reject = (
-        F.when(~present(F.col("machine_id")) | ~date_ok | ~finite(coins) | (coins < 0), "invalid_payload")
-        .when(coins != F.floor(coins), "fractional_coins")
-        .when(present(F.col("prize_bs")) & (~finite(prize) | (prize < 0)), "invalid_prize")
+        F.when(
+            ~present(F.col("machine_id")) | F.col("_day").isNull() | ~F.coalesce(F.col("_coins") >= 0, F.lit(False)),
+            "invalid_payload",
+        )
+        .when(F.coalesce(whole != F.col("_coins"), F.lit(True)), "fractional_coins")
+        .when(present(F.col("prize_bs")) & F.col("_prize").isNull(), "invalid_prize")
         .when(F.col("_lost").isNull() | F.col("_returned").isNull(), "invalid_lost_returned")
         .when(F.col("has_entry_coins") & F.col("_entry").isNull(), "invalid_entry_coins")
     )
-    typed = payloads.withColumns({"_lost": optional("lost"), "_returned": optional("returned"), "_entry": entry})
-    typed = typed.withColumn("reject", reject)
-    return typed.withColumns({
-        "sale_date": F.col("date").try_cast("date"),
-        "coins": F.when(F.col("reject").isNull(), coins.try_cast("int")),
-        "prize_bs": F.when(F.col("reject").isNull(), F.round(prize, 2).try_cast(S.MONEY)),
+    return typed.withColumn("reject", reject).withColumns({
+        "sale_date": F.col("_day"), "coins": F.when(F.col("reject").isNull(), whole),
+        "prize_bs": F.when(F.col("reject").isNull(), F.col("_prize")),
         "lost": F.col("_lost"), "returned": F.col("_returned"), "entry_coins": F.col("_entry"),
-    }).drop("_lost", "_returned", "_entry", "date", "has_entry_coins")
+    }).drop("_coins", "_prize", "_lost", "_returned", "_entry", "_day", "date", "has_entry_coins")
 
 
 def write_scope(rows: DataFrame, users: DataFrame, user_machines: DataFrame | None) -> DataFrame:

@@ -133,7 +133,7 @@ order_lines AS (
 sale_changes AS (
   SELECT l_orderkey * 8 + l_linenumber AS seq, o_custkey AS employee_id, {mid('suppkey')} AS machine_id,
          day AS sale_date, CAST(quantity AS INTEGER) AS coins, CASE WHEN flag = 'A' THEN 'record' END AS record_message,
-         CASE WHEN discount > 0.05 THEN CAST(round(price / 100, 2) AS DECIMAL(12, 2)) END AS prize_bs,
+         CASE WHEN discount > 0.05 THEN CAST((CAST(round(price * 100) AS BIGINT) // 100) / 100 AS DECIMAL(12, 2)) END AS prize_bs,
          CAST(round(tax * 100) AS INTEGER) AS lost, CASE WHEN flag = 'R' THEN 1 ELSE 0 END AS returned,
          CASE WHEN l_linenumber % 2 = 1 THEN CAST(quantity AS INTEGER) END AS entry_coins,
          CAST(day AS TIMESTAMP) AS changed_at

@@ -243,10 +243,10 @@ report_lines AS (
     CAST(sum(CASE WHEN suppkey % 2 = 1 THEN round(tax * 100) ELSE 0 END) AS INTEGER) AS agilidad_lost,
     CAST(sum(CASE WHEN suppkey % 2 = 1 AND flag = 'R' THEN 1 ELSE 0 END) AS INTEGER) AS agilidad_returned,
     CAST(sum(l_linenumber) AS INTEGER) AS remaining_coins,
-    CAST(sum(CAST(round(price / 100, 2) AS DECIMAL(12, 2))) AS DOUBLE) AS pago_movil,
+    CAST(sum(CAST((CAST(round(price * 100) AS BIGINT) // 100) / 100 AS DECIMAL(12, 2))) AS DOUBLE) AS pago_movil,
     CAST(sum(CAST(round(discount, 2) AS DECIMAL(12, 2))) AS DOUBLE) AS dolares,
     CAST(sum(CAST(round(tax, 2) AS DECIMAL(12, 2))) AS DOUBLE) AS bolivares,
-    CAST(sum(CAST(round(price / 1000, 2) AS DECIMAL(12, 2))) AS DOUBLE) AS premio,
+    CAST(sum(CAST((CAST(round(price * 100) AS BIGINT) // 1000) / 100 AS DECIMAL(12, 2))) AS DOUBLE) AS premio,
     CAST(sum(CAST(round(price, 2) AS DECIMAL(12, 2))) AS DOUBLE) AS total
   FROM order_lines GROUP BY ALL),
 report_changes AS (
@@ -497,7 +497,7 @@ def _(v):
 
 # ---- data quality -----------------------------------------------------------
 @query("broken_rules", sql("""
-SELECT seq, array_to_string(list_filter([CASE WHEN coins - 25 < 0 THEN 'coins_negative' END, CASE WHEN lost - 2 < 0 THEN 'lost_negative' END], x -> x IS NOT NULL), ',') AS violations
+SELECT seq, concat_ws(',', CASE WHEN coins - 25 < 0 THEN 'coins_negative' END, CASE WHEN lost - 2 < 0 THEN 'lost_negative' END) AS violations
 FROM sale_changes WHERE coins < 25 OR lost < 2"""))
 def _(v):
     odd = v.sale_changes().withColumns({"coins": F.col("coins") - 25, "lost": F.col("lost") - 2, "returned": F.lit(None).cast("int")})

@@ -20,6 +20,12 @@ def machine_id(key: Column) -> Column:
     )
 
 
+def _share(amount: Column, parts: int) -> Column:
+    """Whole cents of an amount divided into parts, without rounding doubles."""
+    cents = F.floor(F.round(amount * 100).cast("long") / parts)
+    return (cents / 100).cast("decimal(12,2)")
+
+
 class SampleViews:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -120,7 +126,7 @@ class SampleViews:
             F.col("day").alias("sale_date"),
             F.col("quantity").cast("int").alias("coins"),
             F.when(F.col("flag") == "A", "record").alias("record_message"),
-            F.when(F.col("discount") > 0.05, F.round(F.col("price") / 100, 2).cast("decimal(12,2)")).alias("prize_bs"),
+            F.when(F.col("discount") > 0.05, _share(F.col("price"), 100)).alias("prize_bs"),
             F.round(F.col("tax") * 100).cast("int").alias("lost"),
             F.when(F.col("flag") == "R", 1).otherwise(0).alias("returned"),
             F.when(line % 2 == 1, F.col("quantity").cast("int")).alias("entry_coins"),
@@ -171,10 +177,10 @@ class SampleViews:
             total(F.when(~boxeo, lost).otherwise(0)).alias("agilidad_lost"),
             total(F.when(~boxeo, returned).otherwise(0)).alias("agilidad_returned"),
             total(F.col("l_linenumber")).alias("remaining_coins"),
-            money(F.col("price") / 100).alias("pago_movil"),
+            F.sum(_share(F.col("price"), 100)).alias("pago_movil"),
             money(F.col("discount")).alias("dolares"),
             money(F.col("tax")).alias("bolivares"),
-            money(F.col("price") / 1000).alias("premio"),
+            F.sum(_share(F.col("price"), 1000)).alias("premio"),
             money(F.col("price")).alias("total"),
         )
         key = F.col("o_orderkey")
