@@ -12,6 +12,21 @@ from fichaflow.functions.machine_types import numbered_id, type_from_id
 from fichaflow.functions.times import to_millis
 
 
+# explicit schemas: no job to infer them
+TABLES = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
+
 def machine_id(key: Column) -> Column:
     return (
         F.when(key % 3 == 0, numbered_id(F.lit("Maquina_Boxeo_"), key))
@@ -31,7 +46,7 @@ class SampleViews:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def device_messages(self) -> DataFrame:
         e = self.table("events")
@@ -165,26 +180,26 @@ class SampleViews:
         """Reports as unchecked text: one per order, counts and money summed over its lines."""
         lines = self._order_lines()
         boxeo = F.col("suppkey") % 2 == 0
-        total = lambda c: F.sum(c).cast("long")
+        text = lambda c, name: F.sum(c).cast("string").alias(name)
+        count = lambda c, name: text(c.cast("long"), name)
         quantity, lost = F.col("quantity"), F.round(F.col("tax") * 100)
         returned = F.when(F.col("flag") == "R", 1).otherwise(0)
-        money = lambda c: F.sum(F.round(c, 2).cast("decimal(12,2)"))
+        money = lambda c: F.round(c, 2).cast("decimal(12,2)")
+        price, key = F.col("price"), F.col("o_orderkey")
         per = lines.groupBy("o_orderkey", "o_custkey", "day", "o_orderstatus").agg(
-            total(F.when(boxeo, quantity).otherwise(0)).alias("boxeo_coins"),
-            total(F.when(boxeo, lost).otherwise(0)).alias("boxeo_lost"),
-            total(F.when(boxeo, returned).otherwise(0)).alias("boxeo_returned"),
-            total(F.when(~boxeo, quantity).otherwise(0)).alias("agilidad_coins"),
-            total(F.when(~boxeo, lost).otherwise(0)).alias("agilidad_lost"),
-            total(F.when(~boxeo, returned).otherwise(0)).alias("agilidad_returned"),
-            total(F.col("l_linenumber")).alias("remaining_coins"),
-            F.sum(_share(F.col("price"), 100)).alias("pago_movil"),
-            money(F.col("discount")).alias("dolares"),
-            money(F.col("tax")).alias("bolivares"),
-            F.sum(_share(F.col("price"), 1000)).alias("premio"),
-            money(F.col("price")).alias("total"),
+            count(F.when(boxeo, quantity).otherwise(0), "boxeo_coins"),
+            count(F.when(boxeo, lost).otherwise(0), "boxeo_lost"),
+            count(F.when(boxeo, returned).otherwise(0), "boxeo_returned"),
+            count(F.when(~boxeo, quantity).otherwise(0), "agilidad_coins"),
+            count(F.when(~boxeo, lost).otherwise(0), "agilidad_lost"),
+            count(F.when(~boxeo, returned).otherwise(0), "agilidad_returned"),
+            count(F.col("l_linenumber"), "remaining_coins"),
+            text(_share(price, 100), "pago_movil"),
+            text(money(F.col("discount")), "dolares"),
+            text(money(F.col("tax")), "bolivares"),
+            F.when(key % 97 == 0, "").otherwise(F.sum(_share(price, 1000)).cast("string")).alias("premio"),
+            text(money(price), "total"),
         )
-        key = F.col("o_orderkey")
-        text = [c for c in per.columns if c not in ("o_orderkey", "o_custkey", "day", "o_orderstatus")]
         sunday = F.date_add("day", F.pmod(F.lit(8) - F.dayofweek("day"), F.lit(7)))
         return per.select(
             key.alias("seq"),
@@ -192,11 +207,7 @@ class SampleViews:
             F.when(key % 5 == 0, F.lit(11)).cast("long").alias("requested_employee_id"),
             F.when(key % 89 == 0, F.date_format(sunday, "yyyyMMdd")).otherwise(F.date_format(sunday, "yyyy-MM-dd")).alias("week_end_date"),
             F.when(F.col("o_orderstatus") == "F", " Diario ").otherwise("semanal").alias("report_kind"),
-            *[
-                F.when(key % 97 == 0, "").otherwise(F.col(c).cast("string")).alias(c) if c == "premio"
-                else F.col(c).cast("string").alias(c)
-                for c in text
-            ],
+            *per.columns[4:],
             F.col("day").cast("timestamp_ntz").alias("changed_at"),
         )
 
