@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fichaflow import schemas as S
 from fichaflow.functions.times import device_time, to_millis
-from fichaflow.functions.values import first_truthy, json_map, map_put, truthy_id
+from fichaflow.functions.values import first_truthy, json_map, let, map_put, truthy_id
 
 MISSING_FIELD, UNKNOWN_MACHINE = "missing_field", "unknown_machine"
 
@@ -40,9 +40,8 @@ def unique_id(messages: DataFrame) -> Column:
 
 def payload(data: Column, cantidad: Column) -> Column:
     """Payload map; its own ``cantidad`` wins, even when null, over the top-level one."""
-    m = json_map(data)
-    take_top = cantidad.isNotNull() & ~F.map_contains_key(m, F.lit("cantidad"))
-    return F.when(take_top, map_put(m, "cantidad", cantidad)).otherwise(m)
+    take_top = lambda m: cantidad.isNotNull() & ~F.map_contains_key(m, F.lit("cantidad"))
+    return let(json_map(data), lambda m: F.when(take_top(m), map_put(m, "cantidad", cantidad)).otherwise(m))
 
 
 def registry(machines: DataFrame) -> DataFrame:
@@ -95,8 +94,21 @@ def rejected(normalised: DataFrame) -> DataFrame:
 def logged_data(event: Column, suppressed: Column, uid: Column, test_mode: Column, raw: Column,
                 cantidad: Column) -> Column:
     """Payload as stored: merged amount, repeat reason, test mark and coin id."""
-    m = payload(raw, cantidad)
-    reason = F.coalesce(F.nullif(F.element_at(m, "reason"), F.lit("")), F.lit("duplicate_on"))
-    m = F.when(suppressed, map_put(m, "reason", reason)).otherwise(m)
-    m = F.when(test_mode, map_put(m, "test", F.lit("true"))).otherwise(m)
-    return F.when((event == "coin_inserted") & uid.isNotNull(), map_put(m, "id_unico", uid)).otherwise(m)
+    identified = (event == "coin_inserted") & uid.isNotNull()
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+
+    def merge(m: Column) -> Column:
+        reason = F.coalesce(F.nullif(F.element_at(m, "reason"), F.lit("")), F.lit("duplicate_on"))
+        take_top = cantidad.isNotNull() & ~F.map_contains_key(m, F.lit("cantidad"))
+        added = F.array_compact(F.array(
+            F.when(take_top, entry("cantidad", cantidad)),
+            F.when(suppressed, entry("reason", reason)),
+            F.when(test_mode, entry("test", F.lit("true"))),
+            F.when(identified, entry("id_unico", uid)),
+        ))
+        replaced = lambda k: (
+            ((k == "reason") & suppressed) | ((k == "test") & test_mode) | ((k == "id_unico") & identified)
+        )
+        return F.map_concat(F.map_filter(m, lambda k, _: ~replaced(k)), F.map_from_entries(added))
+
+    return let(json_map(raw), merge)

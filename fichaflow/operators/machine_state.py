@@ -98,7 +98,8 @@ def _block_carry(messages: DataFrame, heartbeat: Heartbeat, hot: HotKeys) -> Dat
         "_gap", F.col("_inner_gap") | heartbeat.missed(F.col("_carry_ping"), F.col("_first"))
     )
     summary = summary.withColumn("_carry_status", _status_before(w, BLK, F.col("status0"), -1))
-    return summary.select("machine_id", BLK, "_carry_status", "_carry_ping")
+    more = F.lead(BLK).over(w).isNotNull()
+    return summary.select("machine_id", BLK, "_carry_status", "_carry_ping", more.alias("_more_blocks"))
 
 
 def track_states(messages: DataFrame, heartbeat: Heartbeat, hot: HotKeys | None = None) -> DataFrame:
@@ -107,12 +108,16 @@ def track_states(messages: DataFrame, heartbeat: Heartbeat, hot: HotKeys | None
     ``messages`` come from :func:`ingest.accepted`; ``seq`` is the arrival number and
     ascends with ``received_at``. Added columns: ``status_before``, ``status_after``,
     ``event`` (a repeated on becomes a ping, marked ``suppressed_on``), ``auto_on``
-    (a ping that wakes a machine) and ``off_at`` (a timeout between the previous
-    message and this one). One shuffle, on machine and block.
+    (a ping that wakes a machine), ``off_at`` (a timeout between the previous message
+    and this one) and ``is_last`` (the machine's last message). One shuffle, on machine
+    and block.
     """
     rows = with_blocks(messages, "machine_id", hot)
     if hot is None:
-        rows = rows.withColumns({"_carry_status": F.lit(None).cast("string"), "_carry_ping": F.lit(None).cast("long")})
+        rows = rows.withColumns({
+            "_carry_status": F.lit(None).cast("string"), "_carry_ping": F.lit(None).cast("long"),
+            "_more_blocks": F.lit(False),
+        })
     else:
         rows = rows.join(_block_carry(messages, heartbeat, hot), ["machine_id", BLK], "left")
     rows = rows.withColumns({
@@ -127,12 +132,14 @@ def track_states(messages: DataFrame, heartbeat: Heartbeat, hot: HotKeys | None
         "off_at",
         F.when(F.col("_gap") & (left_by_previous == ACTIVE), from_micros(heartbeat.off_at(F.col("_prev")))),
     )
+    is_last = F.lead("seq").over(w).isNull() & ~F.coalesce("_more_blocks", F.lit(False))
+    scanned = scanned.withColumn("is_last", is_last)
     suppressed = (F.col("event") == "machine_on") & (F.col("status_before") == ACTIVE)
     event = F.when(suppressed, "ping").otherwise(F.col("event"))
     scanned = scanned.withColumns({"suppressed_on": suppressed, "event": event})
     auto_on = (F.col("event") == "ping") & (F.col("status_before") != ACTIVE)
     return scanned.withColumn("auto_on", auto_on).drop(
-        "_carry_status", "_carry_ping", "_in_status", "_in_ping", "_eff", "_prev", "_gap", BLK
+        "_carry_status", "_carry_ping", "_more_blocks", "_in_status", "_in_ping", "_eff", "_prev", "_gap", BLK
     )
 
 
@@ -154,14 +161,16 @@ def last_heartbeat(messages: DataFrame) -> DataFrame:
     return messages.groupBy("machine_id").agg(F.max("received_at").alias("last_ping"))
 
 
-def sweep(current: DataFrame, heartbeat: Heartbeat, as_of: Column) -> DataFrame:
-    """Machines of a snapshot that a sweep at ``as_of`` finds silent, with the off time."""
-    ping = micros(F.col("last_ping"))
-    silent = (F.col("status") == ACTIVE) & heartbeat.missed(ping, micros(as_of))
-    return current.where(silent).withColumn("off_at", from_micros(heartbeat.off_at(ping)))
+def found_silent(status: Column, last_ping: Column, heartbeat: Heartbeat, as_of: Column) -> Column:
+    """Whether a sweep at ``as_of`` switches a machine off."""
+    return (status == ACTIVE) & heartbeat.missed(micros(last_ping), micros(as_of))
+
+
+def silence_time(last_ping: Column, heartbeat: Heartbeat) -> Column:
+    return from_micros(heartbeat.off_at(micros(last_ping)))
 
 
 def after_sweep(current: DataFrame, heartbeat: Heartbeat, as_of: Column) -> DataFrame:
     """Snapshot with the machines found silent switched off."""
-    silent = (F.col("status") == ACTIVE) & heartbeat.missed(micros(F.col("last_ping")), micros(as_of))
+    silent = found_silent(F.col("status"), F.col("last_ping"), heartbeat, as_of)
     return current.withColumn("status", F.when(silent, INACTIVE).otherwise(F.col("status")))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fichaflow import schemas as S
 from fichaflow.functions.times import local_day
 from fichaflow.operators import blocks, coin_dedup, ingest
-from fichaflow.operators.machine_state import Heartbeat, after_sweep, snapshot, sweep, track_states
+from fichaflow.operators.machine_state import (
+    Heartbeat, after_sweep, found_silent, silence_time, snapshot, track_states,
+)
 
 # room around each arrival number for derived events
 ID_STRIDE = 4
@@ -23,10 +25,14 @@ def auto_on_id(seq: Column) -> Column:
     return seq * ID_STRIDE + 1
 
 
-def open_timeout_id(machine_id: Column, last_seq: Column) -> Column:
-    """Sweep after the last message; a machine without messages gets a negative id."""
-    silent = -1 - F.pmod(F.xxhash64(machine_id), F.lit(2**62))
-    return F.coalesce(last_seq * ID_STRIDE + 2, silent)
+def open_timeout_id(seq: Column) -> Column:
+    """Sweep after a machine's last message ``seq``."""
+    return seq * ID_STRIDE + 2
+
+
+def idle_timeout_id(machine_id: Column) -> Column:
+    """Sweep of a machine without messages: negative, apart from all others."""
+    return -2 - F.pmod(F.xxhash64(machine_id), F.lit(2**62))
 
 
 def timeout_id(seq: Column) -> Column:
@@ -62,39 +68,54 @@ class Replay:
             F.col("cantidad"),
         )
 
-        def row(event_id: Column, kind: Column, ts: Column, payload: Column, origin: str) -> Column:
+        def row(event_id: Column, kind: Column, ts: Column, payload: Column, origin: str, alert: Column) -> Column:
             return F.struct(
                 event_id.alias("id"), kind.alias("type"), ts.alias("timestamp"), payload.alias("data"),
-                F.lit(origin).alias("origin"),
+                F.lit(origin).alias("origin"), alert.alias("alert"),
             )
 
-        seq = F.col("seq")
+        seq, yes = F.col("seq"), F.lit(True)
+        admitted = coin_dedup.admission(F.col("status_after"), F.col("test_mode")) == coin_dedup.ACCEPTED
+        worth_alert = F.when(F.col("event") == "coin_inserted", admitted).otherwise(
+            F.col("event").isin("machine_on", "machine_off")
+        )
         own = F.when(
             F.col("verdict") == coin_dedup.ACCEPTED,
-            row(message_event_id(seq), F.col("event"), F.col("ts"), data, "message"),
+            row(message_event_id(seq), F.col("event"), F.col("ts"), data, "message", worth_alert),
         )
         waking = F.when(
-            F.col("auto_on"), row(auto_on_id(seq), F.lit("machine_on"), F.col("ts"), _auto("ping"), "auto_on")
+            F.col("auto_on"), row(auto_on_id(seq), F.lit("machine_on"), F.col("ts"), _auto("ping"), "auto_on", yes)
         )
         silent = F.when(
             F.col("off_at").isNotNull(),
-            row(timeout_id(seq), F.lit("machine_off"), F.col("off_at"), _auto("timeout"), "timeout"),
+            row(timeout_id(seq), F.lit("machine_off"), F.col("off_at"), _auto("timeout"), "timeout", yes),
         )
-        exploded = self.states.select("machine_id", F.explode(F.array_compact(F.array(silent, own, waking))).alias("e"))
+        rows = [silent, own, waking]
+        if self.as_of is not None:
+            ends = F.col("is_last") & found_silent(F.col("status_after"), F.col("received_at"), self.heartbeat, self.as_of)
+            off = silence_time(F.col("received_at"), self.heartbeat)
+            rows.append(F.when(ends, row(open_timeout_id(seq), F.lit("machine_off"), off, _auto("timeout"), "timeout", yes)))
+        exploded = self.states.select("machine_id", F.explode(F.array_compact(F.array(*rows))).alias("e"))
         events = exploded.select("machine_id", "e.*")
         if self.as_of is not None:
-            late = sweep(snapshot(self.states, self.machines), self.heartbeat, self.as_of).select(
-                F.col("id").alias("machine_id"),
-                open_timeout_id(F.col("id"), F.col("last_seq")).alias("id"),
-                F.lit("machine_off").alias("type"),
-                F.col("off_at").alias("timestamp"),
-                _auto("timeout").alias("data"),
-                F.lit("timeout").alias("origin"),
-            )
-            events = events.unionByName(late)
-        return events.select("id", "machine_id", "type", "timestamp", "data", "origin",
+            events = events.unionByName(self._idle_timeouts())
+        return events.select("id", "machine_id", "type", "timestamp", "data", "origin", "alert",
                              local_day(F.col("timestamp")).alias("local_day"))
 
+    def _idle_timeouts(self) -> DataFrame:
+        """Timeouts of machines that were on before the replay and sent nothing in it."""
+        silent = found_silent(F.col("status"), F.col("last_ping"), self.heartbeat, self.as_of)
+        heard = ingest.accepted(self.normalised).select(F.col("machine_id").alias("id"))
+        return self.machines.where(silent).join(heard, "id", "left_anti").select(
+            F.col("id").alias("machine_id"),
+            idle_timeout_id(F.col("id")).alias("id"),
+            F.lit("machine_off").alias("type"),
+            silence_time(F.col("last_ping"), self.heartbeat).alias("timestamp"),
+            _auto("timeout").alias("data"),
+            F.lit("timeout").alias("origin"),
+            F.lit(True).alias("alert"),
+        )
+
     def coin_outcomes(self) -> DataFrame:
         """Coin messages with their final disposition."""
         admitted = coin_dedup.admission(F.col("status_after"), F.col("test_mode"))
@@ -131,11 +152,17 @@ class Replay:
 
     def alert_feed(self) -> DataFrame:
         """Source rows of alerts: ledger coins and every on and off in the log."""
-        coin_ids = self.coins().select("id")
-        events = self.events()
-        power = events.where(F.col("type").isin("machine_on", "machine_off"))
-        coins = events.where(F.col("type") == "coin_inserted").join(coin_ids, "id", "left_semi")
-        return power.unionByName(coins)
+        return self.events().where("alert")
+
+    def stored(self, folder: str) -> "Replay":
+        """Same replay reading its states from a table written to a shared folder.
+
+        Worth it when several results are wanted: the state scan runs once and lost
+        executors cost a re-read, not a replay.
+        """
+        path = f"{folder.rstrip('/')}/states"
+        self.states.write.mode("overwrite").parquet(path)
+        return replace(self, states=self.states.sparkSession.read.schema(self.states.schema).parquet(path))
 
 
 def replay(
