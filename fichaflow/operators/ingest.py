@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fichaflow import schemas as S
-from fichaflow.functions.times import device_time, to_millis
+from fichaflow.functions.times import device_time, micros, to_millis
 from fichaflow.functions.values import first_truthy, json_map, let, map_put, truthy_id
 
-MISSING_FIELD, UNKNOWN_MACHINE = "missing_field", "unknown_machine"
+MISSING_FIELD, UNKNOWN_MACHINE, LATE = "missing_field", "unknown_machine", "late"
 
 
 def merge_aliases(messages: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def registry(machines: DataFrame) -> DataFrame:
     )
 
 
-def normalise(messages: DataFrame, machines: DataFrame) -> DataFrame:
+def normalise(messages: DataFrame, machines: DataFrame, max_delay_ms: int | None = None) -> DataFrame:
     """One row per message. Rejected ones carry ``reject``; the others are ready for replay.
 
     The registry carries no broadcast hint: Catalyst broadcasts it below the size
@@ -65,19 +65,23 @@ def normalise(messages: DataFrame, machines: DataFrame) -> DataFrame:
     missing = F.col("machine_id").isNull() | F.col("raw_event").isNull()
     received = to_millis(F.col("received_at"))
     event = map_event(F.col("raw_event"))
+    ts = device_time(F.col("timestamp"), received)
+    reject = F.when(missing, MISSING_FIELD).when(F.col("_known").isNull(), UNKNOWN_MACHINE)
+    if max_delay_ms is not None:
+        reject = reject.when(micros(received) - micros(ts) > max_delay_ms * 1000, LATE)
     return joined.select(
         "seq",
         received.alias("received_at"),
         "machine_id",
         event.alias("event"),
-        device_time(F.col("timestamp"), received).alias("ts"),
+        ts.alias("ts"),
         F.when(event == "coin_inserted", unique_id(messages)).alias("uid"),
         F.col("data").alias("raw_data"),
         "cantidad",
         "status0",
         "ping0",
         "test_mode",
-        F.when(missing, MISSING_FIELD).when(F.col("_known").isNull(), UNKNOWN_MACHINE).alias("reject"),
+        reject.alias("reject"),
     )
 
 

@@ -144,16 +144,18 @@ def track_states(messages: DataFrame, heartbeat: Heartbeat, hot: HotKeys | None
 
 
 def snapshot(states: DataFrame, machines: DataFrame) -> DataFrame:
-    """Registry with the status and last ping after the last message."""
+    """Registry with status, last ping and ``last_seq`` after the last message."""
     last = states.groupBy(F.col("machine_id").alias("id")).agg(
         F.max_by("status_after", "seq").alias("_status"), F.max("received_at").alias("_ping"),
-        F.max("seq").alias("last_seq"),
+        F.max("seq").alias("_seq"),
     )
     joined = machines.join(last, "id", "left")
+    earlier = F.col("last_seq") if "last_seq" in machines.columns else F.lit(None).cast("long")
     return joined.withColumns({
         "status": F.coalesce("_status", "status"),
         "last_ping": F.coalesce("_ping", "last_ping"),
-    }).drop("_status", "_ping")
+        "last_seq": F.coalesce("_seq", earlier),
+    }).drop("_status", "_ping", "_seq")
 
 
 def last_heartbeat(messages: DataFrame) -> DataFrame:

@@ -151,6 +151,13 @@ def _(v):
     return replayed(v, with_coins=False).snapshot().select("id", "name", "location", "type", "last_ping", "status")
 
 
+@query("late_messages_turned_away", O.over("""
+SELECT seq, machine_id, 'late' AS disposition FROM msgs WHERE rcv - ts > INTERVAL 1 HOUR"""))
+def _(v):
+    n = ingest.normalise(v.device_messages(), v.machines(), max_delay_ms=3600 * 1000)
+    return ingest.rejected(n).where(F.col("disposition") == ingest.LATE)
+
+
 @query("late_messages", O.over("""
 SELECT machine_id, count(*) AS messages, sum(CASE WHEN rcv - ts > INTERVAL 1 HOUR THEN 1 ELSE 0 END) AS late
 FROM msgs GROUP BY ALL"""))

@@ -106,9 +106,12 @@ class Replay:
         """Timeouts of machines that were on before the replay and sent nothing in it."""
         silent = found_silent(F.col("status"), F.col("last_ping"), self.heartbeat, self.as_of)
         heard = ingest.accepted(self.normalised).select(F.col("machine_id").alias("id"))
+        event_id = idle_timeout_id(F.col("id"))
+        if "last_seq" in self.machines.columns:
+            event_id = F.coalesce(open_timeout_id(F.col("last_seq")), event_id)
         return self.machines.where(silent).join(heard, "id", "left_anti").select(
             F.col("id").alias("machine_id"),
-            idle_timeout_id(F.col("id")).alias("id"),
+            event_id.alias("id"),
             F.lit("machine_off").alias("type"),
             silence_time(F.col("last_ping"), self.heartbeat).alias("timestamp"),
             _auto("timeout").alias("data"),
@@ -148,7 +151,7 @@ class Replay:
         current = snapshot(self.states, self.machines)
         if self.as_of is not None:
             current = after_sweep(current, self.heartbeat, self.as_of)
-        return current.drop("last_seq")
+        return current
 
     def alert_feed(self) -> DataFrame:
         """Source rows of alerts: ledger coins and every on and off in the log."""
@@ -175,15 +178,17 @@ def replay(
     last_coins: DataFrame | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
     with_coins: bool = True,
+    max_delay_ms: int | None = None,
 ) -> Replay:
     """Replay messages in arrival order from the registry's present state.
 
     ``known_ids`` (machine_id, uid) and ``last_coins`` (machine_id, last_coin_ts) carry
     coin history from before these messages. ``with_coins=False`` skips the coin
-    checks for callers that need only machine states.
+    checks for callers that need only machine states. ``max_delay_ms`` turns away
+    messages whose device time lies further behind their arrival; by default none.
     """
     heartbeat = heartbeat or Heartbeat()
-    normalised = ingest.normalise(messages, machines)
+    normalised = ingest.normalise(messages, machines, max_delay_ms)
     accepted = ingest.accepted(normalised)
     hot = blocks.find_hot_keys(accepted, "machine_id", block_rows)
     if with_coins:
@@ -194,9 +199,3 @@ def replay(
     else:
         judged = accepted.withColumn("verdict", F.lit(coin_dedup.ACCEPTED))
     return Replay(machines, normalised, track_states(judged, heartbeat, hot), heartbeat, as_of)
-
-
-def event_rows(events: DataFrame) -> DataFrame:
-    """Event log as stored, with the payload as JSON text (all values are strings)."""
-    return events.select("id", "machine_id", "type", "timestamp", F.to_json("data").alias("data"), "local_day")
-
