@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -19,6 +19,17 @@ def first_truthy(*cols: Column) -> Column:
     return F.coalesce(*[nonempty(c) for c in cols])
 
 
+def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns behind a one-row generator.
+
+    Filters on plain projected columns are pushed below the projection together with
+    their expressions, which are then evaluated again above; costly parsing is not
+    worth that.
+    """
+    others = [c for c in rows.columns if c not in columns]
+    return rows.select(*others, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def truthy_id(c: Column) -> Column:
     """An identifier, or null when it is empty, zero or false."""
     return F.when(~F.coalesce(c, F.lit("")).isin("", "0", "false"), c)

@@ -166,15 +166,19 @@ def power_sessions(
     start: str | None = None,
     end: str | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
+    hot: HotKeys | None | str = "find",
 ) -> DataFrame:
     """On and off rows of the period, each on with the minutes to the off right after it.
 
-    The day filter comes first, so a session cut by it stays open.
+    The day filter comes first, so a session cut by it stays open. Hot machines are
+    found by a count over ``events``; for a log that is not stored yet pass those of
+    the replay instead, which bound its rows too.
     """
     rows = _scoped(events, machine_id, start, end).where(F.col("type").isin(*POWER)).select(
         "machine_id", "id", "type", "timestamp"
     )
-    hot = find_hot_keys(rows, "machine_id", block_rows)
+    if isinstance(hot, str):
+        hot = find_hot_keys(rows, "machine_id", block_rows)
     w = Window.partitionBy("machine_id").orderBy("timestamp", "id")
     usual = rows if hot is None else rows.join(F.broadcast(hot.keys), "machine_id", "left_anti")
     out = usual.withColumn("dur", _session_minutes(F.lead("type").over(w), F.lead("timestamp").over(w)))

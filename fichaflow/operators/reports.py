@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from fichaflow import schemas as S
 from fichaflow.functions.roles import not_listed_as_supervisor
 from fichaflow.functions.times import between_days
-from fichaflow.functions.values import is_ymd, money_non_negative, strip, whole_non_negative
+from fichaflow.functions.values import computed_once, is_ymd, money_non_negative, strip, whole_non_negative
 from fichaflow.operators.sales import supervised_machines
 
 VALUES = (*S.REPORT_COUNTS, *S.REPORT_MONEY)
@@ -15,18 +17,16 @@ VALUES = (*S.REPORT_COUNTS, *S.REPORT_MONEY)
 
 def validate_reports(payloads: DataFrame) -> DataFrame:
     """Typed values and ``reject`` (null when valid); every count and amount is required."""
-    # one expression per kind instead of one per column keeps the plan short
-    rows = payloads.withColumns({
-        "_counts": F.transform(F.array(*S.REPORT_COUNTS), whole_non_negative),
-        "_money": F.transform(F.array(*S.REPORT_MONEY), money_non_negative),
+    typed = {c: whole_non_negative(F.col(c)) for c in S.REPORT_COUNTS}
+    typed |= {c: money_non_negative(F.col(c)) for c in S.REPORT_MONEY}
+    typed |= {
         "week_end_date": F.when(is_ymd(F.col("week_end_date")), F.col("week_end_date").try_cast("date")),
         "daily": is_daily(),
-    })
-    incomplete = F.exists("_counts", F.isnull) | F.exists("_money", F.isnull)
+    }
+    rows = computed_once(payloads, typed)
+    incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in VALUES])
     reject = F.when(F.col("week_end_date").isNull(), "invalid_date").when(incomplete, "invalid_payload")
-    typed = {c: F.col("_counts")[i] for i, c in enumerate(S.REPORT_COUNTS)}
-    typed |= {c: F.col("_money")[i] for i, c in enumerate(S.REPORT_MONEY)}
-    return rows.withColumn("reject", reject).withColumns(typed).drop("_counts", "_money")
+    return rows.withColumn("reject", reject)
 
 
 def is_daily():

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fichaflow import schemas as S
 from fichaflow.functions.roles import acts_as_supervisor, is_operator, not_listed_as_supervisor
 from fichaflow.functions.times import between_days
-from fichaflow.functions.values import is_ymd, money_non_negative, number, present, whole_non_negative
+from fichaflow.functions.values import computed_once, is_ymd, money_non_negative, number, present, whole_non_negative
 from fichaflow.operators import blocks
 from fichaflow.operators.blocks import BLK, HotKeys, find_hot_keys, hot_blocks, with_blocks
 
@@ -24,30 +24,29 @@ def validate_sales(payloads: DataFrame) -> DataFrame:
     """
     coins = F.when(F.col("coins") == "", F.lit(0.0)).otherwise(number(F.col("coins")))
     optional = lambda c: F.when(present(F.col(c)), whole_non_negative(F.col(c))).otherwise(F.lit(0))
-    typed = payloads.withColumns({
+    typed = computed_once(payloads, {
         "_coins": coins,
-        "_prize": money_non_negative(F.col("prize_bs")),
-        "_lost": optional("lost"),
-        "_returned": optional("returned"),
-        "_entry": whole_non_negative(F.col("entry_coins")),
-        "_day": F.when(is_ymd(F.col("date")), F.col("date").try_cast("date")),
+        "prize": money_non_negative(F.col("prize_bs")),
+        "prize_given": present(F.col("prize_bs")),
+        "lost": optional("lost"),
+        "returned": optional("returned"),
+        "entry_coins": whole_non_negative(F.col("entry_coins")),
+        "sale_date": F.when(is_ymd(F.col("date")), F.col("date").try_cast("date")),
     })
     whole = F.col("_coins").try_cast("int")
     reject = (
         F.when(
-            ~present(F.col("machine_id")) | F.col("_day").isNull() | ~F.coalesce(F.col("_coins") >= 0, F.lit(False)),
+            ~present(F.col("machine_id")) | F.col("sale_date").isNull() | ~F.coalesce(F.col("_coins") >= 0, F.lit(False)),
             "invalid_payload",
         )
         .when(F.coalesce(whole != F.col("_coins"), F.lit(True)), "fractional_coins")
-        .when(present(F.col("prize_bs")) & F.col("_prize").isNull(), "invalid_prize")
-        .when(F.col("_lost").isNull() | F.col("_returned").isNull(), "invalid_lost_returned")
-        .when(F.col("has_entry_coins") & F.col("_entry").isNull(), "invalid_entry_coins")
+        .when(F.col("prize_given") & F.col("prize").isNull(), "invalid_prize")
+        .when(F.col("lost").isNull() | F.col("returned").isNull(), "invalid_lost_returned")
+        .when(F.col("has_entry_coins") & F.col("entry_coins").isNull(), "invalid_entry_coins")
     )
     return typed.withColumn("reject", reject).withColumns({
-        "sale_date": F.col("_day"), "coins": F.when(F.col("reject").isNull(), whole),
-        "prize_bs": F.when(F.col("reject").isNull(), F.col("_prize")),
-        "lost": F.col("_lost"), "returned": F.col("_returned"), "entry_coins": F.col("_entry"),
-    }).drop("_coins", "_prize", "_lost", "_returned", "_entry", "_day", "date", "has_entry_coins")
+        "coins": F.when(F.col("reject").isNull(), whole), "prize_bs": F.when(F.col("reject").isNull(), F.col("prize")),
+    }).drop("_coins", "prize", "prize_given", "date", "has_entry_coins")
 
 
 def write_scope(rows: DataFrame, users: DataFrame, user_machines: DataFrame | None) -> DataFrame:

@@ -345,13 +345,22 @@ SESSIONS_US = SESSIONS.replace(
 
 @query("power_sessions", sql(SESSIONS_US.format(where="")))
 def _(v):
-    return event_ops.power_sessions(power_log(v))
+    r = replayed(v, with_coins=False)
+    return event_ops.power_sessions(r.events(), hot=r.hot)
+
+
+@query("power_sessions_in_blocks", sql(SESSIONS_US.format(where="")))
+def _(v):
+    """The same pairing with every busy machine cut into small blocks."""
+    r = replayed(v, with_coins=False, block_rows=30)
+    return event_ops.power_sessions(r.events(), hot=r.hot)
 
 
 @query("power_sessions_in_days", sql(SESSIONS_US.format(
     where=f"AND {O.day('timestamp')} BETWEEN DATE '2024-01-10' AND DATE '2024-01-15'")))
 def _(v):
-    return event_ops.power_sessions(power_log(v), start="2024-01-10", end="2024-01-15")
+    r = replayed(v, with_coins=False)
+    return event_ops.power_sessions(r.events(), start="2024-01-10", end="2024-01-15", hot=r.hot)
 
 
 HISTORY = "SELECT id, machine_id, type, timestamp FROM log l WHERE (type <> 'coin_inserted' OR EXISTS (SELECT 1 FROM coins c WHERE c.event_id = l.id))"

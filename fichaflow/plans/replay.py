@@ -53,6 +53,7 @@ class Replay:
     states: DataFrame
     heartbeat: Heartbeat
     as_of: Column | None
+    hot: blocks.HotKeys | None
 
     def logged(self) -> DataFrame:
         """Messages that reach the log: all but dropped coins."""
@@ -190,7 +191,9 @@ def replay(
     heartbeat = heartbeat or Heartbeat()
     normalised = ingest.normalise(messages, machines, max_delay_ms)
     accepted = ingest.accepted(normalised)
-    hot = blocks.find_hot_keys(accepted, "machine_id", block_rows)
+    # counted ahead of the registry lookup: a key column scan, no join
+    named = ingest.merge_aliases(messages).where(F.col("machine_id").isNotNull()).select("machine_id")
+    hot = blocks.find_hot_keys(named, "machine_id", block_rows)
     if with_coins:
         is_coin = F.col("event") == "coin_inserted"
         coins = coin_dedup.judge_coins(accepted.where(is_coin), dedup_ms, known_ids, last_coins, hot)
@@ -198,4 +201,4 @@ def replay(
         judged = others.unionByName(coins)
     else:
         judged = accepted.withColumn("verdict", F.lit(coin_dedup.ACCEPTED))
-    return Replay(machines, normalised, track_states(judged, heartbeat, hot), heartbeat, as_of)
+    return Replay(machines, normalised, track_states(judged, heartbeat, hot), heartbeat, as_of, hot)

@@ -117,8 +117,8 @@ class SampleViews:
         lines = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_suppkey").alias("suppkey"), F.sum("l_quantity").alias("quantity"),
             F.min("l_extendedprice").alias("price"), F.min("l_discount").alias("discount"),
-            F.min("l_tax").alias("tax"), F.min("l_returnflag").alias("flag"),
-        )
+            F.min("l_tax").alias("tax"), F.min(F.ascii("l_returnflag")).alias("code"),
+        ).withColumn("flag", F.char("code")).drop("code")
         orders = self.table("orders").select(
             "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus"
         )
