@@ -509,10 +509,11 @@ planned AS (
       CASE WHEN starts_with(id, 'Maquina_Boxeo_') THEN 'boxeo' WHEN starts_with(id, 'Maquina_Agilidad_') THEN 'agilidad' ELSE 'default' END
     END AS new_key FROM changes),
 rekeyed AS (
-  SELECT id AS old_id, 'Maquina_' || new_group || '_' || CAST(row_number() OVER (PARTITION BY new_group ORDER BY seq) +
+  SELECT old_id, 'Maquina_' || new_group || '_' || CASE WHEN n < 10 THEN '0' ELSE '' END || CAST(n AS VARCHAR) AS new_id
+  FROM (SELECT id AS old_id, new_group, row_number() OVER (PARTITION BY new_group ORDER BY seq) +
     (SELECT coalesce(max(CAST(regexp_extract(m.id, '_(\\d+)$', 1) AS BIGINT)), 0) FROM machines m
-     WHERE starts_with(m.id, 'Maquina_' || new_group || '_')) AS VARCHAR) AS new_id
-  FROM planned WHERE new_group <> old_group),"""
+     WHERE starts_with(m.id, 'Maquina_' || new_group || '_')) AS n
+  FROM planned WHERE new_group <> old_group)),"""
 
 
 def _changes(v):
