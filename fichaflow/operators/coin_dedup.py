@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fichaflow import schemas as S
@@ -19,6 +21,9 @@ ACCEPTED, DUPLICATE, RATE_LIMIT = "accepted", "duplicate", "rate_limit"
 GHOST, TEST = "ghost_coin", "test_coin"
 _NEVER = -(2**62)
 
+# the Arrow functions below travel with the job: workers need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def first_per_id(coins: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
     """Arrival number of the first coin of every (machine, id) not seen before.
