@@ -3,8 +3,9 @@
 A line with a word fails for the first of these reasons that holds:
   symbols      more than a tenth of its word characters are symbols
   navigation   it has three separators of menu entries or more
+  repetition   more than half of its words equal the word before
   boilerplate  it is short and has a phrase of page furniture or licences
-  punctuation  it does not end like a sentence, with or without closing quotes and brackets
+  punctuation  no part of it ends like a sentence, with or without closing quotes and brackets
 Lines without a word are neither judged nor counted. A document is rejected when under `min_kept` percent of its word
 characters are in lines that stay. Ahead of that stand the base rules: fewer than 20 words, or more than 30 % of the
 words in 8-word windows that occur twice or more.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,12 @@ SYMBOLS = "[#*$%&|<>]"
 # Line rules. A phrase counts in lines of up to SHORT_LINE word characters.
 MIN_KEPT_PERCENT, SHORT_LINE, MENU_MARKS = 50, 160, 3
 SEPARATORS = "[|>»·•]"
-SENTENCE_END = "[.!?:;…。！？][\"'”’»)\\]]*$"
+SENTENCE_END = "[.!?:;…。！？][\"'”’»)\\]]*( |$)"
 PHRASES = (
     "all rights reserved|privacy policy|terms of (use|service)|cookie|click here|sign (in|up)|log in|subscribe|newsletter"
     "|javascript|licensed under|copyright|read more|share this|skip to (main )?content"
 )
 BLANKS = " \t\n\x0b\x0c\r"
-REASONS = ("symbols", "navigation", "boilerplate", "punctuation")
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "kept_chars")
 ADDED = [T.StructField(x, T.LongType()) for x in _COUNTS] + [
@@ -60,6 +61,9 @@ class LineRules:
             return "symbols"
         if len(self.separator.findall(line)) >= MENU_MARKS:
             return "navigation"
+        words = line.encode("utf-8", "surrogatepass").split()
+        if 2 * sum(map(eq, words, words[1:])) > len(words):
+            return "repetition"
         if size <= SHORT_LINE and self.phrase.search(line.translate(LOWER)):
             return "boilerplate"
         return None if self.end.search(line) else "punctuation"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fichaflow.llm import quality_rules, secret_scan
+from fichaflow.llm import jaccard_join, language_id, pieces, quality_rules, secret_scan, substring_dedup, url_filter
 from fichaflow.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,92 @@ def op1(spark, folder):
     )
 
 
+# ---- 2: url filter
+
+
+@query("op2_url_filter")
+def op2(spark, folder):
+    return url_filter.judge_urls(table(spark, folder, "pages"))
+
+
+# ---- 3: language identification
+
+
+@query("op3_language_id")
+def op3(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.fold("doc_id", 4) == 2
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+# ---- 4: substring dedup
+
+OP4_SQL = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs)),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM later)),
+gone_lists AS (SELECT doc_id, list(j) AS j FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(j), 0)::BIGINT AS n_removed,
+         CASE WHEN j IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(j, i)) END AS k
+  FROM docs LEFT JOIN gone_lists USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def op4(spark, folder):
+    cleaned = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+# ---- 5: SentencePiece encoding and decoding
+
+PIECES_FILE = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+
+
+@query("op5_sentencepiece")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    both = pieces.decode_ids(pieces.encode_texts(docs, PIECES_FILE), PIECES_FILE)
+    return both.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
+
+
+# ---- 8: n-gram Jaccard join
+
+OP8_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.r)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op8_jaccard_join", OP8_SQL)
+def op8(spark, folder):
+    return jaccard_join.link_sets(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # ---- 10: quality rules
 
 _Q = quality_rules
@@ -103,12 +190,14 @@ covered AS (
   SELECT doc_id, count(DISTINCT j) AS n FROM (
     SELECT doc_id, unnest(range(i, i + {_Q.WINDOW})) AS j FROM windows JOIN twice USING (doc_id, k)) GROUP BY 1),
 lines AS (
-  SELECT doc_id, line, trim(line, {_SPACES}) AS t, regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g') AS c
+  SELECT doc_id, line, trim(line, {_SPACES}) AS t, regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g') AS c,
+         regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
 judged AS (
   SELECT doc_id, line, length(c) AS size,
          10 * len(regexp_extract_all(t, '{_Q.SYMBOLS}')) > length(c)
          OR len(regexp_extract_all(t, '{_Q.SEPARATORS}')) >= {_Q.MENU_MARKS}
+         OR 2 * len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > len(w)
          OR length(c) <= {_Q.SHORT_LINE} AND regexp_matches(
               translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_Q.PHRASES}')
          OR NOT regexp_matches(t, '{_Q.SENTENCE_END.replace("'", "''")}') AS failed
