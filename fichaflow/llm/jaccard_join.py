@@ -11,7 +11,8 @@ with one leader (the smallest row, in a second round the largest), which is line
 then in several components pair the rows of different ones. All links between different sets are found or implied.
 
 Sets are compared by 64-bit hashes of shingles, sets as a whole by 64 bits. Null and empty texts have no set: they are
-linked with nothing. Ids should be unique; rows that repeat an id are judged by their own text. A null id has a null
+linked with nothing. Ids should be unique: of rows that repeat an id with different texts, either text may stand for
+both where overlaps are counted. A null id has a null
 component. Further columns are ignored here; empty tables give empty results.
 """
 
@@ -121,25 +122,27 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     sets = rows.filter("row is not null and id is not null")
     classes = sets.groupBy("row").agg(F.min("id").alias("first"), F.min("n").alias("n"))
 
-    block = sets.select(F.explode("columns").alias("column"), "row", "n").distinct()
+    # a row may come once from each task; that changes neither leaders nor links
+    block = sets.select(F.explode("columns").alias("column"), "row")
     leaders = block.groupBy("column").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high")
-    shared = stored(block.join(leaders, "column"), "block")
+    shared = stored(block.join(leaders, "column").distinct(), "block")
     texts = stored(_texts(docs, classes.join(shared.select("row").distinct(), "row", "left_semi")), "texts")
 
     bound = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    size_of = texts.select(F.col("row").alias("b"), F.col("n").alias("m"))
+    size_a = texts.select(F.col("row").alias("a"), "n")
+    size_b = texts.select(F.col("row").alias("b"), F.col("n").alias("m"))
     links = None
     for leader in ("low", "high"):
-        pairs = shared.filter(F.col("row") != F.col(leader)).select(F.col("row").alias("a"), F.col(leader).alias("b"), "n").distinct()
+        pairs = shared.filter(F.col("row") != F.col(leader)).select(F.col("row").alias("a"), F.col(leader).alias("b")).distinct()
         if links is not None:
             root = components(links)
             pairs = _apart(pairs, root)
-        pairs = pairs.join(size_of, "b").filter(bound).select("a", "b").distinct()
+        pairs = pairs.join(size_a, "a").join(size_b, "b").filter(bound).select("a", "b").distinct()
         found = stored(overlaps(pairs, texts, size, percent), "pairs")
         links = found if links is None else links.union(found)
     root = stored(components(links), "roots")
 
-    own = shared.select("column", "row", "n").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    own = shared.select("column", "row").join(texts.select("row", "n"), "row").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     several = own.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("column")
     left = stored(own.join(several, "column", "left_semi"), "left")
     other = left.select("column", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
@@ -184,7 +187,7 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(hit == 1)).select(["id", "text"])
 
     some = docs.filter("id is not null").withColumn("place", place).mapInArrow(maybe, "id long, text string")
-    return some.join(classes, some["id"] == classes["first"]).dropDuplicates(["row"]).select("row", "n", "text")
+    return some.join(classes, some["id"] == classes["first"]).select("row", "n", "text")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:

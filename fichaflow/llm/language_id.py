@@ -186,8 +186,6 @@ def temperature(model: LanguageModel, held: DataFrame) -> float:
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
     """Add struct<lang, score> of every whole text."""
-    if into in docs.columns:
-        raise ValueError(f"there is a column {into} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")

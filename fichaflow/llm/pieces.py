@@ -8,7 +8,7 @@ each position. A character that is no piece costs `UNKNOWN_COST` more than the w
 So does the mark itself where a text has it, and decoding gives back every text exactly.
 
 Null texts have null ids, empty ones none. Rows are independent: ties, repeated rows, further columns and empty tables
-need no care, but the name of the result column must be free.
+need no care; a column that has the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -122,7 +122,6 @@ class Encoder:
 
 def encode_texts(docs: DataFrame, model_file: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Add the piece ids of every whole text, as array<int>."""
-    _free(docs, into)
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_file))
 
     @F.pandas_udf("array<int>")
@@ -136,7 +135,6 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", into: str
 
 def decode_ids(docs: DataFrame, model_file: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the text that piece ids stand for; null ids give a null text."""
-    _free(docs, into)
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_file))
 
     @F.pandas_udf("string")
@@ -144,8 +142,3 @@ def decode_ids(docs: DataFrame, model_file: str, ids: str = "ids", into: str = "
         return batch.map(lambda x: None if x is None else pieces.value.decode(x.tolist()))
 
     return docs.withColumn(into, decode(F.col(f"`{ids}`")))
-
-
-def _free(docs: DataFrame, name: str) -> None:
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")

@@ -11,7 +11,7 @@ characters are in lines that stay. Ahead of that stand the base rules: fewer tha
 words in 8-word windows that occur twice or more.
 
 Null and empty texts have no words and are rejected. Rows are independent: ties, repeated rows, further columns and empty
-tables need no care, but the names of the added columns must be free.
+tables need no care; columns that have the names of added ones are replaced.
 """
 
 from __future__ import annotations
@@ -118,8 +118,7 @@ def clean_lines(docs: DataFrame, text: str = "text", with_text: bool = True, min
     Empty tables give empty results; `clean_text` is null where the text is.
     """
     added = ADDED + [T.StructField("clean_text", T.StringType())] * with_text
-    if clash := {f.name for f in added} & set(docs.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
+    docs = docs.drop(*(f.name for f in added))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = LineRules()

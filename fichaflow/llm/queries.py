@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fichaflow.llm import jaccard_join, language_id, pieces, quality_rules, secret_scan, substring_dedup, url_filter
+from fichaflow.llm import (
+    class_lm, decontaminate, jaccard_join, language_id, pieces, quality_rules, secret_scan, sharding, substring_dedup, url_filter,
+)
 from fichaflow.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +149,29 @@ def op5(spark, folder):
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
 
 
+# ---- 6: sharding
+
+
+@query("op6_sharding")
+def op6(spark, folder):
+    placed = sharding.shard_documents(table(spark, folder, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ---- 7: class-based language model
+
+
+@query("op7_class_lm")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model, counts = class_lm.learn(docs.filter(language_id.fold("doc_id", 10) != 0).select("text"))
+    return class_lm.score_texts(docs, model, counts).select(
+        F.col("id").alias("doc_id"), (language_id.fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 # ---- 8: n-gram Jaccard join
 
 OP8_SQL = """
@@ -175,6 +200,47 @@ def op8(spark, folder):
     return jaccard_join.link_sets(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+# ---- 9: benchmark decontamination
+
+OP9_SQL = """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+items AS (
+  SELECT item_id, w, len(w) AS size, greatest(len(w) - 4, 1) AS m, m - ceil(160 * m / 180)::INT AS slack
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0),
+item_shingles AS (
+  SELECT item_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, m + 1)) AS i FROM items)),
+item_counts AS (SELECT item_id, s, count(*) AS k FROM item_shingles GROUP BY ALL),
+doc_shingles AS (
+  SELECT doc_id, p, s, n FROM (
+    SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS s, len(w) AS n
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM docs WHERE len(w) > 0))
+  WHERE s IN (SELECT s FROM item_shingles)),
+windows AS (
+  SELECT DISTINCT doc_id, item_id, greatest(0, least(b, n - size)) AS start, size, m, n FROM (
+    SELECT doc_id, item_id, unnest(range(p - i - slack, p - i + slack + 1)) AS b, size, m, n
+    FROM doc_shingles JOIN item_shingles USING (s) JOIN items USING (item_id))),
+shared AS (
+  SELECT x.doc_id, x.item_id, x.start, x.size, any_value(x.m) AS m, any_value(x.n) AS n, s, count(*) AS k
+  FROM windows x JOIN doc_shingles d ON d.doc_id = x.doc_id AND d.p > x.start AND d.p <= x.start + x.m
+  GROUP BY ALL),
+scored AS (
+  SELECT doc_id, item_id, start, size, sum(least(shared.k, c.k)) AS common, any_value(m) AS m,
+         any_value(greatest(least(size, n) - 4, 1)) AS own
+  FROM shared JOIN item_counts c USING (item_id, s) GROUP BY doc_id, item_id, start, size)
+SELECT doc_id, item_id, max(common / (m + own - common)) AS similarity, arg_min(start, (-(common / (m + own - common)), start))::BIGINT AS start,
+       any_value(size)::BIGINT AS size
+FROM scored WHERE common / (m + own - common) >= 0.8 - 1e-12 GROUP BY doc_id, item_id"""
+
+
+@query("op9_decontamination", OP9_SQL)
+def op9(spark, folder):
+    found = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "similarity", F.col("start").cast("long"), F.col("size").cast("long"))
+
+
 # ---- 10: quality rules
 
 _Q = quality_rules

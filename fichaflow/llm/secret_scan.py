@@ -6,7 +6,7 @@ its leftmost-longest matches without overlap; for these rules they are those of
 rule can match in two ways from one start. A match that fails the rule's lengths is dropped and its bytes stay used.
 
 Null and empty texts have no spans. Rows are independent: ties, repeated rows, further columns and empty tables need no
-care, but the name of the result column must be free.
+care; a column that has the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -111,8 +111,6 @@ def _longest(rows: list[list], data: bytes, at: int) -> int:
 
 def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add the spans of all rules: code points from 0, end exclusive, by start and then rule as listed."""
-    if into in docs.columns:
-        raise ValueError(f"there is a column {into} already")
     scanner = Scanner(rules)
 
     @F.pandas_udf(SPANS)

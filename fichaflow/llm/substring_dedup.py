@@ -14,7 +14,8 @@ Windows are compared by 56 bits of their hash within a bucket: with 10**10 windo
 taken for a repeat by chance.
 
 Null and empty texts have no words. Ids should be unique: rows with the same id count as one document whose windows
-are merged, rows with a null id remove nothing and lose nothing. Further columns stay; empty tables give empty results.
+are merged, rows with a null id remove nothing and lose nothing. Further columns stay, those that have the names of added ones are
+replaced; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -184,19 +185,19 @@ def repeat_intervals(docs: DataFrame, key: str, text: str, size: int = SIZE) ->
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """Add n_words, n_removed and kept_text: the words that no repeat covers, joined by single blanks."""
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    if clash := {"n_words", "n_removed", "kept_text", "_cut"} & set(docs.columns):
-        raise ValueError(f"there are columns {sorted(clash)} already")
-    cut = repeat_intervals(docs, key, text, size).groupBy(F.col("doc").alias("_doc")).agg(
-        F.collect_list(F.struct("start", "stop")).alias("_cut"))
-    joined = docs.join(cut, docs[key] == cut["_doc"], "left").drop("_doc")
+    docs = docs.drop(*(f.name for f in added))
+    own = "_".join(["cut", *docs.columns])  # a name that no column has
+    cut = repeat_intervals(docs, key, text, size).groupBy(F.col("doc").alias(f"{own}_doc")).agg(
+        F.collect_list(F.struct("start", "stop")).alias(own))
+    joined = docs.join(cut, docs[key] == cut[f"{own}_doc"], "left").drop(f"{own}_doc")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text):
-                texts, cuts = part.column(text).to_pylist(), part.column("_cut").to_pylist()
+                texts, cuts = part.column(text).to_pylist(), part.column(own).to_pylist()
                 rows = [without(t or "", c or ()) for t, c in zip(texts, cuts)]
                 new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
-                keep = [i for i, name in enumerate(part.schema.names) if name != "_cut"]
+                keep = [i for i, name in enumerate(part.schema.names) if name != own]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in keep), *new], [*(part.schema.names[i] for i in keep), *(f.name for f in added)])
 
