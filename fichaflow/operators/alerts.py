@@ -118,24 +118,17 @@ def audience_members(users: DataFrame, user_machines: DataFrame, valid: DataFram
     return audiences(users, user_machines).join(valid.select("user_id", "endpoint"), "user_id")
 
 
-def deliveries(alerts: DataFrame, users: DataFrame, user_machines: DataFrame, valid: DataFrame) -> DataFrame:
-    """Alert by receiving endpoint, for the alerts of one micro-batch or one machine.
+def delivery_counts(alerts: DataFrame, users: DataFrame, user_machines: DataFrame, valid: DataFrame) -> DataFrame:
+    """Alerts each endpoint receives. Counts alerts per machine before meeting the members.
 
-    Two routes per alert, joined on the audience. Every alert goes to every admin, so
-    the output grows with alerts times admins; :func:`delivery_counts` answers totals
-    without it.
+    One pass over the alerts: the total that admins receive is the sum of the machines' counts.
     """
-    routes = alerts.select("alert_id", F.explode(F.array(F.lit(ADMINS), F.col("machine_id"))).alias("audience"))
+    own = alerts.groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"))
+    # each machine's count once for the machine and once for the admins
+    both = own.select(F.explode(F.array("machine_id", F.lit(ADMINS))).alias("audience"), "n")
+    per_audience = both.groupBy("audience").agg(F.sum("n").alias("n"))
     members = audience_members(users, user_machines, valid)
-    return routes.join(members, "audience").select("alert_id", "user_id", "endpoint")
-
-
-def delivery_counts(alerts: DataFrame, users: DataFrame, user_machines: DataFrame, valid: DataFrame) -> DataFrame:
-    """Alerts each endpoint receives. Counts alerts per machine before meeting the members."""
-    per_machine = alerts.groupBy(F.col("machine_id").alias("audience")).agg(F.count(F.lit(1)).alias("n"))
-    everything = alerts.groupBy(F.lit(ADMINS).alias("audience")).agg(F.count(F.lit(1)).alias("n"))
-    members = audience_members(users, user_machines, valid)
-    joined = members.join(per_machine.unionByName(everything), "audience")
+    joined = members.join(per_audience, "audience")
     return joined.groupBy("endpoint", "user_id").agg(F.sum("n").alias("alerts"))
 
 
@@ -143,10 +136,3 @@ def broadcast_counts(alerts: DataFrame, valid: DataFrame) -> DataFrame:
     """Alerts each endpoint receives when every alert goes to all of them."""
     total = alerts.agg(F.count(F.lit(1))).scalar()
     return valid.select("endpoint", "user_id", total.alias("alerts"))
-
-
-def deliveries_broadcast(alerts: DataFrame, valid: DataFrame) -> DataFrame:
-    """Alert by endpoint for the alerts of one micro-batch, all endpoints each."""
-    routes = alerts.select("alert_id", F.lit(EVERYONE).alias("audience"))
-    members = valid.select(F.lit(EVERYONE).alias("audience"), "user_id", "endpoint")
-    return routes.join(members, "audience").drop("audience")

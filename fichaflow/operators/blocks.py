@@ -1,10 +1,10 @@
 """Ordered per-key scans that survive hot keys.
 
 A window over one machine or employee puts all of its rows into one task. Keys
-above ``BLOCK_ROWS`` rows are therefore cut into blocks: contiguous ranges of a
-unique, ascending position. Scans run inside a block, a small per-block summary is
-scanned per key, and its result is carried into the blocks. Keys below the limit
-form one block (``-1``) and pay nothing.
+above ``BLOCK_ROWS`` rows are therefore cut into blocks of that many rows by their
+rank in the order, whatever the gaps in the positions. Scans run inside a block, a small
+per-block summary is scanned per key, and its result is carried into the blocks.
+Keys below the limit form one block (``-1``) and pay nothing.
 """
 
 from __future__ import annotations
@@ -14,50 +14,60 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BLOCK_ROWS = 2_000_000
-MAX_HOT_KEYS = 100_000
 BLK = "_blk"
 
 
 class HotKeys(NamedTuple):
+    """keys: the hot keys; cuts: position and block of each of their rows, if asked for."""
+
     keys: DataFrame
     block_rows: int
+    cuts: DataFrame | None
 
 
 def find_hot_keys(
-    rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS, max_keys: int = MAX_HOT_KEYS
+    rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS, position: str | None = "seq"
 ) -> HotKeys | None:
     """Keys with more than ``block_rows`` rows, or None.
 
-    Runs one counting job over the key column. The list that reaches the driver has
-    at most ``max_keys`` entries: if more keys are that large the limit is raised to
-    ``total / max_keys``, above which fewer than ``max_keys`` keys can exist.
+    Counts the key column once to see whether there are any. The keys and their blocks stay
+    distributed, however many there are.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    found = counts.where(F.col("_n") > block_rows).select(key).limit(max_keys + 1).collect()
-    if len(found) > max_keys:
-        total = counts.agg(F.sum("_n")).first()[0]
-        block_rows = max(block_rows, -(-total // max_keys))
-        found = counts.where(F.col("_n") > block_rows).select(key).limit(max_keys).collect()
-    if not found:
+    keys = counts.where((F.col("_n") > block_rows) & F.col(key).isNotNull()).select(key)
+    if keys.isEmpty():
         return None
-    schema = rows.select(key).schema
-    return HotKeys(rows.sparkSession.createDataFrame(found, schema), block_rows)
+    keys = checkpoint(keys)
+    if position is None:
+        return HotKeys(keys, block_rows, None)
+    return HotKeys(keys, block_rows, cut_by_rank(rows.select(key, position).join(keys, key), key, block_rows, position))
+
+
+def cut_by_rank(rows: DataFrame, key: str, block_rows: int, position: str = "seq") -> DataFrame:
+    """(position, block) of all rows: block n of a key has its rows of rank n * ``block_rows`` and on.
+
+    Rows are range-partitioned in order, so a key may span many partitions; each partition's
+    share of a key starts at the sum of the shares ahead of it.
+    """
+    numbered = number_rows(rows.select(key, position), key, position, position="_at")
+    numbered = numbered.withColumn("_part", F.shiftright("_at", 33))
+    shares = numbered.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    rank = F.col("_ahead") + F.col("_at") - F.col("_first")
+    return numbered.join(shares, [key, "_part"]).select(position, F.floor(rank / block_rows).cast("long").alias(BLK))
 
 
 def with_blocks(rows: DataFrame, key: str, hot: HotKeys | None, position: str = "seq") -> DataFrame:
-    """Add the block number; ``position`` must be unique, ascending and not negative."""
+    """Add the block number; ``position`` must be unique and ascending. Joins on it, which no key can skew."""
     if hot is None:
         return rows.withColumn(BLK, F.lit(-1).cast("long"))
-    # at most MAX_HOT_KEYS short keys, see find_hot_keys
-    marked = rows.join(F.broadcast(hot.keys.withColumn("_hot", F.lit(True))), key, "left")
-    blk = F.when(F.col("_hot"), F.floor(F.col(position) / hot.block_rows)).otherwise(F.lit(-1))
-    return marked.withColumn(BLK, blk.cast("long")).drop("_hot")
+    return rows.join(hot.cuts, position, "left").withColumn(BLK, F.coalesce(BLK, F.lit(-1).cast("long")))
 
 
 def hot_blocks(rows: DataFrame, key: str, hot: HotKeys, position: str = "seq") -> DataFrame:
     """Only the rows of hot keys, with their block numbers."""
-    kept = rows.join(F.broadcast(hot.keys), key)
-    return kept.withColumn(BLK, F.floor(F.col(position) / hot.block_rows).cast("long"))
+    return rows.join(hot.cuts, position)
 
 
 def ordered_window(key: str, position: str = "seq") -> Window:

@@ -72,7 +72,7 @@ def _fold(window_us: int):
             n = batch.num_rows
             if not n:
                 continue
-            machines = batch.column("machine_id").to_pylist()
+            names = batch.column("machine_id")
             blocks = batch.column(BLK).to_numpy(zero_copy_only=False)
             times = batch.column("_us").to_numpy(zero_copy_only=False)
             cuts = batch.column("_cut").to_numpy(zero_copy_only=False)
@@ -80,20 +80,23 @@ def _fold(window_us: int):
             repeat = batch.column("duplicate").to_numpy(zero_copy_only=False)
             start = batch.column("_in_last").fill_null(_NEVER).to_numpy(zero_copy_only=False)
             keep = np.ones(n, dtype=bool)
-            for i in range(n):
-                t = int(times[i])
-                if cuts[i]:
-                    key, last = (machines[i], blocks[i]), t
-                    continue
-                here = (machines[i], blocks[i])
-                if here != key:
-                    key, last = here, int(start[i])
-                if repeat[i]:
-                    continue
-                if has_id[i] or abs(t - last) >= window_us:
-                    last = max(last, t)
-                else:
-                    keep[i] = False
+            between = np.flatnonzero(~cuts)
+            for stretch in np.split(between, np.flatnonzero(np.diff(between) > 1) + 1) if len(between) else ():
+                if stretch[0]:  # the row ahead is a cut
+                    i = stretch[0] - 1
+                    key, last = (names[i].as_py(), blocks[i]), int(times[i])
+                for i in stretch:
+                    t, here = int(times[i]), (names[i].as_py(), blocks[i])
+                    if here != key:
+                        key, last = here, int(start[i])
+                    if repeat[i]:
+                        continue
+                    if has_id[i] or abs(t - last) >= window_us:
+                        last = max(last, t)
+                    else:
+                        keep[i] = False
+            if cuts[n - 1]:
+                key, last = (names[n - 1].as_py(), blocks[n - 1]), int(times[n - 1])
             out = batch.drop_columns(["_us", "_cut", "_has_id", "_in_last", BLK])
             yield out.append_column("rate_limited", pa.array(~keep))
 
@@ -270,14 +273,16 @@ def judge_coins(
     hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``verdict`` (accepted, duplicate or rate_limit) to every coin message."""
+    narrow = coins.select("machine_id", "seq", "ts", "uid")
     if last_coins is None:
-        coins = coins.withColumn("coin0_us", F.lit(None).cast("long"))
+        narrow = narrow.withColumn("coin0_us", F.lit(None).cast("long"))
     else:
         known = last_coins.select("machine_id", micros(F.col("last_coin_ts")).alias("coin0_us"))
-        coins = coins.join(known, "machine_id", "left")
-    marked = mark_rate_limited(mark_id_duplicates(coins, known_ids), dedup_ms, hot)
+        narrow = narrow.join(known, "machine_id", "left")
+    # only what the chain needs goes through it; the messages themselves meet the verdicts on their number
+    marked = mark_rate_limited(mark_id_duplicates(narrow, known_ids), dedup_ms, hot)
     verdict = F.when(F.col("duplicate"), DUPLICATE).when(F.col("rate_limited"), RATE_LIMIT).otherwise(ACCEPTED)
-    return marked.withColumn("verdict", verdict).drop("duplicate", "rate_limited", "coin0_us")
+    return coins.join(marked.select("seq", verdict.alias("verdict")), "seq")
 
 
 def admission(status_after: Column, test_mode: Column) -> Column:
@@ -286,9 +291,11 @@ def admission(status_after: Column, test_mode: Column) -> Column:
 
 
 def new_ledger_rows(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Coins not yet in the ledger; those without an id always pass."""
+    """Coins not yet in the ledger: by machine and id, or by event where there is no id. A repeated run adds nothing."""
     have = ledger.where(F.col("unique_id").isNotNull()).select("machine_id", "unique_id").distinct()
     with_id = candidates.where(F.col("unique_id").isNotNull())
     firsts = with_id.groupBy("machine_id", "unique_id").agg(F.min("id").alias("id"))
     fresh = firsts.join(have, ["machine_id", "unique_id"], "left_anti").select("id")
-    return candidates.where(F.col("unique_id").isNull()).unionByName(with_id.join(fresh, "id", "left_semi"))
+    without_id = candidates.where(F.col("unique_id").isNull()).join(
+        ledger.where(F.col("unique_id").isNull()).select("event_id"), "event_id", "left_anti")
+    return without_id.select(candidates.columns).unionByName(with_id.join(fresh, "id", "left_semi").select(candidates.columns))

@@ -48,17 +48,27 @@ def filter_events(
 ) -> DataFrame:
     """Range and explicit bounds all apply together; pings are left out by default.
 
-    The bounds are literals, so they reach the parquet scan. ``as_of`` (UTC) is what
-    a range counts back from.
+    The bounds are literals, so they reach the parquet scan; those on the local day, a day
+    wider, leave out the partitions of other days. ``as_of`` (UTC) is what a range counts
+    back from.
     """
+    low, high = [], []
     if range_ in RANGES:
         if as_of is None:
             raise ValueError("a range needs as_of")
-        events = events.where(F.col("timestamp") >= _ntz(as_of - dt.timedelta(days=RANGES[range_])))
+        low.append(as_of - dt.timedelta(days=RANGES[range_]))
     if start:
-        events = events.where(F.col("timestamp") >= _ntz(_instant(start, end=False)))
+        low.append(_instant(start, end=False))
     if end:
-        events = events.where(F.col("timestamp") <= _ntz(_instant(end, end=True)))
+        high.append(_instant(end, end=True))
+    by_day = "local_day" in events.columns
+    day = lambda moment, shift: F.lit((moment + dt.timedelta(days=shift)).date().isoformat()).cast("date")
+    for moment in low:
+        events = events.where(F.col("timestamp") >= _ntz(moment))
+        events = events.where(F.col("local_day") >= day(moment, -1)) if by_day else events
+    for moment in high:
+        events = events.where(F.col("timestamp") <= _ntz(moment))
+        events = events.where(F.col("local_day") <= day(moment, 1)) if by_day else events
     return events if include_pings else exclude_pings(events)
 
 
@@ -78,14 +88,16 @@ def page_bounds(page: object, page_size: object) -> tuple[int, int]:
     return max(1, read(page, 1)), max(1, min(S.MAX_PAGE_SIZE, read(page_size, S.DEFAULT_PAGE_SIZE)))
 
 
-SORT_LIMIT = 100_000
+#: Rows of a slice of the log that a page sorts; a larger slice is cut by a finer unit of time.
+SLICE_ROWS = 100_000
 
 
 def page_events(events: DataFrame, page: object = 1, page_size: object = S.DEFAULT_PAGE_SIZE) -> DataFrame:
     """One page, newest first, ties by descending id.
 
-    A deep page is narrowed by counting rows per local day, then hour, minute and
-    second, so the final sort never holds more than the slice around the page.
+    Every page is narrowed by counting rows per local day, a scan of the partition column alone,
+    and then per hour, minute and second while the slice around the page is large. So
+    only the days of the page are read, and the final sort holds one slice.
     """
     number, size = page_bounds(page, page_size)
     skip = (number - 1) * size
@@ -93,8 +105,6 @@ def page_events(events: DataFrame, page: object = 1, page_size: object = S.DEFAU
              else local_day(F.col("timestamp")).cast("timestamp_ntz")]
     units += [F.date_trunc(u, F.col("timestamp")).cast("timestamp_ntz") for u in ("hour", "minute", "second")]
     for unit in units:
-        if skip <= SORT_LIMIT:
-            break
         counts = events.groupBy(unit.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
         newest_first = Window.orderBy(F.col("slice").desc())
         ahead = F.coalesce(
@@ -103,11 +113,13 @@ def page_events(events: DataFrame, page: object = 1, page_size: object = S.DEFAU
         # one row per slice of the parent slice; a page touches at most `size` of them
         hit = counts.withColumn("ahead", ahead).where(
             (F.col("ahead") < skip + size) & (F.col("ahead") + F.col("n") > skip)
-        ).agg(F.min("slice"), F.max("slice"), F.min("ahead")).first()
+        ).agg(F.min("slice"), F.max("slice"), F.min("ahead"), F.sum("n")).first()
         if hit[0] is None:
             return events.limit(0)
         events = events.where(unit.between(_ntz(hit[0]), _ntz(hit[1])))
         skip -= hit[2]
+        if hit[3] <= SLICE_ROWS:
+            break
     return events.orderBy(F.col("timestamp").desc(), F.col("id").desc()).offset(skip).limit(size)
 
 
@@ -178,9 +190,9 @@ def power_sessions(
         "machine_id", "id", "type", "timestamp"
     )
     if isinstance(hot, str):
-        hot = find_hot_keys(rows, "machine_id", block_rows)
+        hot = find_hot_keys(rows, "machine_id", block_rows, position=None)
     w = Window.partitionBy("machine_id").orderBy("timestamp", "id")
-    usual = rows if hot is None else rows.join(F.broadcast(hot.keys), "machine_id", "left_anti")
+    usual = rows if hot is None else rows.join(hot.keys, "machine_id", "left_anti")
     out = usual.withColumn("dur", _session_minutes(F.lead("type").over(w), F.lead("timestamp").over(w)))
     if hot is not None:
         out = out.unionByName(_hot_sessions(rows, hot))
@@ -189,7 +201,7 @@ def power_sessions(
 
 
 def _hot_sessions(rows: DataFrame, hot: HotKeys) -> DataFrame:
-    numbered = number_rows(rows.join(F.broadcast(hot.keys), "machine_id"), "machine_id", "timestamp", "id")
+    numbered = number_rows(rows.join(hot.keys, "machine_id"), "machine_id", "timestamp", "id")
     numbered = numbered.withColumn(BLK, F.floor(F.col("_pos") / hot.block_rows))
     row = F.struct("type", "timestamp")
     firsts = numbered.groupBy("machine_id", BLK).agg(F.min_by(row, "_pos").alias("_head"))

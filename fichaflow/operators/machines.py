@@ -36,7 +36,7 @@ def _number(batch: DataFrame, machines: DataFrame, block_rows: int) -> DataFrame
     included: ``g + max(existing, max(e - g))`` with ``g`` the numbers given so far.
     There are two prefixes only, so every batch is cut into blocks.
     """
-    rows = batch.withColumn(BLK, F.floor(F.col("seq") / block_rows))
+    rows = batch.join(blocks.cut_by_rank(batch, "_prefix", block_rows), "seq")
     w = Window.partitionBy("_prefix", BLK).orderBy("seq")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_g", F.count_if(F.col("_explicit").isNull()).over(so_far))
@@ -106,9 +106,15 @@ def _group_of_id(machine_id: Column) -> Column:
 
 
 def _change_plan(machines: DataFrame, changes: DataFrame) -> DataFrame:
-    """Registry beside its changes (one per id): ``_new_*`` values, groups and type key."""
-    new = changes.select(
-        "id", "seq", *[F.col(c).alias(f"_new_{c}") for c in ("name", "location", "status", "type", "test_mode")]
+    """Registry beside its changes: ``_new_*`` values, groups and type key.
+
+    Several changes of one id count as one after the other: the last value given stands. The
+    type is inferred by each of them, so the last change decides it alone.
+    """
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_new_{c}")
+    new = changes.groupBy("id").agg(
+        *[last(c) for c in ("name", "location", "status", "test_mode")], F.max_by("type", "seq").alias("_new_type"),
+        F.max("seq").alias("seq"),
     )
     joined = machines.join(new, "id", "left").withColumn("_changed", F.col("seq").isNotNull())
     label = nonempty(F.col("_new_type"))

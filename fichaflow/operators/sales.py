@@ -137,12 +137,15 @@ def _spent_carry(movements: DataFrame, hot: HotKeys) -> DataFrame:
     starts = F.when(F.col("_resets") > 0, F.col("_total") - F.col("_tail"))
     base = F.coalesce(F.last(starts, ignorenulls=True).over(ahead), F.lit(0))
     return summary.select(
-        "employee_id", BLK, (F.coalesce(F.lag("_total").over(w), F.lit(0)) - base).alias("_carry")
+        "employee_id", BLK, (F.coalesce(F.lag("_total").over(w), F.lit(0)) - base).alias("_carry"),
+        (F.coalesce(F.max("_resets").over(ahead), F.lit(0)) > 0).alias("_was_reset"),
     )
 
 
-def operator_balance(entries: DataFrame, resets: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Balance after every entry and reset.
+def operator_balance(
+    entries: DataFrame, resets: DataFrame, users: DataFrame | None = None, block_rows: int = blocks.BLOCK_ROWS
+) -> DataFrame:
+    """Balance after every entry and reset, from the stored balance of ``users`` up to the first reset.
 
     Each entry takes its coins, never below zero. Between resets the balance only
     falls, so clamping the running sum once is exact.
@@ -154,7 +157,13 @@ def operator_balance(entries: DataFrame, resets: DataFrame, block_rows: int = bl
     if hot is not None:
         rows = rows.join(_spent_carry(movements, hot), ["employee_id", BLK], "left")
         spent = spent + F.when(F.col("_epoch") == 0, F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0))
-    balance = F.greatest(F.lit(0), F.lit(S.INITIAL_OPERATOR_COINS) - spent).cast("long")
+    start = F.lit(S.INITIAL_OPERATOR_COINS)
+    if users is not None:
+        stored = users.select(F.col("id").alias("employee_id"), F.col("operator_coin_balance").alias("_stored"))
+        rows = rows.join(stored, "employee_id", "left")
+        was_reset = F.lit(False) if hot is None else F.coalesce("_was_reset", F.lit(False))
+        start = F.when((F.col("_epoch") > 0) | was_reset, start).otherwise(F.coalesce("_stored", start))
+    balance = F.greatest(F.lit(0), start - spent).cast("long")
     return rows.select("employee_id", "seq", (F.col("is_reset") == 1).alias("is_reset"), balance.alias("balance"))
 
 
@@ -187,9 +196,10 @@ def judge_resets(requests: DataFrame, users: DataFrame, user_machines: DataFrame
     admin, supervisor = F.col("_arole") == "admin", acts_as_supervisor(F.col("_ajob"))
     # machines matter only for the supervisors and operators that meet in a request
     pairs = rows.where(~admin & supervisor).select("actor_id", "employee_id").distinct()
+    # from the operator's machines, which are few; a supervisor's may be all
     mine = user_machines.select(F.col("user_id").alias("actor_id"), "machine_id")
-    theirs = user_machines.select(F.col("user_id").alias("employee_id"), "machine_id", F.lit(True).alias("_shared"))
-    sharing = pairs.join(mine, "actor_id").join(theirs, ["employee_id", "machine_id"], "left_semi")
+    theirs = user_machines.select(F.col("user_id").alias("employee_id"), "machine_id")
+    sharing = pairs.join(theirs, "employee_id").join(mine, ["actor_id", "machine_id"], "left_semi")
     sharing = sharing.select("actor_id", "employee_id", F.lit(True).alias("_shared")).distinct()
     rows = rows.join(sharing, ["actor_id", "employee_id"], "left")
     reject = (

@@ -88,7 +88,7 @@ def remap_roles(users: DataFrame, old: str = "supervisor", new: str = "employee"
 
 
 def judge_profile_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Trimmed profile changes (one per user) with ``reject``, null when they may apply.
+    """Trimmed profile changes with ``reject``, null when they may apply.
 
     A new username must differ from all other users' and from one asked for earlier
     in the same batch.
@@ -99,7 +99,9 @@ def judge_profile_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
     )
     taken = users.select(F.col("username"), F.col("id").alias("_owner"))
     first_ask = c.where(F.col("username") != "").groupBy("username").agg(F.min("seq").alias("_first"))
-    c = c.join(taken, "username", "left").join(first_ask, "username", "left")
+    # changes without a username would all meet on the blank one
+    named, unnamed = c.where(F.col("username") != ""), c.where(F.col("username") == "")
+    c = named.join(taken, "username", "left").join(first_ask, "username", "left").unionByName(unnamed, allowMissingColumns=True)
     known = users.select("id", F.lit(True).alias("_known"))
     c = c.join(known, "id", "left")
     reject = (
@@ -114,10 +116,9 @@ def judge_profile_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def apply_profile_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Users with accepted changes applied; blank values keep the old ones."""
-    ok = judge_profile_updates(users, changes).where(F.col("reject").isNull()).select(
-        "id", F.col("name").alias("_name"), F.col("username").alias("_username")
-    )
+    """Users with accepted changes applied; blank values keep the old ones, the last of several stands."""
+    last = lambda c: F.max_by(c, F.when(F.col(c) != "", F.col("seq"))).alias(f"_{c}")
+    ok = judge_profile_updates(users, changes).where(F.col("reject").isNull()).groupBy("id").agg(last("name"), last("username"))
     joined = users.join(ok, "id", "left")
     return joined.withColumns({
         "name": F.coalesce(nonempty(F.col("_name")), F.col("name")),
@@ -126,15 +127,14 @@ def apply_profile_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def apply_user_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Full overwrite (one change per user): what a change omits becomes null.
+    """Full overwrite: what a change omits becomes null, and the last of several changes (by seq) stands.
 
     The role defaults to employee; a change with an unknown role is ignored.
     """
     role = F.coalesce("role", F.lit("employee"))
-    new = changes.where(role.isin(*S.ROLES)).select(
-        "id", F.lit(True).alias("_changed"), role.alias("_role"),
-        *[F.col(c).alias(f"_{c}") for c in ("name", "shift", "document_id", "job_role")],
-    )
+    new = changes.where(role.isin(*S.ROLES)).groupBy("id").agg(F.max_by(F.struct(
+        role.alias("_role"), *[F.col(c).alias(f"_{c}") for c in ("name", "shift", "document_id", "job_role")],
+    ), "seq").alias("_new")).select("id", F.lit(True).alias("_changed"), "_new.*")
     joined = users.join(new, "id", "left")
     changed = F.col("_changed").isNotNull()
     fields = ("name", "shift", "document_id", "job_role", "role")
@@ -143,6 +143,12 @@ def apply_user_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
     }).select(*users.columns)
 
 
+def _left(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join that spares rows without a key the shuffle, in which they would all meet."""
+    with_key = rows.where(F.col(key).isNotNull()).join(other, key, "left")
+    return with_key.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def judge_new_users(users: DataFrame, batch: DataFrame) -> DataFrame:
     """Sign-ups with aliases merged and ``reject``, null when they may be added.
 
@@ -159,7 +165,7 @@ def judge_new_users(users: DataFrame, batch: DataFrame) -> DataFrame:
     b = b.withColumn("_bad", F.when(~complete, "missing_field").when(~F.col("role").isin(*S.ROLES), "invalid_role"))
     names = users.select("username", F.lit(True).alias("_name_taken"))
     documents = users.where(F.col("document_id").isNotNull()).select("document_id", F.lit(True).alias("_doc_taken"))
-    b = b.join(names, "username", "left").join(documents, "document_id", "left")
+    b = _left(b.join(names, "username", "left"), documents, "document_id")
     b = b.withColumn("_bad", F.coalesce(
         "_bad", F.when(F.col("_name_taken"), "username_exists").when(F.col("_doc_taken"), "document_exists")
     ))
@@ -171,7 +177,7 @@ def judge_new_users(users: DataFrame, batch: DataFrame) -> DataFrame:
     doc_first = b.where(F.col("_bad").isNull() & F.col("document_id").isNotNull()).groupBy("document_id").agg(
         F.min("seq").alias("_doc_seq")
     )
-    b = b.join(doc_first, "document_id", "left")
+    b = _left(b, doc_first, "document_id")
     reject = F.coalesce("_bad", F.when(F.col("_doc_seq") < F.col("seq"), "document_exists"))
     return b.select("seq", "username", "role", "name", "shift", "document_id", "job_role", reject.alias("reject"))
 

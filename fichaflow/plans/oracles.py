@@ -120,11 +120,12 @@ users AS (
          CASE WHEN c_nationkey % 2 = 0 THEN 'manana' ELSE 'tarde' END AS shift,
          CASE WHEN c_custkey % 7 <> 0 THEN 'V-' || CAST(c_custkey AS VARCHAR) END AS document_id,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'Supervisor de turno' WHEN 'FURNITURE' THEN 'Supervisores'
-           WHEN 'HOUSEHOLD' THEN NULL ELSE 'Operador' END AS job_role
+           WHEN 'HOUSEHOLD' THEN NULL ELSE 'Operador' END AS job_role,
+         CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey % 150 AS INTEGER) END AS operator_coin_balance
   FROM customer),
 user_machines AS (
   SELECT DISTINCT o_custkey AS user_id, {mid('l_suppkey')} AS machine_id
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 order_lines AS (
   SELECT l_orderkey, l_linenumber, o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority, o_orderstatus,
          min(l_suppkey) AS suppkey, sum(l_quantity) AS quantity, min(l_extendedprice) AS price,
@@ -138,7 +139,8 @@ sale_changes AS (
          CASE WHEN l_linenumber % 2 = 1 THEN CAST(quantity AS INTEGER) END AS entry_coins,
          CAST(day AS TIMESTAMP) AS changed_at
   FROM order_lines),
-resets AS (SELECT o_orderkey * 8 + 8 AS seq, o_custkey AS employee_id FROM orders WHERE o_orderpriority = '1-URGENT'),
+resets AS (
+  SELECT o_orderkey * 8 + 8 AS seq, o_custkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END AS employee_id FROM orders),
 """
 
 

@@ -518,13 +518,19 @@ rekeyed AS (
 
 def _changes(v):
     s = F.regexp_extract("name", r"(\d+)$", 1).cast("long")
-    return v.machines().select(
-        s.alias("seq"), "id",
+    late = v.machines().select(
+        (s + 1_000_000).alias("seq"), "id",
         F.when(s % 3 == 1, F.concat(F.lit("Otra "), F.col("name"))).when(s % 17 == 0, F.concat(F.lit("Boxeo "), F.col("name"))).alias("name"),
         F.when(s % 4 == 0, "Sala").alias("location"), F.when(s % 5 == 0, "maintenance").alias("status"),
         F.when(s % 7 == 0, "Boxeo").when(s % 7 == 1, "agilidad").when(s % 7 == 2, "otra").alias("type"),
         F.when(s % 6 == 0, s % 12 == 0).alias("test_mode"),
     )
+    # an earlier change of each machine: the values that the later one gives, too, do not stand
+    early = late.withColumns({
+        "seq": F.col("seq") - 1_000_000, "name": F.when(F.col("name").isNotNull(), "Vieja"), "type": F.lit("Boxeo"),
+        "location": F.when(F.col("location").isNotNull(), "Patio"),
+    })
+    return late.unionByName(early)
 
 
 UPDATED = """coalesce(new_name, name) AS name, coalesce(new_status, 'inactive') AS status,

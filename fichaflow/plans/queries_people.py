@@ -109,8 +109,9 @@ moves AS (
     SELECT employee_id, id AS seq, coins AS spent, false AS is_reset FROM entries
     UNION ALL SELECT employee_id, seq, 0, true FROM resets)),
 walk AS (
-  SELECT employee_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, false AS is_reset, CAST(200 AS BIGINT) AS balance
-  FROM (SELECT DISTINCT employee_id FROM moves)
+  SELECT employee_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, false AS is_reset, 
+         CAST(coalesce(operator_coin_balance, 200) AS BIGINT) AS balance
+  FROM (SELECT DISTINCT employee_id FROM moves) LEFT JOIN users ON id = employee_id
   UNION ALL
   SELECT m.employee_id, m.rn, m.seq, m.is_reset, CASE WHEN m.is_reset THEN 200 ELSE greatest(0, w.balance - m.spent) END
   FROM walk w JOIN moves m ON m.employee_id = w.employee_id AND m.rn = w.rn + 1),"""
@@ -119,16 +120,16 @@ BALANCE_SQL = sql("SELECT employee_id, seq, is_reset, balance FROM walk WHERE rn
 
 @query("operator_balance", BALANCE_SQL)
 def _(v):
-    return sale_ops.operator_balance(entries(v), v.balance_resets())
+    return sale_ops.operator_balance(entries(v), v.balance_resets(), v.users())
 
 
 @query("operator_balance_in_blocks", BALANCE_SQL)
 def _(v):
-    return sale_ops.operator_balance(entries(v), v.balance_resets(), block_rows=30)
+    return sale_ops.operator_balance(entries(v), v.balance_resets(), v.users(), block_rows=30)
 
 
 @query("current_balance", sql("""
-SELECT u.id AS employee_id, coalesce(w.balance, 200) AS remaining_coins FROM users u LEFT JOIN (
+SELECT u.id AS employee_id, coalesce(w.balance, u.operator_coin_balance, 200) AS remaining_coins FROM users u LEFT JOIN (
   SELECT employee_id, balance FROM walk QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY rn DESC) = 1) w
 ON w.employee_id = u.id""", MOVES))
 def _(v):
@@ -327,7 +328,7 @@ _register_report_lists()
 
 
 # ---- users ------------------------------------------------------------------
-USER_COLUMNS = "u.id, u.username, u.role, u.name, u.shift, u.document_id, u.job_role, CAST(NULL AS INTEGER) AS operator_coin_balance"
+USER_COLUMNS = "u.id, u.username, u.role, u.name, u.shift, u.document_id, u.job_role, u.operator_coin_balance"
 IDS = "coalesce((SELECT string_agg(machine_id, ',' ORDER BY machine_id) FROM user_machines a WHERE a.user_id = u.id), '')"
 
 
@@ -356,8 +357,9 @@ def _assignment_changes(v):
     key = F.col("o_orderkey")
     mid = F.concat(F.lit("M-"), (key % 13).cast("string"))
     many_ids = F.array(mid, F.lit(""), F.concat(F.lit("M-"), (key % 7).cast("string")))
-    return v.table("orders").where("o_orderpriority = '5-LOW'").select(
-        key.alias("seq"), F.col("o_custkey").alias("user_id"),
+    # users with even numbers get the changes of two customers
+    return v.table("orders").select(
+        key.alias("seq"), (F.col("o_custkey") - F.col("o_custkey") % 2).alias("user_id"),
         F.when(key % 3 == 0, many_ids).alias("machine_ids"), F.when(key % 3 == 1, mid).alias("machine_id"),
     )
 
@@ -366,13 +368,13 @@ def _assignment_changes(v):
 SELECT user_id, machine_id FROM user_machines WHERE user_id NOT IN (SELECT user_id FROM last)
 UNION ALL SELECT user_id, 'M-' || CAST(seq % 13 AS VARCHAR) FROM last WHERE seq % 3 < 2
 UNION ALL SELECT user_id, 'M-' || CAST(seq % 7 AS VARCHAR) FROM last WHERE seq % 3 = 0 AND seq % 7 <> seq % 13""", """
-last AS (SELECT o_custkey AS user_id, max(o_orderkey) AS seq FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY ALL),"""))
+last AS (SELECT o_custkey - o_custkey % 2 AS user_id, max(o_orderkey) AS seq FROM orders GROUP BY ALL),"""))
 def _(v):
     return user_ops.replace_assignments(v.user_machines(), _assignment_changes(v))
 
 
 @query("restored_assignment", sql(
-    "SELECT u.*, (SELECT min(machine_id) FROM user_machines a WHERE a.user_id = u.id) AS assigned_machine_id FROM users u"))
+    "SELECT u.* EXCLUDE (operator_coin_balance), (SELECT min(machine_id) FROM user_machines a WHERE a.user_id = u.id) AS assigned_machine_id FROM users u"))
 def _(v):
     return user_ops.restore_single_assignment(v.users(), v.user_machines()).drop("operator_coin_balance")
 
@@ -432,9 +434,11 @@ SELECT id, CASE WHEN id % 3 = 0 THEN name ELSE 'n' END AS name, CASE WHEN id % 3
 def _(v):
     key = F.col("id")
     changes = v.users().select(
-        "id", F.lit("n").alias("name"), F.lit(None).cast("string").alias("shift"), F.lit(None).cast("string").alias("document_id"),
+        (key + 1_000_000_000).alias("seq"), "id", F.lit("n").alias("name"), F.lit(None).cast("string").alias("shift"), F.lit(None).cast("string").alias("document_id"),
         F.lit("Operador").alias("job_role"), F.when(key % 3 == 0, "jefe").when(key % 3 == 2, "admin").alias("role"),
     )
+    # an earlier change of each user, which the one above overwrites
+    changes = changes.unionByName(changes.withColumns({"seq": key, "name": F.lit("old"), "job_role": F.lit("old")}))
     return user_ops.apply_user_updates(v.users(), changes).select("id", "name", "shift", "document_id", "job_role", "role")
 
 
@@ -540,7 +544,7 @@ def _(v):
 
 
 @query("missing_values", sql("""
-SELECT 'users' AS "table", 'operator_coin_balance' AS "column", count(*) AS nulls FROM users
+SELECT 'users' AS "table", 'operator_coin_balance' AS "column", count(*) AS nulls FROM users WHERE operator_coin_balance IS NULL
 UNION ALL SELECT 'employee_daily_sale_entries', 'coins', count(*) FROM sale_changes WHERE entry_coins IS NULL"""))
 def _(v):
     raw = v.sale_changes().withColumn("coins", F.col("entry_coins"))
@@ -549,7 +553,7 @@ def _(v):
 
 
 @query("filled_defaults", sql("""
-SELECT id, 200 AS operator_coin_balance FROM users"""))
+SELECT id, coalesce(operator_coin_balance, 200) AS operator_coin_balance FROM users"""))
 def _(v):
     return quality.fill_defaults(v.users(), "users").select("id", "operator_coin_balance")
 

@@ -187,12 +187,13 @@ def replay(
     coin history from before these messages. ``with_coins=False`` skips the coin
     checks for callers that need only machine states. ``max_delay_ms`` turns away
     messages whose device time lies further behind their arrival; by default none.
+    Event ids are four times the arrival number, so that stays below 2**61 in size.
     """
     heartbeat = heartbeat or Heartbeat()
     normalised = ingest.normalise(messages, machines, max_delay_ms)
     accepted = ingest.accepted(normalised)
     # counted ahead of the registry lookup: a key column scan, no join
-    named = ingest.merge_aliases(messages).where(F.col("machine_id").isNotNull()).select("machine_id")
+    named = ingest.merge_aliases(messages).where(F.col("machine_id").isNotNull()).select("machine_id", "seq")
     hot = blocks.find_hot_keys(named, "machine_id", block_rows)
     if with_coins:
         is_coin = F.col("event") == "coin_inserted"

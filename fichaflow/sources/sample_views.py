@@ -109,7 +109,7 @@ class SampleViews:
             F.when(key % 7 != 0, F.concat(F.lit("V-"), key.cast("string"))).alias("document_id"),
             F.when(segment == "BUILDING", "Supervisor de turno").when(segment == "FURNITURE", "Supervisores")
             .when(segment == "HOUSEHOLD", F.lit(None)).otherwise("Operador").alias("job_role"),
-            F.lit(None).cast("int").alias("operator_coin_balance"),
+            F.when(key % 3 == 1, (key % 150).cast("int")).alias("operator_coin_balance"),
         )
 
     def _order_lines(self) -> DataFrame:
@@ -125,7 +125,7 @@ class SampleViews:
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def user_machines(self) -> DataFrame:
-        lines = self.table("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey")
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey")
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.select(
@@ -172,8 +172,10 @@ class SampleViews:
         )
 
     def balance_resets(self) -> DataFrame:
-        return self.table("orders").where("o_orderpriority = '1-URGENT'").select(
-            (F.col("o_orderkey") * 8 + 8).alias("seq"), F.col("o_custkey").alias("employee_id")
+        """A reset behind each order, of its own employee or of the one with the next number."""
+        other = F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)
+        return self.table("orders").select(
+            (F.col("o_orderkey") * 8 + 8).alias("seq"), (F.col("o_custkey") + other).alias("employee_id")
         )
 
     def report_payloads(self) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from fichaflow import schemas as S
+from fichaflow.operators.coin_dedup import new_ledger_rows
 
 
 def read_device_events(
@@ -55,12 +57,28 @@ def parsed_events(stored: DataFrame) -> DataFrame:
     return stored.withColumn("data", F.from_json("data", "map<string,string>"))
 
 
+def existing(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """The table as far as it was written; None if it never was."""
+    try:
+        return read_table(spark, folder, name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def append_events(events: DataFrame, folder: str) -> None:
-    append_by_day(event_rows(events), folder, "machine_events")
+    """Append to the log what it does not have yet, so a job that is run again adds nothing."""
+    rows, have = event_rows(events), existing(events.sparkSession, folder, "machine_events")
+    if have is not None:
+        rows = rows.join(have.select("local_day", "id"), ["local_day", "id"], "left_anti")
+    append_by_day(rows, folder, "machine_events")
 
 
 def append_coins(coins: DataFrame, folder: str) -> None:
-    append_by_day(coins, folder, "coins")
+    """Append to the ledger the coins it does not have yet."""
+    have = existing(coins.sparkSession, folder, "coins")
+    append_by_day(coins if have is None else new_ledger_rows(coins, have), folder, "coins")
 
 
 def write_table(rows: DataFrame, folder: str, name: str) -> None:

@@ -7,6 +7,7 @@ there as in batch, which keyed streaming state cannot do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -29,12 +30,14 @@ class IngestJob:
 
     Every table is written to a folder of its micro-batch and overwritten when the
     batch is retried, and a batch reads only what earlier batches wrote. A failed
-    batch can therefore run again without doubling anything.
+    batch can therefore run again without doubling anything. ``machines`` is the registry, or
+    a function that reads it as it is now: each batch joins it to the states that the batch before
+    left, so a machine added or a test mode changed meanwhile counts.
     """
 
     spark: SparkSession
     folder: str
-    machines: DataFrame
+    machines: DataFrame | Callable[[], DataFrame]
     heartbeat: Heartbeat
     dedup_ms: int = S.COIN_DEDUP_MS
     max_delay_ms: int | None = None
@@ -56,7 +59,9 @@ class IngestJob:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         try:
             return reader.parquet(f"{self.folder.rstrip('/')}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def read(self, name: str) -> DataFrame:
@@ -70,14 +75,24 @@ class IngestJob:
         """Machine states a batch left behind."""
         return self.spark.read.parquet(self._path("snapshots", batch))
 
+    def _registry(self) -> DataFrame:
+        return self.machines() if callable(self.machines) else self.machines
+
     def _before(self, batch: int) -> tuple[DataFrame, DataFrame | None]:
+        now = self._registry()
         if batch == 0:
-            base = self.machines.withColumns({
+            base = now.withColumns({
                 "last_seq": F.lit(None).cast("long"), "last_coin_ts": F.lit(None).cast("timestamp_ntz"),
             })
             return base, None
+        left = self.snapshot(batch - 1).select(
+            "id", F.col("status").alias("_status"), F.col("last_ping").alias("_ping"), "last_seq", "last_coin_ts"
+        )
+        before = now.join(left, "id", "left").withColumns({
+            "status": F.coalesce("_status", "status"), "last_ping": F.coalesce("_ping", "last_ping"),
+        }).drop("_status", "_ping")
         ids = self._read(KEEP_COINS, "machine_id string, uid string, batch int")
-        return self.snapshot(batch - 1), None if ids is None else ids.where(F.col("batch") < batch)
+        return before, None if ids is None else ids.where(F.col("batch") < batch)
 
     # -- one micro-batch ------------------------------------------------------
     def process(self, messages: DataFrame, batch: int) -> None:
@@ -95,7 +110,7 @@ class IngestJob:
         ).stored(self._path("work", batch))
         self._write(event_rows(run.events()), "machine_events", batch, by_day=True)
         self._write(run.coins(), "coins", batch, by_day=True)
-        self._write(alert_ops.build_alerts(run.alert_feed(), self.machines), "alerts", batch)
+        self._write(alert_ops.build_alerts(run.alert_feed(), before), "alerts", batch)
         self._write(run.audit(), "ingest_audit", batch)
         self._write(self._new_ids(run), KEEP_COINS, batch)
         self._write(self._after(run), "snapshots", batch)
@@ -122,16 +137,14 @@ class IngestJob:
 def daily_income_stream(coins: DataFrame, delay: str = "1 day") -> DataFrame:
     """Ledger rows per machine and local day of a coin stream.
 
-    A tumbling day that starts at local midnight; the watermark lets finished days
-    leave the state.
+    A tumbling day over the wall clock of the local zone, whatever its offset was then; the
+    watermark, on that clock too, lets finished days leave the state.
     """
-    at = F.col("timestamp").cast("timestamp")
-    days = F.window("at", "1 day", "1 day", f"{S.DEVICE_OFFSET_HOURS} hours")
-    counted = coins.withColumn("at", at).withWatermark("at", delay).groupBy("machine_id", days.alias("w")).agg(
+    at = F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), S.LOCAL_ZONE)
+    counted = coins.withColumn("at", at).withWatermark("at", delay).groupBy("machine_id", F.window("at", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("income")
     )
-    local_start = F.col("w.start") - F.make_dt_interval(F.lit(0), F.lit(S.DEVICE_OFFSET_HOURS))
-    return counted.select("machine_id", F.to_date(local_start).alias("date"), "income")
+    return counted.select("machine_id", F.to_date(F.col("w.start")).alias("date"), "income")
 
 
 def drop_repeated_coins(coins: DataFrame, delay: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fichaflow.operators import coin_dedup, events as event_ops, machines as machine_ops, sales as sale_ops
-from fichaflow.operators.blocks import find_hot_keys
+from fichaflow.operators.blocks import BLK, find_hot_keys, with_blocks
 from fichaflow.operators.machine_state import Heartbeat, track_states
 
 START = dt.datetime(2024, 1, 1)
@@ -18,17 +18,25 @@ def at(ms):
 
 
 def test_hot_keys_are_those_above_the_limit(spark):
-    rows = spark.createDataFrame([("hot",)] * 20 + [("cold",)] * 3, "k string")
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 20 + ["cold"] * 3)], "k string, seq long")
     hot = find_hot_keys(rows, "k", 5)
     assert [r.k for r in hot.keys.collect()] == ["hot"] and hot.block_rows == 5
     assert find_hot_keys(rows, "k", 100) is None
 
 
-def test_too_many_hot_keys_raise_the_limit(spark):
-    sizes = {"a": 40, "b": 2, "c": 2, "d": 2, "e": 2}
-    rows = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)], "k string")
-    hot = find_hot_keys(rows, "k", 1, max_keys=3)
-    assert hot.block_rows == 16 and [r.k for r in hot.keys.collect()] == ["a"]
+@pytest.mark.parametrize("spread", [1, 2**22])
+def test_blocks_follow_ranks_not_numbers(spark, spread):
+    """However sparse the positions and however many the hot keys, blocks are full."""
+    rows = [("hot" if i % 2 else f"k{i % 40}", i * spread) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, seq long").repartition(5)
+    hot = find_hot_keys(df, "k", 30)
+    cuts = with_blocks(df, "k", hot).groupBy("k", BLK).count().collect()
+    keys = {k for k, _ in rows}
+    assert {r.k for r in cuts} == keys and hot.keys.count() == len(keys)
+    assert sum(r["count"] for r in cuts) == 4000 and max(r["count"] for r in cuts) == 30
+    assert len(cuts) <= 4000 / 30 + len(keys)
+    order = with_blocks(df, "k", hot).orderBy("k", "seq").select("k", BLK).collect()
+    assert all(a[BLK] <= b[BLK] for a, b in zip(order, order[1:]) if a.k == b.k)
 
 
 # ---- coins ------------------------------------------------------------------
@@ -199,7 +207,7 @@ def test_ids_follow_explicit_ones(spark):
 
 
 def test_deep_page_is_narrowed(spark, monkeypatch):
-    monkeypatch.setattr(event_ops, "SORT_LIMIT", 3)
+    monkeypatch.setattr(event_ops, "SLICE_ROWS", 3)
     rows = [(i, at(i * 40_000 + (i % 7) * 200)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz")
     order = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from fichaflow.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+QUERIES, SQLS = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQLS)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQLS) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -52,8 +52,19 @@ def test_event_filter_is_pushed(spark, stored):
     events = tables.read_table(spark, stored[0], "machine_events")
     rows = event_ops.filter_events(events, dt.datetime(2024, 1, 31), "7d").select("id")
     assert "GreaterThanOrEqual(timestamp,2024-01-24T00:00)" in plan_of(rows)
-    page = plan_of(event_ops.page_events(events, 2))
-    assert "TakeOrderedAndProject" in page
+    assert "local_day#" in plan_of(rows).split("PartitionFilters: [")[1].split("]")[0]
+    page = plan_of(event_ops.page_events(events, 1))
+    assert "TakeOrderedAndProject" in page and "local_day#" in page.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_appending_twice_adds_nothing(spark, tmp_path):
+    views = SampleViews(spark, FOLDER)
+    run = replay(views.device_messages(), views.machines(), Heartbeat())
+    for _ in range(2):
+        tables.append_coins(run.coins(), str(tmp_path))
+        tables.append_events(run.events(), str(tmp_path))
+    assert tables.read_table(spark, str(tmp_path), "coins").count() == run.coins().count()
+    assert tables.read_table(spark, str(tmp_path), "machine_events").count() == run.events().count()
 
 
 def test_state_scan_shuffles_once(spark, stored):

@@ -83,3 +83,39 @@ def test_repeated_coin_stream(spark, tmp_path):
         assert [tuple(r) for r in spark.sql("select machine_id, uid from kept order by 1, 2").collect()] == [
             ("a", "x"), ("a", "y"), ("b", "x")]
         spark.catalog.dropTempView("kept")
+
+
+def test_the_registry_is_read_in_each_batch(spark, tmp_path):
+    """A machine added after the first batch and a test mode switched on count from the next batch on."""
+    at = dt.datetime(2024, 1, 1, 12)
+    columns = "id string, name string, status string, location string, last_ping timestamp_ntz, test_mode boolean, type string"
+    registry = [[("a", "a", "inactive", "l", None, False, "boxeo")]]
+    job = IngestJob(spark, str(tmp_path), lambda: spark.createDataFrame(registry[-1], columns), Heartbeat())
+
+    def send(batch, *rows):
+        path = str(tmp_path / f"in{batch}")
+        out = []
+        for seq, machine, event in rows:
+            when = (at + dt.timedelta(seconds=30 * seq)).isoformat()
+            out.append(f'{{"seq": {seq}, "received_at": "{when}", "machineId": "{machine}", "event": "{event}"}}')
+        (tmp_path / f"in{batch}").mkdir()
+        (tmp_path / f"in{batch}" / "m.json").write_text("\n".join(out))
+        job.process(read_device_events(spark, path), batch)
+
+    send(0, (1, "a", "machine_on"), (2, "b", "machine_on"))
+    registry.append([("a", "a", "inactive", "l", None, True, "boxeo"), ("b", "b", "inactive", "l", None, False, "boxeo")])
+    send(1, (3, "a", "coin_inserted"), (4, "b", "machine_on"), (5, "b", "coin_inserted"))
+    verdicts = {r.seq: r.disposition for r in job.read("ingest_audit").collect()}
+    assert verdicts[2] == "unknown_machine" and verdicts[3] == "test_coin" and verdicts[5] == "accepted"
+    assert {r.id: r.status for r in job.snapshot(1).collect()} == {"a": "active", "b": "active"}
+
+
+def test_income_stream_follows_the_zone(spark, tmp_path):
+    """Half past four was the start of the local day in 2010."""
+    rows = [("m", dt.datetime(2010, 6, 1, 4, 10)), ("m", dt.datetime(2010, 6, 1, 4, 40)), ("m", dt.datetime(2024, 1, 5, 4, 10))]
+    spark.createDataFrame(rows, "machine_id string, timestamp timestamp_ntz").write.parquet(str(tmp_path / "c"))
+    coins = spark.readStream.schema("machine_id string, timestamp timestamp_ntz").parquet(str(tmp_path / "c"))
+    query = daily_income_stream(coins).writeStream.format("memory").queryName("zoned").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {str(r.date): r.income for r in spark.table("zoned").collect()} == {"2010-05-31": 1, "2010-06-01": 1, "2024-01-05": 1}
