@@ -201,18 +201,34 @@ def _(v):
     return replayed(v).coins()
 
 
-@query("ledger_append", sql("""
+APPEND_SQL = sql("""
 SELECT id, machine_id, unique_id FROM coins c WHERE timestamp >= TIMESTAMP '2024-01-16 00:00:00' AND (unique_id IS NULL
   OR NOT EXISTS (SELECT 1 FROM coins o WHERE o.machine_id = c.machine_id AND o.unique_id = c.unique_id
-                 AND o.timestamp < TIMESTAMP '2024-01-16 00:00:00'))"""))
-def _(v):
-    """Second half of the month appended to the first half's ledger; a repeat run adds nothing."""
-    coins = replayed(v).coins()
+                 AND o.timestamp < TIMESTAMP '2024-01-16 00:00:00'))""")
+
+
+def _halves(v):
+    coins = replayed(v).kept().coins()
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    first, second = coins.where(F.col("timestamp") < half), coins.where(F.col("timestamp") >= half)
+    return coins.where(F.col("timestamp") < half), coins.where(F.col("timestamp") >= half)
+
+
+@query("ledger_append", APPEND_SQL)
+def _(v):
+    """Second half of the month appended to the first half's ledger."""
+    first, second = _halves(v)
     return coin_dedup.new_ledger_rows(second, first).select("id", "machine_id", "unique_id")
 
 
+@query("ledger_append_twice", APPEND_SQL)
+def _(v):
+    """The same half appended twice: the second run finds all of its coins in the ledger."""
+    first, second = _halves(v)
+    once = coin_dedup.new_ledger_rows(second, first)
+    twice = coin_dedup.new_ledger_rows(second, first.unionByName(once))
+    return once.unionByName(twice).select("id", "machine_id", "unique_id")
+
+
 @query("coins_by_machine", sql("SELECT machine_id, count(*) AS total_coins FROM coins GROUP BY ALL"))
 def _(v):
     return coin_ops.coins_by_machine(replayed(v).coins())
@@ -225,9 +241,10 @@ def _(v):
 
 @query("daily_income_of_month", sql("""
 SELECT machine_id, local_day AS date, count(*) AS income FROM coins
-WHERE local_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL"""))
+WHERE local_day BETWEEN DATE '2024-01-10' AND DATE '2024-01-31' GROUP BY ALL"""))
 def _(v):
-    return coin_ops.daily_income(replayed(v).coins(), start="2024-01", end="2024-01")
+    """From a day to the end of the month."""
+    return coin_ops.daily_income(replayed(v).coins(), start="2024-01-10", end="2024-01")
 
 
 @query("income_bounds", O.over("""
@@ -279,6 +296,10 @@ def log(v):
     return replayed(v).events()
 
 
+def kept_log(v):
+    return replayed(v).kept().events()
+
+
 @query("events_in_range", sql(f"""
 SELECT id, machine_id, type, timestamp FROM log WHERE type <> 'ping' AND timestamp >= {AS_OF_SQL} - INTERVAL 7 DAY
   AND timestamp >= TIMESTAMP '2024-01-20 04:00:00' AND timestamp <= TIMESTAMP '2024-01-29 04:00:00.999'"""))
@@ -295,7 +316,13 @@ def _(v):
 @query("events_page", sql("""
 SELECT id, machine_id, type, timestamp FROM log WHERE type <> 'ping' ORDER BY timestamp DESC, id DESC LIMIT 20 OFFSET 40"""))
 def _(v):
-    return event_ops.page_events(event_ops.filter_events(log(v)), 3).select("id", "machine_id", "type", "timestamp")
+    return event_ops.page_events(event_ops.filter_events(kept_log(v)), 3).select("id", "machine_id", "type", "timestamp")
+
+
+@query("events_page_deep", sql("""
+SELECT id, machine_id, type, timestamp FROM log WHERE type <> 'ping' ORDER BY timestamp DESC, id DESC LIMIT 20 OFFSET 400"""))
+def _(v):
+    return event_ops.page_events(event_ops.filter_events(kept_log(v)), 21).select("id", "machine_id", "type", "timestamp")
 
 
 @query("events_page_info", sql("""
@@ -368,13 +395,13 @@ HISTORY = "SELECT id, machine_id, type, timestamp FROM log l WHERE (type <> 'coi
 
 @query("machine_history", sql(HISTORY + f" AND machine_id = '{MACHINE}' AND {O.day('timestamp')} >= DATE '2024-01-05'"))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     return event_ops.machine_history(r.events(), r.coins(), MACHINE, "2024-01-05").select("id", "machine_id", "type", "timestamp")
 
 
 @query("all_machine_history", sql(HISTORY))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     return event_ops.machine_history(r.events(), r.coins()).select("id", "machine_id", "type", "timestamp")
 
 
@@ -388,13 +415,13 @@ FROM machines m LEFT JOIN log l ON l.machine_id = m.id AND {keep} GROUP BY m.id"
 
 @query("machine_stats", sql(STATS.format(keep="NOT CASE WHEN l.test THEN true END")))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     return event_ops.machine_stats(v.machines(), r.events(), r.coins())
 
 
 @query("machine_stats_untested", sql(STATS.format(keep="NOT l.test")))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     return event_ops.machine_stats(v.machines(), r.events(), r.coins(), faithful=False)
 
 
@@ -556,7 +583,7 @@ UNION ALL SELECT 'events', coalesce(new_id, machine_id), count(*) FROM log LEFT
 UNION ALL SELECT 'assignments', machine_id, count(*) FROM user_machines WHERE machine_id NOT IN (SELECT old_id FROM rekeyed) GROUP BY ALL
 """, people=True, extra=CHANGES))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     out = machine_ops.rekey_machines(
         {"machines": v.machines(), "coins": r.coins(), "machine_events": r.events(), "user_machines": v.user_machines()},
         _changes(v),
@@ -573,7 +600,7 @@ UNION ALL SELECT 'machine_events', count(*) FROM log WHERE machine_id NOT IN (SE
 UNION ALL SELECT 'user_machines', count(*) FROM user_machines WHERE machine_id NOT IN (SELECT id FROM machines WHERE test_mode)
 """, people=True))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     tables = {"machines": v.machines(), "coins": r.coins(), "machine_events": r.events(), "user_machines": v.user_machines()}
     out = machine_ops.cascade_delete_machines(tables, v.machines().where("test_mode").select("id"))
     frames = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("part"), "n") for k, df in out.items()]
@@ -587,7 +614,7 @@ def _(v):
 SELECT c.id, c.machine_id, CASE WHEN l.timestamp < TIMESTAMP '2024-01-15 00:00:00' THEN NULL ELSE event_id END AS event_id
 FROM coins c JOIN log l ON l.id = c.event_id"""))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     events = r.events()
     old = events.where(F.col("timestamp") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("id")
     out = machine_ops.delete_events({"machine_events": events, "coins": r.coins()}, old)

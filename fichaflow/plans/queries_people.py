@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fichaflow import schemas as S
 from fichaflow.operators import machines as machine_ops
 from fichaflow.operators import quality, reports as report_ops, sales as sale_ops, users as user_ops
 from fichaflow.plans import oracles as O
@@ -514,6 +515,26 @@ def _(v):
     return quality.check_rules(odd, "users").select("id", "violations")
 
 
+SHIFTS = {**dict.fromkeys(S.REPORT_COUNTS, 60), **dict.fromkeys(S.REPORT_MONEY, 100)}
+
+
+def _broken_report_sql():
+    parts = [f"SELECT 'employee_{t}_reports' AS \"table\", '{c}_negative' AS rule, count(*) AS n FROM {t} WHERE {c} < {k}"
+             for t in ("weekly", "daily") for c, k in SHIFTS.items()]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+@query("broken_report_rules", sql(_broken_report_sql(), REPORTS))
+def _(v):
+    """Every value rule of both report tables, on values lowered so that some of them break."""
+    found = []
+    for table, rows in (("employee_weekly_reports", weekly(v)), ("employee_daily_reports", daily(v))):
+        low = rows.withColumns({c: F.col(c) - k for c, k in SHIFTS.items()})
+        rules = quality.check_rules(low, table).select(F.explode("violations").alias("rule"))
+        found.append(rules.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table"), "rule", "n"))
+    return found[0].unionByName(found[1])
+
+
 @query("repeated_keys", sql("""
 SELECT employee_id, machine_id, sale_date, count(*) AS n FROM sale_changes GROUP BY ALL HAVING count(*) > 1"""))
 def _(v):
@@ -562,7 +583,7 @@ def _(v):
 SELECT 'coins' AS "table", 'event_id' AS "column", CAST(event_id AS VARCHAR) AS value, count(*) AS n FROM coins
 WHERE event_id NOT IN (SELECT id FROM log WHERE NOT test AND machine_id LIKE 'Maquina%') GROUP BY ALL""", replay=True))
 def _(v):
-    r = replayed(v)
+    r = replayed(v).kept()
     events = r.events().where(F.col("machine_id").startswith("Maquina"))
     return quality.check_all_references({"coins": r.coins(), "machine_events": events})
 

@@ -158,6 +158,10 @@ class Replay:
         """Source rows of alerts: ledger coins and every on and off in the log."""
         return self.events().where("alert")
 
+    def kept(self) -> "Replay":
+        """Same replay with its states in the shared checkpoint folder, when a query wants several results."""
+        return replace(self, states=blocks.checkpoint(self.states))
+
     def stored(self, folder: str) -> "Replay":
         """Same replay reading its states from a table written to a shared folder.
 
