@@ -3,9 +3,9 @@
 Features are the n-grams of one to three characters of the lower-cased text, everything but letters being one blank,
 hashed into SLOTS entries. Spark counts in how many training documents each occurs, over all of them; a document
 is the unit vector of (1 + log count) * idf. Weights are learned by follow-the-regularised-leader with L1 and L2 penalties
-on a sample of about SAMPLE training documents: SHARDS learners see a part each, and Spark averages their
-weights. About CALIBRATION further training documents set the temperature that divides the logits. Both samples are chosen by a hash
-of the id with a threshold from the number of documents, so their size does not grow; all documents are predicted.
+on a sample of about SAMPLE training documents: learners see about LEARNER of them each, and Spark averages their
+weights. A fifth of the sample is left to set the temperature that divides the logits. The sample is chosen by a hash
+of the id with a threshold from the number of documents, so its size does not grow; all documents are predicted.
 
 A null text and one without letters are `und` with score 0, as is every text when no training document has a language.
 Ties go to the language that sorts first. Repeated rows, further columns and empty tables need no care.
@@ -29,7 +29,7 @@ from fichaflow.llm.words import mix
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLOTS, LONGEST = 1 << 15, 3
-SAMPLE, CALIBRATION, SHARDS, EPOCHS = 8192, 2048, 8, 2
+SAMPLE, LEARNER, EPOCHS = 10_240, 1024, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 UNDETERMINED = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -134,9 +134,10 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     seen, total = document_frequencies(train.select("text"))
     idf = np.log((1 + total) / (1 + seen)) + 1
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "id"), 11) / F.lit(float(1 << 53))
-    below = SAMPLE / max(total, 1)
-    sample = train.filter(place < below)
-    held = train.filter((place >= below) & (place < (SAMPLE + CALIBRATION) / max(total, 1)))
+    chosen = train.filter(place < SAMPLE / max(total, 1))
+    left_out = F.pmod(F.xxhash64(F.lit("temperature"), "id"), F.lit(5)) == 0
+    sample, held = chosen.filter(~left_out), chosen.filter(left_out)
+    learners = max(1, min(SAMPLE, total) * 4 // 5 // LEARNER)
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     width = len(languages)
     model = LanguageModel(languages, idf, np.zeros((SLOTS, width)), np.zeros(width))
@@ -152,9 +153,9 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
         at = np.flatnonzero(flat)
         return pd.DataFrame({"at": at, "w": flat[at], "rows": len(part)})
 
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(SHARDS))
+    shard = F.pmod(F.xxhash64(F.lit("learner"), "id"), F.lit(learners))
     parts = sample.groupBy(shard.alias("shard")).applyInPandas(learn, "at long, w double, rows long")
-    used = min(SHARDS, max(1, sample.select(shard).distinct().count()))
+    used = max(1, sample.select(shard).distinct().count())
     mean = parts.groupBy("at").agg((F.sum("w") / used).alias("w")).toPandas()
     flat = np.zeros(SLOTS * width + width)
     flat[mean["at"].to_numpy(np.int64)] = mean["w"].to_numpy(float)
