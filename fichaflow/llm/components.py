@@ -11,24 +11,28 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b) without nulls: the smallest node that each linked node reaches.
 
     A round makes two grouped minima with their joins; the number of rounds grows with the logarithm of the longest path.
-    The joins are on a node, and adaptive execution splits one with very many links.
+    The joins are on a node, and adaptive execution splits one with very many links. A round that leaves the edges as they
+    are is the last, which their number and a 64-bit checksum tell.
     """
-    edges = stored(_down(links.select("a", "b")), "links")
+    edges = stored(_down(links.select("a", "b")).distinct(), "links")
+    before = _checksum(edges)
     while True:
         large = _star(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), keep_lower=False)
-        small = _star(large, keep_lower=True)
-        new = stored(small, "links")
-        # edges are in their final state when a further round leaves them as they are
-        changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(new, ["a", "b"], "left_anti").limit(1).count()
-        edges = new
-        if not changed:
+        edges = stored(_star(large, keep_lower=True).distinct(), "links")
+        now = _checksum(edges)
+        if now == before:
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+        before = now
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def _down(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs from the larger to the smaller node."""
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    """Pairs from the larger to the smaller node."""
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
 
 
 def _star(edges: DataFrame, keep_lower: bool) -> DataFrame:

@@ -7,7 +7,7 @@ The product over this first block of each row gives the candidate pairs; those w
 similarity out are discarded, and the overlap counts of the others are accumulated over all columns.
 
 Within a column, pairs inside one component need no count, as they change nothing. So each column first pairs its rows
-with one leader (the smallest row, in a second round the largest), which is linear in its rows. Only columns whose rows are
+with two leaders (the smallest row and the largest), which is linear in its rows. Only columns whose rows are
 then in several components pair the rows of different ones. All links between different sets are found or implied.
 
 Sets are compared by 64-bit hashes of shingles, sets as a whole by 64 bits. Null and empty texts have no set: they are
@@ -126,21 +126,16 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     block = sets.select(F.explode("columns").alias("column"), "row")
     leaders = block.groupBy("column").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high")
     shared = stored(block.join(leaders, "column").distinct(), "block")
-    texts = stored(_texts(docs, classes.join(shared.select("row").distinct(), "row", "left_semi")), "texts")
+    candidates = stored(classes.join(shared.select("row").distinct(), "row", "left_semi"), "candidates")
+    texts = stored(_texts(docs, candidates), "texts")
 
     bound = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     size_a = texts.select(F.col("row").alias("a"), "n")
     size_b = texts.select(F.col("row").alias("b"), F.col("n").alias("m"))
-    links = None
-    for leader in ("low", "high"):
-        pairs = shared.filter(F.col("row") != F.col(leader)).select(F.col("row").alias("a"), F.col(leader).alias("b")).distinct()
-        if links is not None:
-            root = components(links)
-            pairs = _apart(pairs, root)
-        pairs = pairs.join(size_a, "a").join(size_b, "b").filter(bound).select("a", "b").distinct()
-        found = stored(overlaps(pairs, texts, size, percent), "pairs")
-        links = found if links is None else links.union(found)
-    root = stored(components(links), "roots")
+    stars = shared.select("row", F.explode(F.array("low", "high")).alias("leader")).filter("row <> leader")
+    pairs = stars.select(F.greatest("row", "leader").alias("a"), F.least("row", "leader").alias("b")).distinct()
+    pairs = pairs.join(size_a, "a").join(size_b, "b").filter(bound).select("a", "b")
+    root = stored(components(overlaps(pairs, texts, size, percent)), "roots")
 
     own = shared.select("column", "row").join(texts.select("row", "n"), "row").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     several = own.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("column")
@@ -148,7 +143,8 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     other = left.select("column", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     pairs = left.join(other, "column").filter("root < other").filter(bound).select(F.col("row").alias("a"), "b").distinct()
     found = stored(overlaps(pairs, texts, size, percent), "pairs")
-    root = components(links.union(found))
+    if not found.isEmpty():
+        root = components(found.union(root.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     placed = classes.join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -158,14 +154,6 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs whose rows are not known to be in one component."""
-    a = root.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    b = root.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
-
-
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(row, n, text) of the first document of some sets.
 
