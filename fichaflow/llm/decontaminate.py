@@ -4,7 +4,8 @@ A document leaks an item when a window of the item's size (in words) is similar
 their shingles of five words, each weighted by its number of occurrences, is 0.8 or more. Letters A-Z count as lower case.
 
 1. Where windows can be. A similar window of m shingles shares at least 2 * t * m / (1 + t) of them, so of any
-   m - that + 1 shingles of the item one is in it. Those with the longest words serve as anchors; a word of a document that
+   m - that + 1 shingles of the item one is in it. A document shorter than the item has fewer shingles, of which it need
+   only share t * m, so it is asked for m - that + 1. Those with the longest words serve as anchors; a word of a document that
    is an anchor's longest word, with the same words around it, places a window, and so do its neighbours, as
    far as the words lost at either end leave the similarity within reach.
 2. SimHash. Each window and each item has 64 bits, each the majority over the hashes of its words.
@@ -42,10 +43,15 @@ def shingles(words: Column) -> Column:
 
 
 def lost(m: Column, percent: int) -> Column:
-    """Of m shingles, the most that a similar window can miss."""
+    """Of m shingles, the most that a similar window of the item's size can miss."""
     return (m - F.ceil(F.lit(2 * percent) * m / F.lit(100 + percent))).cast("int")
 
 
+def lost_if_short(m: Column, percent: int) -> Column:
+    """The same of a document shorter than the item, which may have none but shared shingles."""
+    return (m - F.ceil(F.lit(percent) * m / F.lit(100))).cast("int")
+
+
 def fingerprint(words: Column) -> Column:
     """64 bits, each the majority over the hashes of the words; a tie is 0."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -82,24 +88,31 @@ def benchmark_items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def anchors(items: DataFrame, percent: int) -> DataFrame:
-    """(item, size, m, shingle, offset, word, at): anchors of each item, and where their longest word is in them."""
+    """(item, size, m, shingle, offset, word, at, short): anchors of each item, and where their longest word is in them.
+
+    Those marked as short are needed for documents shorter than the item only.
+    """
     length = lambda w: F.length(w)
     longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(length(w).alias("n"), w.alias("w"))))["w"]
     ranked = F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: F.struct(
         (-length(longest(F.slice("item_words", i, SHINGLE)))).alias("order"), (i - 1).alias("offset"), F.slice("item_words", i, SHINGLE).alias("words")))
-    rows = items.select("item", "size", "m", F.explode(F.slice(F.array_sort(ranked), F.lit(1), lost(F.col("m"), percent) + 1)).alias("x"))
+    chosen = F.slice(F.array_sort(ranked), F.lit(1), lost_if_short(F.col("m"), percent) + 1)
+    rows = items.select("item", "size", "m", F.posexplode(chosen).alias("rank", "x"))
     word = longest(F.col("x.words"))
     return rows.select("item", "size", "m", F.col("x.words").alias("shingle"), F.col("x.offset").alias("offset"), word.alias("word"),
-                       (F.array_position("x.words", word) - 1).cast("int").alias("at"))
+                       (F.array_position("x.words", word) - 1).cast("int").alias("at"), (F.col("rank") > lost(F.col("m"), percent)).alias("short"))
 
 
 def windows(docs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """(doc, size, start, words): windows of documents placed by anchors."""
+    marks = marks.withColumnRenamed("word", "mark")
+    meets = (F.col("word") == F.col("mark")) & (~F.col("short") | (F.col("length") < F.col("size")))
+    docs = docs.withColumn("length", F.size("words"))
     if marks.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
         # the words of a document stay beside each of them, as nothing is shuffled
-        met = docs.select("doc", "words", F.posexplode("words").alias("pos", "word")).join(F.broadcast(marks), "word")
+        met = docs.select("doc", "words", "length", F.posexplode("words").alias("pos", "word")).join(F.broadcast(marks), meets)
     else:
-        places = docs.select("doc", F.posexplode("words").alias("pos", "word")).join(marks, "word")
+        places = docs.select("doc", "length", F.posexplode("words").alias("pos", "word")).join(marks, meets).drop("length")
         met = places.join(docs, "doc")
     first = F.col("pos") - F.col("at")
     met = met.filter((first >= 0) & (F.slice("words", F.greatest(first, F.lit(0)) + 1, F.size("shingle")) == F.col("shingle")))

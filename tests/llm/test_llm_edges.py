@@ -279,6 +279,30 @@ def test_decontamination_of_near_copies(spark):
     assert len(expected) == decontaminate.find_leaks(df, bench, radius=decontaminate.RADIUS).count()
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_decontamination_of_short_documents(spark, monkeypatch, broadcast):
+    """Documents of 80-90 % of an item, cut at either end, are found wherever the item's longest words are."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ANCHORS", broadcast)
+    rnd = random.Random(4)
+    rows, items, expected = [], [], {}
+    for i in range(20):
+        n = rnd.randrange(24, 60)
+        item = [f"w{rnd.randrange(10**6):06d}" for _ in range(n)]
+        # the longest words stand at the end that is cut off
+        item[-1], item[0] = ("x" * 30, item[0]) if i % 2 else (item[-1], "x" * 30)
+        items.append((i, " ".join(item)))
+        for cut in range(1, n):
+            similarity = (n - 4 - cut) / (n - 4)
+            if similarity < 0.8 - 1e-12:
+                break
+            words = item[:-cut] if i % 2 else item[cut:]
+            expected[len(rows), i] = round(similarity, 6)
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc, r.item): round(r.similarity, 6) for r in decontaminate.find_leaks(df, bench).collect()} == expected
+
+
 def test_stages(spark, docs, tmp_path, benchmark):
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
     now, names = docs, []
