@@ -102,7 +102,9 @@ class Dealer:
         self.held, self.count = [], 0
         order = np.lexsort((start, doc, hashes))
         again = np.zeros(len(order), bool)
-        again[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
+        h, d, s = hashes[order], doc[order], start[order]
+        lead = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), np.arange(len(h)), 0))
+        again[order] = (d != d[lead]) | (s != s[lead])  # as in repeats(): a row that repeats the first one's id and place is no later one
         # runs: neighbouring windows of a document for the same bucket, all first or all repeats
         fresh = np.ones(len(doc), bool)
         fresh[1:] = ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (bucket[1:] != bucket[:-1])

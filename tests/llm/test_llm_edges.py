@@ -116,6 +116,17 @@ def test_substring_dedup_with_hot_parts(spark, monkeypatch):
         assert {r.doc_id: r.kept_text for r in substring_dedup.remove_repeats(df, size=5).collect()} == expected
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 5])
+def test_substring_dedup_of_a_repeated_row(spark, partitions):
+    """A row that occurs twice keeps its words if no smaller document has them, however the rows are dealt to tasks."""
+    texts = [" ".join(f"t{k}word{i}" for i in range(40)) for k in range(3)]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[1]), (3, texts[1]), (4, texts[2] + " " + texts[2]), (4, texts[2] + " " + texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    found = sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(df).collect())
+    twice = (4, 40, texts[2])
+    assert found == [(1, 0, texts[0]), (2, 0, texts[1]), (2, 0, texts[1]), (3, 40, ""), twice, twice]
+
+
 def test_pieces(spark, docs):
     vocabulary = pieces.Pieces.load(queries.PIECES_FILE)
     rows = pieces.decode_ids(pieces.encode_texts(docs, queries.PIECES_FILE), queries.PIECES_FILE).collect()
