@@ -4,8 +4,9 @@ Documents with equal texts are linked. Each document starts in a shard by the ha
 document moves to the shard where most of its group is, as far as that shard has room for linked documents. As
 documents of a group are alike, a round works on counts per group and shard: votes are a grouped maximum, moves a join
 of the counts with the votes. Moves beyond a shard's room wait, in the order of a running total; a group larger than
-a shard fills one and goes on with the next. When nothing moves, documents without links fill what is left of each quota, so every
-shard ends with its quota of rows.
+a shard fills one and goes on with the next. When nothing moves, or no room is left to move into, groups that are still cut are
+lifted out of all shards and laid one after the other into the room this leaves, so that only an edge of a shard cuts a group;
+those few are packed by size. Documents without links fill what is left of each quota, so every shard ends with its quota of rows.
 
 Positions among rows are running totals in two levels: the rows of a group are split by a hash into pieces, whose sums
 are added up before the rows of a piece. So no group, shard or total is ranked in one task.
@@ -66,6 +67,52 @@ def propagate(counts: DataFrame, quota: list[int], pieces: int, rounds: int = RO
     return counts
 
 
+def settle(counts: DataFrame, quota: list[int], pieces: int) -> DataFrame:
+    """Place the groups that (key, shard, n) cut anew; afterwards fewer groups than shards are cut, none where room is left for it."""
+    shards, few = len(quota), False
+    while not few:
+        split = stored(counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1"), "split")
+        few = split.count() <= 4 * shards
+        whole = counts.join(split.select("key"), "key", "left_anti").select("key", "shard", "n")
+        load = {r["shard"]: r["n"] for r in whole.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        room = [q - load.get(k, 0) for k, q in enumerate(quota)]
+        if few:
+            groups = split.collect()
+            packed = _packed([(r["key"], r["n"]) for r in groups], room)
+            if len(packed) >= sum(r["parts"] for r in groups):
+                break
+            laid = counts.sparkSession.createDataFrame(packed, "key binary, shard int, n long")
+        else:
+            laid = _deal(running_total(split.withColumn("all", F.lit(0)), ["all"], F.col("n"), ["key"], pieces, "ahead"), room)
+        counts = stored(whole.union(laid), "counts")
+    return counts
+
+
+def _packed(groups: list[tuple[bytes, int]], room: list[int]) -> list[tuple[bytes, int, int]]:
+    """(key, shard, n): the larger groups first, each in the smallest room that holds it, or else in the largest ones."""
+    room, out = list(room), []
+    for key, n in sorted(groups, key=lambda g: (-g[1], bytes(g[0]))):
+        while n:
+            fits = [k for k, r in enumerate(room) if r >= n]
+            k = min(fits, key=lambda k: room[k]) if fits else max(range(len(room)), key=lambda k: room[k])
+            part = min(n, room[k])
+            out.append((key, k, part))
+            room[k] -= part
+            n -= part
+    return out
+
+
+def _deal(rows: DataFrame, room: list[int]) -> DataFrame:
+    """(key, shard, n): rows of (key, n, ahead) laid one after the other into the room of the shards."""
+    free, stop = [], 0
+    for k, r in enumerate(room):
+        free.append((k, stop, stop + r))
+        stop += r
+    part = lambda b, e: F.greatest(F.lit(0), F.least(F.col("ahead") + F.col("n"), F.lit(e)) - F.greatest("ahead", F.lit(b)))
+    parts = F.array(*(F.struct(F.lit(k).alias("shard"), part(b, e).alias("n")) for k, b, e in free))
+    return rows.select("key", F.explode(F.filter(parts, lambda x: x["n"] > 0)).alias("x")).select("key", "x.shard", "x.n")
+
+
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(id, size, text_crc32, shard, slot) of all documents; slots count from 0 without gaps."""
     full = F.coalesce(F.col(text), F.lit(""))
@@ -79,7 +126,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     counts = nodes.groupBy("key", start.alias("shard")).agg(F.count("*").alias("n"))
     linked = counts.groupBy("key").agg(F.sum("n").alias("members")).filter("members > 1")
     begin = stored(_within(counts.join(linked.select("key"), "key"), quota, pieces), "counts")
-    final = propagate(begin, quota, pieces, rounds)
+    final = settle(propagate(begin, quota, pieces, rounds), quota, pieces)
 
     # members of a group take its places in the order of a running total
     ahead = Window.partitionBy("key").orderBy("shard")
@@ -110,11 +157,5 @@ def _within(counts: DataFrame, quota: list[int], pieces: int) -> DataFrame:
     counts = stored(counts.select("key", "shard", "n", stay.alias("stay")), "uneven")
     spare = counts.filter("n > stay").select("key", F.col("shard").alias("old"), (F.col("n") - F.col("stay")).alias("n"), F.lit(0).alias("all"))
     spare = running_total(spare, ["all"], F.col("n"), ["key", "old"], pieces, "ahead")
-    free, stop = [], 0
-    for k, q in enumerate(quota):
-        stop += max(0, q - load.get(k, 0))
-        free.append((k, stop - max(0, q - load.get(k, 0)), stop))
-    part = lambda b, e: F.greatest(F.lit(0), F.least(F.col("ahead") + F.col("n"), F.lit(e)) - F.greatest("ahead", F.lit(b)))
-    dealt = spare.select("key", F.explode(F.array(*(F.struct(F.lit(k).alias("shard"), part(b, e).alias("n")) for k, b, e in free))).alias("x"))
-    moved = dealt.select("key", "x.shard", "x.n").filter("n > 0")
+    moved = _deal(spare, [max(0, q - load.get(k, 0)) for k, q in enumerate(quota)])
     return counts.select("key", "shard", F.col("stay").alias("n")).union(moved).groupBy("key", "shard").agg(F.sum("n").alias("n")).filter("n > 0")

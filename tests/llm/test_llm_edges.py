@@ -193,6 +193,20 @@ def test_sharding(spark, docs):
     assert sorted(np.bincount([r.shard for r in one])) == [42] + [43] * 6
 
 
+@pytest.mark.parametrize("share, size", [(1.0, 2), (0.9, 2), (1.0, 20), (0.9, 20)])
+def test_sharding_where_most_rows_are_linked(spark, share, size):
+    """Groups are cut by the edges of shards at most, and not at all where rows without links leave room."""
+    n, shards = 4_800, 24
+    df = spark.createDataFrame([(i, f"group {i // size}" if i < share * n else f"own {i}") for i in range(n)], "doc_id long, text string")
+    rows = sharding.shard_documents(df, shards=shards).collect()
+    assert np.bincount([r.shard for r in rows]).tolist() == [n // shards] * shards
+    groups = {}
+    for r in rows:
+        if r.id < share * n:
+            groups.setdefault(r.id // size, set()).add(r.shard)
+    assert sum(len(g) > 1 for g in groups.values()) <= (shards - 1 if share == 1 else 0)
+
+
 def test_class_lm(spark, docs):
     for train in (docs, docs.limit(0)):
         model, counts = class_lm.learn(train.select("text"))
