@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fichaflow.llm import (
-    class_lm, decontaminate, jaccard_join, language_id, pieces, quality_rules, secret_scan, sharding, substring_dedup, url_filter,
+    class_lm, decontaminate, filter_audit, jaccard_join, language_id, pieces, quality_rules, secret_scan, sharding, source_mix, substring_dedup,
+    url_filter, vector_codes,
 )
 from fichaflow.session import configure
 
@@ -286,3 +287,127 @@ SELECT *, NOT base_failed AND 100 * kept_chars >= {_Q.MIN_KEPT_PERCENT} * word_c
 def op10(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.clean_lines(docs, with_text=False).drop("text")
+
+
+# ---- 11: filter interaction audit
+
+_A = filter_audit
+OP11_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+least AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+failing AS (
+  SELECT part, [len(w) < {_A.MIN_WORDS}, 100 * len(list_distinct(w)) < {_A.MIN_DISTINCT_PERCENT} * len(w),
+                100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {_A.MAX_UPPER_PERCENT} * length(text),
+                regexp_matches(text, '{_A.MARKS}'), coalesce(doc_id > first, false)] AS fails,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = words.doc_id AND quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = words.doc_id AND toxic = 1) AS toxic
+  FROM words JOIN least USING (text)),
+counts AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failing GROUP BY ALL),
+orders AS (
+  SELECT a || b || c || d || e AS filter_order
+  FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS a), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS b),
+       (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS d),
+       (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS e)
+  WHERE len(list_distinct([a, b, c, d, e])) = 5),
+steps AS (SELECT filter_order, step, [instr('ABCDE', filter_order[i]) FOR i IN range(1, step)] AS earlier, instr('ABCDE', filter_order[step]) AS own
+          FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+cases AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS failed,
+         len(list_filter(earlier, lambda f: fails[f])) > 0 AS gone, len(list_filter(fails, lambda f: f)) = 1 AS alone
+  FROM steps, counts),
+summed AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND failed), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND failed), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (failed AND alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND failed), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND failed), 0)::BIGINT AS toxic_lost
+  FROM cases GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM summed"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11(spark, folder):
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# ---- 12: mixing sources to target weights
+
+#: A running total gives each document its place; what a quota takes of it follows without slots.
+OP12_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         md5(concat(coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(text, '')))) AS digest
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM docs GROUP BY source),
+share AS (
+  SELECT (SELECT sum(source_size)::BIGINT FROM sources) AS rest, (SELECT sum(weight)::BIGINT FROM sources) AS heavy
+  UNION
+  SELECT (SELECT sum(source_size)::BIGINT - coalesce(sum(3 * source_size) FILTER ((3 * source_size)::DOUBLE <= weight * (rest::DOUBLE / heavy)), 0)::BIGINT FROM sources),
+         (SELECT sum(weight) FILTER ((3 * source_size)::DOUBLE > weight * (rest::DOUBLE / heavy))::BIGINT FROM sources)
+  FROM share WHERE rest > 0),
+targets AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, weight * coalesce((SELECT max(rest::DOUBLE / heavy) FROM share), 0)) AS target FROM sources),
+placed AS (
+  SELECT d.doc_id, d.size, source_size, target, floor(target + 0.5)::BIGINT AS quota,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS begin
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       list_sum(list_transform([0, 1, 2], lambda k: greatest(0, least(begin + k * source_size + size, quota) - (begin + k * source_size))))::BIGINT AS taken
+FROM placed"""
+
+
+@query("op12_source_mix", OP12_SQL)
+def op12(spark, folder):
+    found = source_mix.mix_sources(table(spark, folder, "documents")).documents
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+# ---- 13: vector code compression
+
+
+def _assign_sql(books: str) -> str:
+    """Nearest entry of each part by all distances."""
+    return f"""
+  SELECT key, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d, any_value(v) AS v FROM (
+    SELECT p.key, p.part, p.v, b.entry, coalesce(list_sum([(p.v[i] - b.v[i]) * (p.v[i] - b.v[i]) FOR i IN range(1, len(p.v) + 1)]), 0) AS d
+    FROM parts p JOIN {books} b USING (part)) GROUP BY key, part"""
+
+
+def _round_sql(number: int) -> str:
+    """Floored means of the parts of each entry; unused entries stay."""
+    return f"""
+near{number} AS MATERIALIZED ({_assign_sql(f'books{number}')}),
+means{number} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT part, entry, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM near{number})
+    GROUP BY part, entry, i) GROUP BY part, entry),
+books{number + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.v, b.v) AS v FROM books{number} b LEFT JOIN means{number} m USING (part, entry)),"""
+
+
+OP13_SQL = f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, v) AS key, vec_id, label, v FROM (
+    SELECT vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (
+  SELECT key, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM whole, (SELECT unnest([0, 1, 2, 3]) AS part)),
+books0 AS MATERIALIZED (SELECT part, key - 1 AS entry, v FROM parts WHERE key <= 256),
+{''.join(_round_sql(k) for k in range(4))}
+final AS MATERIALIZED ({_assign_sql('books4')}),
+codes AS (
+  SELECT key, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM final GROUP BY key)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM books4) AS codebooks_sha256
+FROM whole JOIN codes USING (key)"""
+
+
+@query("op13_vector_codes", OP13_SQL)
+def op13(spark, folder):
+    codes, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    return vector_codes.with_label_error(codes).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
