@@ -40,6 +40,13 @@ class Heartbeat:
             return due
         return (F.floor(due / self.interval) + 1) * self.interval
 
+    def off_at_micros(self, last_ping_us: int | None) -> int | None:
+        """The same for a plain number."""
+        if self.limit is None or last_ping_us is None:
+            return None
+        due = last_ping_us + self.limit
+        return due if self.mode == "exact" else (due // self.interval + 1) * self.interval
+
     def missed(self, last_ping_us: Column, now_us: Column) -> Column:
         return F.coalesce(self.off_at(last_ping_us) < now_us, F.lit(False))
 

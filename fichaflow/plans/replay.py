@@ -44,6 +44,10 @@ def _auto(reason: str) -> Column:
     return F.create_map(F.lit("auto"), F.lit("true"), F.lit("reason"), F.lit(reason))
 
 
+def timeout_payload() -> Column:
+    return _auto("timeout")
+
+
 @dataclass
 class Replay:
     """Lazy results of one replay. ``states`` has one row per accepted message."""

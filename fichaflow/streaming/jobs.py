@@ -25,25 +25,12 @@ KEEP_COINS = "known_coin_ids"
 
 
 @dataclass
-class IngestJob:
-    """Messages to event log, ledger, alerts, audit and machine snapshots under ``folder``.
-
-    Every table is written to a folder of its micro-batch and overwritten when the
-    batch is retried, and a batch reads only what earlier batches wrote. A failed
-    batch can therefore run again without doubling anything. ``machines`` is the registry, or
-    a function that reads it as it is now: each batch joins it to the states that the batch before
-    left, so a machine added or a test mode changed meanwhile counts.
-    """
+class BatchTables:
+    """Tables under ``folder`` with one folder per micro-batch, overwritten when a batch is retried."""
 
     spark: SparkSession
     folder: str
-    machines: DataFrame | Callable[[], DataFrame]
-    heartbeat: Heartbeat
-    dedup_ms: int = S.COIN_DEDUP_MS
-    max_delay_ms: int | None = None
-    block_rows: int | None = None
 
-    # -- tables ---------------------------------------------------------------
     def _path(self, name: str, batch: int) -> str:
         return f"{self.folder.rstrip('/')}/{name}/batch={batch}"
 
@@ -71,6 +58,24 @@ class IngestJob:
             raise ValueError(f"nothing written to {name} yet")
         return rows
 
+
+@dataclass
+class IngestJob(BatchTables):
+    """Messages to event log, ledger, alerts, audit and machine snapshots under ``folder``.
+
+    Every table is written to a folder of its micro-batch and overwritten when the
+    batch is retried, and a batch reads only what earlier batches wrote. A failed
+    batch can therefore run again without doubling anything. ``machines`` is the registry, or
+    a function that reads it as it is now: each batch joins it to the states that the batch before
+    left, so a machine added or a test mode changed meanwhile counts.
+    """
+
+    machines: DataFrame | Callable[[], DataFrame]
+    heartbeat: Heartbeat
+    dedup_ms: int = S.COIN_DEDUP_MS
+    max_delay_ms: int | None = None
+    block_rows: int | None = None
+
     def snapshot(self, batch: int) -> DataFrame:
         """Machine states a batch left behind."""
         return self.spark.read.parquet(self._path("snapshots", batch))
