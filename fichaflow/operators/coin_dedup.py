@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,24 @@ _NEVER = -(2**62)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def first_per_id(coins: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
+#: Known ids (machine_id, uid), or a function from the ids in question to those of them that are known.
+KnownIds = DataFrame | Callable[[DataFrame], DataFrame | None] | None
+
+
+def first_per_id(coins: DataFrame, known_ids: KnownIds = None) -> DataFrame:
     """Arrival number of the first coin of every (machine, id) not seen before.
 
     A grouped minimum, so copies of one id collapse before the shuffle.
     """
     firsts = coins.where(F.col("uid").isNotNull()).groupBy("machine_id", "uid").agg(F.min("seq").alias("seq"))
+    if callable(known_ids):
+        known_ids = known_ids(firsts.select("machine_id", "uid"))
     if known_ids is not None:
         firsts = firsts.join(known_ids.select("machine_id", "uid"), ["machine_id", "uid"], "left_anti")
     return firsts.select("seq")
 
 
-def mark_id_duplicates(coins: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
+def mark_id_duplicates(coins: DataFrame, known_ids: KnownIds = None) -> DataFrame:
     """Add ``duplicate``. Joins on the unique arrival number, which no id can skew."""
     firsts = first_per_id(coins, known_ids).withColumn("_first", F.lit(True))
     marked = coins.join(firsts, "seq", "left")
@@ -268,7 +274,7 @@ def mark_rate_limited(coins: DataFrame, dedup_ms: int = S.COIN_DEDUP_MS, hot: Ho
 def judge_coins(
     coins: DataFrame,
     dedup_ms: int = S.COIN_DEDUP_MS,
-    known_ids: DataFrame | None = None,
+    known_ids: KnownIds = None,
     last_coins: DataFrame | None = None,
     hot: HotKeys | None = None,
 ) -> DataFrame:

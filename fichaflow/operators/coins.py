@@ -9,11 +9,18 @@ from fichaflow.functions.times import between_days, local_day, parse_bound, pars
 from fichaflow.functions.values import number, strip
 
 
+def coin_number(coins: DataFrame):
+    """Coins in a group: ledger rows, or the sum of counts kept per machine and day (column ``n``)."""
+    return F.sum("n") if "n" in coins.columns else F.count(F.lit(1))
+
+
 def daily_income(
     coins: DataFrame, machine_id: str | None = None, start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Ledger rows per machine and local day, oldest first; days without coins are absent.
 
+    ``coins`` is the ledger or its kept counts, as in the functions below; with counts no ledger row is read.
+
     Bounds are a day or a month; anything else is no bound. They filter the stored
     ``local_day``, which partitions the ledger.
     """
@@ -24,16 +31,16 @@ def daily_income(
     cond = between_days(F.col("local_day"), parse_bound(start), parse_upper_bound(end))
     if cond is not None:
         coins = coins.where(cond)
-    counted = coins.groupBy("machine_id", F.col("local_day").alias("date")).agg(F.count(F.lit(1)).alias("income"))
+    counted = coins.groupBy("machine_id", F.col("local_day").alias("date")).agg(coin_number(coins).alias("income"))
     return counted.orderBy("machine_id", "date")
 
 
 def coins_by_machine(coins: DataFrame) -> DataFrame:
-    return coins.groupBy("machine_id").agg(F.count(F.lit(1)).alias("total_coins"))
+    return coins.groupBy("machine_id").agg(coin_number(coins).alias("total_coins"))
 
 
 def total_coins(coins: DataFrame) -> DataFrame:
-    return coins.agg(F.count(F.lit(1)).alias("total_coins"))
+    return coins.agg(F.coalesce(coin_number(coins), F.lit(0)).alias("total_coins"))
 
 
 def valid_coin_values(changes: DataFrame) -> DataFrame:

@@ -38,6 +38,22 @@ def _ntz(moment: dt.datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def range_bounds(
+    as_of: dt.datetime | None = None, range_: str | None = None, start: str | None = None, end: str | None = None
+) -> tuple[list[dt.datetime], list[dt.datetime]]:
+    """Lower and upper bounds in UTC; all of them apply."""
+    low, high = [], []
+    if range_ in RANGES:
+        if as_of is None:
+            raise ValueError("a range needs as_of")
+        low.append(as_of - dt.timedelta(days=RANGES[range_]))
+    if start:
+        low.append(_instant(start, end=False))
+    if end:
+        high.append(_instant(end, end=True))
+    return low, high
+
+
 def filter_events(
     events: DataFrame,
     as_of: dt.datetime | None = None,
@@ -52,15 +68,7 @@ def filter_events(
     wider, leave out the partitions of other days. ``as_of`` (UTC) is what a range counts
     back from.
     """
-    low, high = [], []
-    if range_ in RANGES:
-        if as_of is None:
-            raise ValueError("a range needs as_of")
-        low.append(as_of - dt.timedelta(days=RANGES[range_]))
-    if start:
-        low.append(_instant(start, end=False))
-    if end:
-        high.append(_instant(end, end=True))
+    low, high = range_bounds(as_of, range_, start, end)
     by_day = "local_day" in events.columns
     day = lambda moment, shift: F.lit((moment + dt.timedelta(days=shift)).date().isoformat()).cast("date")
     for moment in low:
@@ -92,20 +100,25 @@ def page_bounds(page: object, page_size: object) -> tuple[int, int]:
 SLICE_ROWS = 100_000
 
 
-def page_events(events: DataFrame, page: object = 1, page_size: object = S.DEFAULT_PAGE_SIZE) -> DataFrame:
+def page_events(
+    events: DataFrame, page: object = 1, page_size: object = S.DEFAULT_PAGE_SIZE, hours: DataFrame | None = None
+) -> DataFrame:
     """One page, newest first, ties by descending id.
 
     Every page is narrowed by counting rows per local day, a scan of the partition column alone,
     and then per hour, minute and second while the slice around the page is large. So
-    only the days of the page are read, and the final sort holds one slice.
+    only the days of the page are read, and the final sort holds one slice. With ``hours``, counts (slice, n) of the
+    events per hour from :func:`hour_counts`, nothing is counted in the log unless an hour is large.
     """
     number, size = page_bounds(page, page_size)
     skip = (number - 1) * size
-    units = [F.col("local_day").cast("timestamp_ntz") if "local_day" in events.columns
-             else local_day(F.col("timestamp")).cast("timestamp_ntz")]
-    units += [F.date_trunc(u, F.col("timestamp")).cast("timestamp_ntz") for u in ("hour", "minute", "second")]
-    for unit in units:
-        counts = events.groupBy(unit.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    by_day = "local_day" in events.columns
+    day = F.col("local_day").cast("timestamp_ntz") if by_day else local_day(F.col("timestamp")).cast("timestamp_ntz")
+    units = [] if hours is not None else [(day, None)]
+    units += [(F.date_trunc(u, F.col("timestamp")).cast("timestamp_ntz"), hours if u == "hour" else None) for u in ("hour", "minute", "second")]
+    for unit, counts in units:
+        if counts is None:
+            counts = events.groupBy(unit.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
         newest_first = Window.orderBy(F.col("slice").desc())
         ahead = F.coalesce(
             F.sum("n").over(newest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -117,15 +130,45 @@ def page_events(events: DataFrame, page: object = 1, page_size: object = S.DEFAU
         if hit[0] is None:
             return events.limit(0)
         events = events.where(unit.between(_ntz(hit[0]), _ntz(hit[1])))
+        if by_day and hours is not None:
+            near = [F.lit((x + dt.timedelta(days=d)).date().isoformat()).cast("date") for x, d in ((hit[0], -1), (hit[1], 1))]
+            events = events.where(F.col("local_day").between(*near))
         skip -= hit[2]
         if hit[3] <= SLICE_ROWS:
             break
     return events.orderBy(F.col("timestamp").desc(), F.col("id").desc()).offset(skip).limit(size)
 
 
+def hour_counts(
+    events: DataFrame, kept: DataFrame, low: list[dt.datetime], high: list[dt.datetime], include_pings: bool = False
+) -> DataFrame:
+    """(slice, n): rows per hour of the filtered ``events``, from counts (hour, type, n) kept with the log.
+
+    Only an hour that a bound cuts in two is counted in the log itself.
+    """
+    kept = kept if include_pings else exclude_pings(kept)
+    hour = lambda moment: moment.replace(minute=0, second=0, microsecond=0)
+    cut = sorted({hour(m) for m in [*low, *high]})
+    for moment in low:
+        kept = kept.where(F.col("hour") >= _ntz(hour(moment)))
+    for moment in high:
+        kept = kept.where(F.col("hour") <= _ntz(hour(moment)))
+    for moment in cut:
+        kept = kept.where(F.col("hour") != _ntz(moment))
+    whole = kept.groupBy(F.col("hour").alias("slice")).agg(F.sum("n").alias("n"))
+    for moment in cut:
+        edge = events.where((F.col("timestamp") >= _ntz(moment)) & (F.col("timestamp") < _ntz(moment + dt.timedelta(hours=1))))
+        if "local_day" in events.columns:
+            days = [F.lit((moment + dt.timedelta(days=d)).date().isoformat()).cast("date") for d in (-1, 1)]
+            edge = edge.where(F.col("local_day").between(*days))
+        whole = whole.unionByName(edge.agg(F.count(F.lit(1)).alias("n")).select(_ntz(moment).alias("slice"), "n"))
+    return whole.where("n > 0")
+
+
 def page_info(events: DataFrame, page: object = 1, page_size: object = S.DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Total and number of pages; ``events`` may be the counts of :func:`hour_counts`."""
     number, size = page_bounds(page, page_size)
-    total = F.count(F.lit(1))
+    total = F.coalesce(F.sum("n"), F.lit(0)) if "n" in events.columns else F.count(F.lit(1))
     return events.agg(
         total.alias("total"),
         F.lit(number).alias("page"),

@@ -183,7 +183,7 @@ def replay(
     heartbeat: Heartbeat | None = None,
     dedup_ms: int = S.COIN_DEDUP_MS,
     as_of: Column | None = None,
-    known_ids: DataFrame | None = None,
+    known_ids: coin_dedup.KnownIds = None,
     last_coins: DataFrame | None = None,
     block_rows: int = blocks.BLOCK_ROWS,
     with_coins: bool = True,
@@ -191,7 +191,7 @@ def replay(
 ) -> Replay:
     """Replay messages in arrival order from the registry's present state.
 
-    ``known_ids`` (machine_id, uid) and ``last_coins`` (machine_id, last_coin_ts) carry
+    ``known_ids`` (machine_id, uid, or a look-up of them) and ``last_coins`` (machine_id, last_coin_ts) carry
     coin history from before these messages. ``with_coins=False`` skips the coin
     checks for callers that need only machine states. ``max_delay_ms`` turns away
     messages whose device time lies further behind their arrival; by default none.

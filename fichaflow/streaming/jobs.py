@@ -19,6 +19,7 @@ from fichaflow.operators import alerts as alert_ops
 from fichaflow.operators.machine_state import Heartbeat
 from fichaflow.plans.replay import Replay, replay
 from fichaflow.session import configure
+from fichaflow.sources.known_ids import KnownIds
 from fichaflow.sources.tables import event_rows
 
 KEEP_COINS = "known_coin_ids"
@@ -83,27 +84,29 @@ class IngestJob(BatchTables):
     def _registry(self) -> DataFrame:
         return self.machines() if callable(self.machines) else self.machines
 
-    def _before(self, batch: int) -> tuple[DataFrame, DataFrame | None]:
+    def _before(self, batch: int) -> DataFrame:
         now = self._registry()
         if batch == 0:
             base = now.withColumns({
                 "last_seq": F.lit(None).cast("long"), "last_coin_ts": F.lit(None).cast("timestamp_ntz"),
             })
-            return base, None
+            return base
         left = self.snapshot(batch - 1).select(
             "id", F.col("status").alias("_status"), F.col("last_ping").alias("_ping"), "last_seq", "last_coin_ts"
         )
         before = now.join(left, "id", "left").withColumns({
             "status": F.coalesce("_status", "status"), "last_ping": F.coalesce("_ping", "last_ping"),
         }).drop("_status", "_ping")
-        ids = self._read(KEEP_COINS, "machine_id string, uid string, batch int")
-        return before, None if ids is None else ids.where(F.col("batch") < batch)
+        return before
 
     # -- one micro-batch ------------------------------------------------------
     def process(self, messages: DataFrame, batch: int) -> None:
         configure(self.spark)
         as_of = messages.agg(F.date_trunc("millisecond", F.max("received_at")).cast("timestamp_ntz")).first()[0]
-        before, known_ids = self._before(batch)
+        before = self._before(batch)
+        index = KnownIds(self.spark, f"{self.folder.rstrip('/')}/{KEEP_COINS}")
+        # only buckets that may hold ids of this batch are read, and only what earlier batches put there
+        known_ids = lambda ids: index.known(ids, F.col("batch").cast("int") < batch)
         if as_of is None:
             self._write(before, "snapshots", batch)
             return
@@ -117,7 +120,7 @@ class IngestJob(BatchTables):
         self._write(run.coins(), "coins", batch, by_day=True)
         self._write(alert_ops.build_alerts(run.alert_feed(), before), "alerts", batch)
         self._write(run.audit(), "ingest_audit", batch)
-        self._write(self._new_ids(run), KEEP_COINS, batch)
+        index.add(self._new_ids(run), str(batch))
         self._write(self._after(run), "snapshots", batch)
 
     @staticmethod
