@@ -2,17 +2,19 @@
 
 Rows of the matrix are distinct shingle sets (copies of a set are one row), columns are shingles. Columns are ordered
 from rare to frequent by a table of SLOTS hashed counts over all documents. If two sets of sizes m, n reach the similarity t,
-they overlap in at least t * max(m, n) shingles, so the first n - ceil(t * n) + 1 columns of either row share one.
-The product over this first block of each row gives the candidate pairs; those whose sizes alone rule the
-similarity out are discarded, and the overlap counts of the others are accumulated over all columns.
+they overlap in at least t / (1 + t) * (m + n) shingles. So they share a column early on: with their first shared columns at places i and j,
+neither n - i nor m - j may be less. Only the first n - ceil(t * n) + 1 columns of a row can meet that, and of the smaller row
+only those that allow a partner of its own size, its head.
 
-Within a column, pairs inside one component need no count, as they change nothing. So each column first pairs its rows
-with two leaders (the smallest row and the largest), which is linear in its rows. Only columns whose rows are
-then in several components pair the rows of different ones. All links between different sets are found or implied.
+The product over these columns finds candidate pairs, each by a column and the two places in it. Within a column, pairs inside one
+component need no count, as they change nothing. So each column first pairs its rows with one leader, the head row whose columns
+are the most frequent (an unedited text among edited copies), which is linear in its rows. Then heads meet rows of other
+components, under the bounds on sizes and places. Overlap counts of pairs are accumulated over blocks of columns, each joined to the pairs
+as arrays of hashes; after a block, pairs are discarded whose count cannot reach the bound with all columns that remain.
+Texts are never shuffled. All links between different sets are found or implied.
 
 Sets are compared by 64-bit hashes of shingles, sets as a whole by 64 bits. Null and empty texts have no set: they are
-linked with nothing. Ids should be unique: of rows that repeat an id with different texts, either text may stand for
-both where overlaps are counted. A null id has a null
+linked with nothing. Rows that repeat an id each have their own text's set and get the component of that text. A null id has a null
 component. Further columns are ignored here; empty tables give empty results.
 """
 
@@ -38,6 +40,8 @@ SLOTS, SEGMENTS = 1 << 20, 256
 FILTER_BITS = 1 << 24
 #: Sets that a task remembers, to pass on the columns of copies once.
 SEEN_SETS = 200_000
+#: Blocks of columns that overlaps are counted over, by the first bits of a column: a quarter of all, then the rest.
+BLOCK_EDGES = (-(1 << 62) * 2, -(1 << 62), (1 << 62) * 2)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +85,14 @@ def count_columns(docs: DataFrame, size: int) -> np.ndarray:
     return np.minimum(out.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
 
 
+def set_hashes(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """64 bits of each set; hashes from edge[k] to edge[k + 1] are set k."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    return mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(np.diff(edge).astype(np.uint64))).view(np.int64)
+
+
 def first_columns(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, row, n, columns): hash and size of each document's set, and its first block of columns.
+    """(id, row, n, weight, columns): hash and size of each document's set, how frequent its columns are, and the first of them.
 
     columns is null for documents whose set the task has passed on already; row is null for an empty set.
     """
@@ -95,24 +105,33 @@ def first_columns(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 owner, hashes = shingle_sets(part.column("text"), size)
                 n = np.bincount(owner, minlength=part.num_rows)
                 edge = np.concatenate([[0], np.cumsum(n)])
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-                row = mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(n.astype(np.uint64))).view(np.int64)
-                order = np.lexsort((hashes, frequent.value[(hashes % np.uint64(SLOTS)).astype(np.int64)], owner))
-                ranked = hashes[order].view(np.int64)
+                row = set_hashes(hashes, edge)
+                often = frequent.value[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((hashes, often, owner))
+                ranked, often = hashes[order].view(np.int64), often[order]
                 length = n - -(-percent * n // 100) + 1
                 columns, known = [], part.column("id").is_valid().to_pylist()
+                weight = np.zeros(part.num_rows, np.int32)
                 for k, key in enumerate(row.tolist()):
                     new = n[k] and known[k] and key not in seen
                     columns.append(ranked[edge[k]:edge[k] + length[k]] if new else None)
                     if new:
                         seen.add(key)
+                        weight[k] = often[edge[k]]
                 if len(seen) > SEEN_SETS:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"), pa.array(row, mask=n == 0), pa.array(n.astype(np.int64)), pa.array(columns, pa.list_(pa.int64())),
-                ], ["id", "row", "n", "columns"])
+                    part.column("id"), pa.array(row, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(weight),
+                    pa.array(columns, pa.list_(pa.int64())),
+                ], ["id", "row", "n", "weight", "columns"])
+
+    return docs.mapInArrow(rows, "id long, row long, n int, weight int, columns array<long>")
+
 
-    return docs.mapInArrow(rows, "id long, row long, n long, columns array<long>")
+def bounds(percent: int) -> str:
+    """Whether row a of n shingles may reach the similarity with the row b of m, first shared columns at places i and j; b is the smaller one."""
+    return (f"(m < n or m = n and b < a) and 100L * m >= {percent}L * n and {percent}L * (n + m) <= {100 + percent}L * (n - i)"
+            f" and {percent}L * (n + m) <= {100 + percent}L * (m - j)")
 
 
 def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -120,81 +139,95 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = stored(first_columns(docs, size, percent), "rows")
     sets = rows.filter("row is not null and id is not null")
-    classes = sets.groupBy("row").agg(F.min("id").alias("first"), F.min("n").alias("n"))
+    classes = sets.groupBy("row").agg(F.min("id").alias("first"))
 
     # a row may come once from each task; that changes neither leaders nor links
-    block = sets.select(F.explode("columns").alias("column"), "row")
-    leaders = block.groupBy("column").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low <> high")
-    shared = stored(block.join(leaders, "column").distinct(), "block")
-    candidates = stored(classes.join(shared.select("row").distinct(), "row", "left_semi"), "candidates")
-    texts = stored(_texts(docs, candidates), "texts")
-
-    bound = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    size_a = texts.select(F.col("row").alias("a"), "n")
-    size_b = texts.select(F.col("row").alias("b"), F.col("n").alias("m"))
-    stars = shared.select("row", F.explode(F.array("low", "high")).alias("leader")).filter("row <> leader")
-    pairs = stars.select(F.greatest("row", "leader").alias("a"), F.least("row", "leader").alias("b")).distinct()
-    pairs = pairs.join(size_a, "a").join(size_b, "b").filter(bound).select("a", "b")
-    root = stored(components(overlaps(pairs, texts, size, percent)), "roots")
-
-    own = shared.select("column", "row").join(texts.select("row", "n"), "row").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    several = own.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("column")
-    left = stored(own.join(several, "column", "left_semi"), "left")
-    other = left.select("column", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = left.join(other, "column").filter("root < other").filter(bound).select(F.col("row").alias("a"), "b").distinct()
-    found = stored(overlaps(pairs, texts, size, percent), "pairs")
-    if not found.isEmpty():
+    block = sets.select("row", "n", "weight", F.posexplode("columns").alias("i", "column"))
+    head = f"{2 * percent}L * n <= {100 + percent}L * (n - i)"
+    leader = F.max(F.struct("weight", "row", F.col("n").alias("m"), F.col("i").alias("j"))).alias("leader")
+    leaders = block.filter(head).groupBy("column").agg(leader)
+    shared = block.join(leaders, "column").filter("row <> leader.row").select("column", "row", "n", "i", "leader.m", "leader.j", F.col("leader.row").alias("leader"))
+    shared = stored(shared.distinct(), "block")
+
+    # either of a row and its leader may be the smaller one
+    swap = lambda a, b: F.when(F.col("n") >= F.col("m"), F.col(a)).otherwise(F.col(b))
+    tie = "n = m and leader > row"
+    pairs = shared.select(
+        F.when(F.expr(tie), F.col("leader")).otherwise(swap("row", "leader")).alias("a"),
+        F.when(F.expr(tie), F.col("row")).otherwise(swap("leader", "row")).alias("b"),
+        swap("n", "m").alias("n"), swap("m", "n").alias("m"),
+        F.when(F.expr(tie), F.col("j")).otherwise(swap("i", "j")).alias("i"), F.when(F.expr(tie), F.col("i")).otherwise(swap("j", "i")).alias("j"))
+    pairs = stored(pairs.filter(bounds(percent)).select("a", "b", "n", "m").distinct(), "pairs")
+    found = overlaps(pairs, docs, classes, size, percent)
+    root = stored(components(found), "roots")
+
+    own = shared.select("column", "row", "n", "i").join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    several = own.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or(F.expr(head)).alias("some")).filter("low <> high and some")
+    left = stored(own.join(several.select("column"), "column", "left_semi"), "left")
+    smaller = left.filter(head).select("column", F.col("row").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    pairs = left.withColumnRenamed("row", "a").join(smaller, "column").filter(f"root <> other and {bounds(percent)}")
+    pairs = stored(pairs.select("a", "b", "n", "m").distinct(), "pairs")
+    if not pairs.isEmpty():
+        found = overlaps(pairs, docs, classes, size, percent)
         root = components(found.union(root.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     placed = classes.join(root.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_row = placed.join(smallest, "root").select("row", "component_id")
     return rows.select("id", "n", "row").join(of_row, "row", "left").select(
-        "id", F.col("n").alias("n_shingles"),
+        "id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(row, n, text) of the first document of some sets.
+def incidence(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(row, block, columns): columns of the sets (row, first) in blocks, from the text of the first document of each.
 
-    A bit table of fixed size, set by the hashed ids, spares most other texts the shuffle; the join decides.
+    A bit table of fixed size, set by the hashed ids, spares most other texts the work; the join decides.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     bit = F.expr("bit_or(shiftleft(1L, cast(place % 32 AS INT)))").alias("bits")
-    word = classes.select(F.col("first").alias("id")).select(place.alias("place")).groupBy(
+    word = wanted.select(F.col("first").alias("id")).select(place.alias("place")).groupBy(
         F.floor(F.col("place") / 32).alias("word")).agg(bit)
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     table = word.toPandas()
     bits[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("place").to_numpy(zero_copy_only=False)
             hit = shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1
-            yield batch.filter(pa.array(hit == 1)).select(["id", "text"])
-
-    some = docs.filter("id is not null").withColumn("place", place).mapInArrow(maybe, "id long, text string")
-    return some.join(classes, some["id"] == classes["first"]).select("row", "n", "text")
-
-
-def overlaps(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows whose overlap over all columns reaches the similarity."""
-    ta = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text_a"):
-                oa, ha = shingle_sets(part.column("text_a"), size)
-                ob, hb = shingle_sets(part.column("text_b"), size)
-                owner, hashes = np.concatenate([oa, ob]), np.concatenate([ha, hb])
-                order = np.lexsort((hashes, owner))
-                owner, hashes = owner[order], hashes[order]
-                both = owner[1:][(owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])]
-                n = part.num_rows
-                inter = np.bincount(both, minlength=n)
-                union = np.bincount(owner, minlength=n) - inter
-                yield part.select(["a", "b"]).filter(pa.array(100 * inter >= percent * union))
-
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(count, "a long, b long")
+            for part in chunks(batch.filter(pa.array(hit == 1)), "text"):
+                owner, hashes = shingle_sets(part.column("text"), size)
+                n = np.bincount(owner, minlength=part.num_rows)
+                edge = np.concatenate([[0], np.cumsum(n)])
+                row = set_hashes(hashes, edge)
+                held = hashes.view(np.int64)
+                for k, (low, high) in enumerate(zip(BLOCK_EDGES, BLOCK_EDGES[1:])):
+                    inside = (held >= low) & (held < high)
+                    count = np.bincount(owner[inside], minlength=part.num_rows)
+                    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(held[inside]))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id"), pa.array(row), pa.array(np.full(part.num_rows, k, np.int32)), lists], ["id", "row", "block", "columns"])
+
+    some = docs.filter("id is not null").withColumn("place", place).mapInArrow(columns, "id long, row long, block int, columns array<long>")
+    own = wanted.select("row", F.col("first").alias("id"))
+    return some.join(own, ["row", "id"], "left_semi").drop("id").dropDuplicates(["row", "block"])
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows, of those (a, b, n, m), whose overlap over all blocks of columns reaches the similarity."""
+    nodes = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    wanted = stored(classes.join(nodes, "row", "left_semi"), "wanted")
+    held = stored(incidence(docs, wanted, size), "incidence")
+    left = pairs.select("a", "b", "n", "m", F.lit(0).alias("common"), F.col("n").alias("rest_a"), F.col("m").alias("rest_b"))
+    for k in range(len(BLOCK_EDGES) - 1):
+        mine = held.filter(F.col("block") == k)
+        left = left.join(mine.select(F.col("row").alias("a"), F.col("columns").alias("of_a")), "a").join(
+            mine.select(F.col("row").alias("b"), F.col("columns").alias("of_b")), "b")
+        left = left.select(
+            "a", "b", "n", "m", (F.col("common") + F.size(F.array_intersect("of_a", "of_b"))).alias("common"),
+            (F.col("rest_a") - F.size("of_a")).alias("rest_a"), (F.col("rest_b") - F.size("of_b")).alias("rest_b"))
+        left = stored(left.filter(f"{100 + percent}L * (common + least(rest_a, rest_b)) >= {percent}L * (n + m)"), "counted")
+    return left.select("a", "b")
