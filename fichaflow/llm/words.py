@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -20,7 +21,12 @@ GAP_PATTERN = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are hashed at once; a longer single text is hashed alone.
 CHUNK_BYTES = 3_000_000
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bytes of a word that are hashed in steps of eight.
+LONG_WORD = 64
+
+_WORD_BASE = 0xD6E8FEB86659FD93
+_CHAIN, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -90,13 +96,28 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word. Different words of one length of up to eight bytes never share one.
+
+        Eight bytes at a time are chained into it; words above LONG_WORD bytes take a digest of their bytes.
+        """
         if self._hashes is None:
-            letters = mix(np.arange(1, 257, dtype=np.uint64))
-            up, down = powers(_BYTE_BASE, len(self.data) + 1)
-            total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(letters[self.data] * up[:len(self.data)], out=total[1:])
-            self._hashes = mix((total[self.end] - total[self.start]) * down[self.start])
+            size = self.end - self.start
+            # all eight-byte stretches of the data, at any offset
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+            held = np.zeros(len(self), np.uint64)
+            todo, at = np.arange(len(self)), 0
+            while len(todo):
+                left = size[todo] - at
+                chunk = eight[self.start[todo] + at] & _KEEP[np.minimum(left, 8)]
+                held[todo] = mix(held[todo] ^ chunk ^ (np.uint64(0) if at == 0 else _CHAIN))
+                at += 8
+                todo = todo[left > 8] if at < LONG_WORD else todo[:0]
+            held = mix(held + _SIZE * size.astype(np.uint64))
+            for k in np.flatnonzero(size > LONG_WORD):
+                word = self.data[self.start[k]:self.end[k]].tobytes()
+                held[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            self._hashes = held
         return self._hashes
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
