@@ -17,8 +17,8 @@ At a similarity of 0.8 about 10 % of the words differ at most, which changes 9 o
 standard deviation; the radius is five of these above.
 
 Null and empty texts have no windows, items without words no anchors; an item of fewer than five words is one shingle. A
-document shorter than the item is its own window. Null ids of documents or items are left out. Rows that repeat an id count as
-one. Further columns are ignored; empty tables give empty results.
+document shorter than the item is its own window. Null ids of documents or items are left out. Of rows that repeat an
+id, each text is searched, and the best window of them counts. Further columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SHINGLE, PERCENT, RADIUS, BITS = 5, 80, 23, 64
 #: Anchors up to this number are sent to all tasks; more meet the words in a join that shuffles.
 BROADCAST_ANCHORS = 50_000
+#: The lowest bit of four lanes of 16 bits, and words that the lanes of a signed number can count.
+LANE_ONES, LANE_WORDS = 0x0001000100010001, 32_767
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,12 +55,28 @@ def lost_if_short(m: Column, percent: int) -> Column:
 
 
 def fingerprint(words: Column) -> Column:
-    """64 bits, each the majority over the hashes of the words; a tie is 0."""
+    """64 bits, each the majority over the hashes of the words; a tie is 0.
+
+    Bits are counted four at a time, in lanes of 16 bits, each step adding every sixteenth bit of all hashes; windows of more
+    words than a lane can count take their bits one by one.
+    """
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    ones = lambda h, b: F.aggregate(h, F.lit(0).cast("long"), lambda total, x: total + F.call_function("getbit", x, b))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"),
-        lambda out, b: F.when(2 * ones(hashes, b) > F.size(words), out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(out))
+    bind = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    shift = lambda x, by: F.call_function("shiftleft", x, by)
+    unsigned = lambda x, by: F.call_function("shiftrightunsigned", x, by)
+
+    def lanes(h: Column, g: Column) -> Column:
+        total = F.aggregate(h, zero, lambda t, x: t + unsigned(x, g).bitwiseAND(F.lit(LANE_ONES)))
+        bits = lambda t: [F.when(2 * F.shiftrightunsigned(t, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")) > F.size(h), shift(one, g + 16 * k))
+                          .otherwise(zero) for k in range(4)]
+        return bind(total, lambda t: bits(t)[0].bitwiseOR(bits(t)[1]).bitwiseOR(bits(t)[2]).bitwiseOR(bits(t)[3]))
+
+    ones = lambda h, b: F.aggregate(h, zero, lambda total, x: total + F.call_function("getbit", x, b))
+    fast = lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(15)), zero, lambda out, g: out.bitwiseOR(lanes(h, g)))
+    slow = lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), zero, lambda out, b: F.when(
+        2 * ones(h, b) > F.size(h), out.bitwiseOR(shift(one, b))).otherwise(out))
+    return bind(hashes, lambda h: F.when(F.size(h) <= LANE_WORDS, fast(h)).otherwise(slow(h)))
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
@@ -104,39 +122,40 @@ def anchors(items: DataFrame, percent: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(doc, size, start, words): windows of documents placed by anchors."""
+    """(doc, copy, size, start, words): windows of documents placed by anchors; copy tells texts of one id apart."""
     marks = marks.withColumnRenamed("word", "mark")
     meets = (F.col("word") == F.col("mark")) & (~F.col("short") | (F.col("length") < F.col("size")))
     docs = docs.withColumn("length", F.size("words"))
     if marks.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
         # the words of a document stay beside each of them, as nothing is shuffled
-        met = docs.select("doc", "words", "length", F.posexplode("words").alias("pos", "word")).join(F.broadcast(marks), meets)
+        met = docs.select("doc", "copy", "words", "length", F.posexplode("words").alias("pos", "word")).join(F.broadcast(marks), meets)
     else:
-        places = docs.select("doc", "length", F.posexplode("words").alias("pos", "word")).join(marks, meets).drop("length")
-        met = places.join(docs, "doc")
+        places = docs.select("doc", "copy", "length", F.posexplode("words").alias("pos", "word")).join(marks, meets).drop("length")
+        met = places.join(docs, ["doc", "copy"])
     first = F.col("pos") - F.col("at")
     met = met.filter((first >= 0) & (F.slice("words", F.greatest(first, F.lit(0)) + 1, F.size("shingle")) == F.col("shingle")))
     slack, begin, room = lost(F.col("m"), percent), first - F.col("offset"), F.size("words") - F.col("size")
     low = F.greatest(F.lit(0), F.least(begin - slack, room))
     high = F.greatest(F.lit(0), F.least(begin + slack, room))
-    near = met.select("doc", "size", low.alias("low"), (high - low).cast("int").alias("more"),
-                      F.slice("words", low + 1, high - low + F.col("size")).alias("around")).dropDuplicates(["doc", "size", "low", "more"])
-    each = near.select("doc", "size", "low", "around", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("step"))
-    return each.select("doc", "size", (F.col("low") + F.col("step")).cast("int").alias("start"),
-                       F.slice("around", F.col("step") + 1, F.col("size")).alias("words")).dropDuplicates(["doc", "size", "start"])
+    near = met.select("doc", "copy", "size", low.alias("low"), (high - low).cast("int").alias("more"),
+                      F.slice("words", low + 1, high - low + F.col("size")).alias("around")).dropDuplicates(["doc", "copy", "size", "low", "more"])
+    each = near.select("doc", "copy", "size", "low", "around", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("step"))
+    return each.select("doc", "copy", "size", (F.col("low") + F.col("step")).cast("int").alias("start"),
+                       F.slice("around", F.col("step") + 1, F.col("size")).alias("words")).dropDuplicates(["doc", "copy", "size", "start"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                item_text: str = "text", percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(doc, item, similarity, start, size): each document and item that it leaks, with the most similar, first window."""
     items = benchmark_items(benchmark, item_key, item_text)
-    docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), words_of(F.col(text)).alias("words"))
+    docs = docs.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("doc"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("copy"), words_of(F.col(text)).alias("words"))
     found = windows(docs, anchors(items, percent), percent).withColumn("print", fingerprint(F.col("words")))
     known = in_blocks(items.select("item", "size", fingerprint(F.col("item_words")).alias("item_print")).withColumn(
         "print", F.col("item_print")), radius).select("item", "size", "item_print", "block", "value")
     near = in_blocks(found, radius).join(known, ["size", "block", "value"]).filter(
         F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    pairs = near.dropDuplicates(["doc", "size", "start", "item"]).select("doc", "start", "words", "item")
+    pairs = near.dropDuplicates(["doc", "copy", "size", "start", "item"]).select("doc", "start", "words", "item")
     judged = pairs.join(items.select("item", "size", "item_shingles"), "item").withColumn(
         "similarity", similarity(F.col("item_shingles"), shingles(F.col("words"))))
     leaks = judged.filter(F.col("similarity") >= percent / 100 - 1e-12)
