@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -120,12 +121,24 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", rul
     return docs.withColumn(into, spans(F.col(f"`{text}`")))
 
 
+def code_points(data: bytes, positions: Iterable[int]) -> dict[int, int]:
+    """Code points ahead of each byte position, counted once over the text."""
+    out, done, count = {}, 0, 0
+    for at in sorted(set(positions)):
+        count += len(data[done:at].decode("utf-8", "surrogatepass"))
+        out[at] = count
+        done = at
+    return out
+
+
 def in_code_points(scanner: Scanner, text: str) -> list[dict]:
     data = text.encode("utf-8", "surrogatepass")
     found = scanner.spans(data)
-    plain = len(data) == len(text)
-    point = (lambda at: at) if plain else (lambda at: len(data[:at].decode("utf-8", "surrogatepass")))
-    return [{"kind": scanner.rules[k].kind, "start": point(at), "end": point(end)} for at, end, k in found]
+    kind = lambda k: scanner.rules[k].kind
+    if len(data) == len(text):
+        return [{"kind": kind(k), "start": at, "end": end} for at, end, k in found]
+    point = code_points(data, (x for span in found for x in span[:2]))
+    return [{"kind": kind(k), "start": point[at], "end": point[end]} for at, end, k in found]
 
 
 def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
