@@ -2,7 +2,7 @@
 
 A line with a word fails for the first of these reasons that holds:
   symbols      more than a tenth of its word characters are symbols
-  navigation   it has three separators of menu entries or more
+  navigation   it has three separators of menu entries or more, and one in 40 word characters
   repetition   more than half of its words equal the word before
   boilerplate  it is short and has a phrase of page furniture or licences
   punctuation  no part of it ends like a sentence, with or without closing quotes and brackets
@@ -34,8 +34,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
 SYMBOLS = "[#*$%&|<>]"
 # Line rules. A phrase counts in lines of up to SHORT_LINE word characters.
-MIN_KEPT_PERCENT, SHORT_LINE, MENU_MARKS = 50, 160, 3
-SEPARATORS = "[|>»·•]"
+# A menu has MENU_MARKS separators and one in MENU_SPAN word characters; a » counts unless a « of the line pairs it off.
+MIN_KEPT_PERCENT, SHORT_LINE, MENU_MARKS, MENU_SPAN = 50, 160, 3, 40
+SEPARATORS = "[|>·•]"
 SENTENCE_END = "[.!?:;…。！？][\"'”’»)\\]]*( |$)"
 PHRASES = (
     "all rights reserved|privacy policy|terms of (use|service)|cookie|click here|sign (in|up)|log in|subscribe|newsletter"
@@ -59,7 +60,8 @@ class LineRules:
         size = chars(line)
         if 10 * len(self.symbol.findall(line)) > size:
             return "symbols"
-        if len(self.separator.findall(line)) >= MENU_MARKS:
+        marks = len(self.separator.findall(line)) + max(0, line.count("»") - line.count("«"))
+        if marks >= MENU_MARKS and MENU_SPAN * marks >= size:
             return "navigation"
         words = line.encode("utf-8", "surrogatepass").split()
         if 2 * sum(map(eq, words, words[1:])) > len(words):

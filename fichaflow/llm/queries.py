@@ -257,13 +257,15 @@ covered AS (
   SELECT doc_id, count(DISTINCT j) AS n FROM (
     SELECT doc_id, unnest(range(i, i + {_Q.WINDOW})) AS j FROM windows JOIN twice USING (doc_id, k)) GROUP BY 1),
 lines AS (
-  SELECT doc_id, line, trim(line, {_SPACES}) AS t, regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g') AS c,
+  SELECT doc_id, line, trim(line, {_SPACES}) AS t,
+         len(regexp_extract_all(line, '{_Q.SEPARATORS}'))
+         + greatest(0, len(regexp_extract_all(line, '»')) - len(regexp_extract_all(line, '«'))) AS marks, regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g') AS c,
          regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
 judged AS (
   SELECT doc_id, line, length(c) AS size,
          10 * len(regexp_extract_all(t, '{_Q.SYMBOLS}')) > length(c)
-         OR len(regexp_extract_all(t, '{_Q.SEPARATORS}')) >= {_Q.MENU_MARKS}
+         OR marks >= {_Q.MENU_MARKS} AND {_Q.MENU_SPAN} * marks >= length(c)
          OR 2 * len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > len(w)
          OR length(c) <= {_Q.SHORT_LINE} AND regexp_matches(
               translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_Q.PHRASES}')
