@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths written during a tracked call, and those of the call before, whose result has been stored since.
+_made: list[str] | None = None
+_done: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a written table: computed once, and read again if an executor is lost."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def tracked(spark: SparkSession) -> Iterator[None]:
+    """Remember what is stored meanwhile, and delete what the tracked call before this one stored.
+
+    For calls whose results are written before the next one begins, as stages of a pipeline are.
+    """
+    global _made
+    for path in _done:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _done.clear()
+    _made = []
+    try:
+        yield
+    finally:
+        _done.extend(_made)
+        _made = None
