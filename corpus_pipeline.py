@@ -13,11 +13,14 @@ row stays in stages 2 and 3. Rows that repeat an id go or stay together. The las
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fichaflow.llm import decontaminate, jaccard_join, pieces, quality_rules, secret_scan
 from fichaflow.llm.queries import PIECES_FILE, prepared, table
-from fichaflow.llm.storage import stored
+from fichaflow.llm.storage import stored, tracked
 
 #: No SQL can express the last stage.
 ORACLE_SQL = None
@@ -27,13 +30,28 @@ def quoted(name: str):
     return F.col(f"`{name}`")
 
 
+def stage(fn: Callable) -> Callable:
+    """A stage; the tables that the stage before it stored on its way are deleted, as its result is written by now."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with tracked(prepared(spark)):
+            return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are not listed; null ids stay."""
+    """The documents whose ids are not listed; null ids stay.
+
+    The ids are stored first, so their size is known when the join is planned: a short list goes to the texts.
+    """
+    ids = stored(ids.distinct(), "ids")
     return docs.join(ids, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepared(spark)
     # further columns travel as one, so that none has the name of a verdict
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     judged = quality_rules.clean_lines(docs.select(F.struct(*map(quoted, rest)).alias("rest"), "text")).filter("kept")
@@ -41,24 +59,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.select(*(new[c].alias(c) if c in new else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepared(spark)
     copies = jaccard_join.link_sets(docs).filter("component_id < id").select(F.col("id").alias("doc_id"))
     return without(docs, copies)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepared(spark)
-    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("doc_id")).distinct())
+    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc").alias("doc_id")))
 
 
+@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepared(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepared(spark)
     return pieces.encode_texts(docs, PIECES_FILE)
 
 
@@ -73,8 +91,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = stored(docs, "stage")
     return docs
