@@ -71,11 +71,12 @@ def count_columns(docs: DataFrame, size: int) -> np.ndarray:
                 _, hashes = shingle_sets(part.column("text"), size)
                 total += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         if total.any():
-            rows = [x.astype("<i8").tobytes() for x in total.reshape(SEGMENTS, width)]
+            kind = "<i4" if total.max() < 1 << 31 else "<i8"
+            rows = [x.astype(kind).tobytes() for x in total.reshape(SEGMENTS, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(rows, pa.binary())], ["segment", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<i8") for x in group["counts"])
+        total = sum(np.frombuffer(x, f"<i{len(x) // width}").astype(np.int64) for x in group["counts"])
         return pd.DataFrame({"segment": group["segment"].iloc[:1], "counts": [total.tobytes()]})
 
     parts = docs.select("text").mapInArrow(count, "segment int, counts binary")
@@ -149,15 +150,12 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     shared = block.join(leaders, "column").filter("row <> leader.row").select("column", "row", "n", "i", "leader.m", "leader.j", F.col("leader.row").alias("leader"))
     shared = stored(shared.distinct(), "block")
 
-    # either of a row and its leader may be the smaller one
-    swap = lambda a, b: F.when(F.col("n") >= F.col("m"), F.col(a)).otherwise(F.col(b))
-    tie = "n = m and leader > row"
-    pairs = shared.select(
-        F.when(F.expr(tie), F.col("leader")).otherwise(swap("row", "leader")).alias("a"),
-        F.when(F.expr(tie), F.col("row")).otherwise(swap("leader", "row")).alias("b"),
-        swap("n", "m").alias("n"), swap("m", "n").alias("m"),
-        F.when(F.expr(tie), F.col("j")).otherwise(swap("i", "j")).alias("i"), F.when(F.expr(tie), F.col("i")).otherwise(swap("j", "i")).alias("j"))
-    pairs = stored(pairs.filter(bounds(percent)).select("a", "b", "n", "m").distinct(), "pairs")
+    # the bounds hold for the larger one as a; the overlap is counted with the leader as b, as few rows are leaders
+    larger = shared.withColumns({"a": F.col("row"), "b": F.col("leader")}).filter(bounds(percent))
+    turned = {"a": "leader", "b": "row", "n": "m", "m": "n", "i": "j", "j": "i"}
+    smaller = shared.select(*(F.col(old).alias(new) for new, old in turned.items())).filter(bounds(percent))
+    pairs = larger.select("a", "b", "n", "m").union(smaller.select("b", "a", "m", "n"))
+    pairs = stored(pairs.distinct(), "pairs")
     found = overlaps(pairs, docs, classes, size, percent)
     root = stored(components(found), "roots")
 
@@ -213,7 +211,7 @@ def incidence(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     some = docs.filter("id is not null").withColumn("place", place).mapInArrow(columns, "id long, row long, block int, columns array<long>")
     own = wanted.select("row", F.col("first").alias("id"))
-    return some.join(own, ["row", "id"], "left_semi").drop("id").dropDuplicates(["row", "block"])
+    return some.join(own, ["row", "id"], "left_semi").drop("id")
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -221,11 +219,14 @@ def overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     nodes = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     wanted = stored(classes.join(nodes, "row", "left_semi"), "wanted")
     held = stored(incidence(docs, wanted, size), "incidence")
+    if held.count() > wanted.count() * (len(BLOCK_EDGES) - 1):  # rows of the table that repeat an id and its text
+        held = stored(held.dropDuplicates(["row", "block"]), "incidence")
+    second = stored(pairs.select(F.col("b").alias("row")).distinct(), "second")
     left = pairs.select("a", "b", "n", "m", F.lit(0).alias("common"), F.col("n").alias("rest_a"), F.col("m").alias("rest_b"))
     for k in range(len(BLOCK_EDGES) - 1):
         mine = held.filter(F.col("block") == k)
-        left = left.join(mine.select(F.col("row").alias("a"), F.col("columns").alias("of_a")), "a").join(
-            mine.select(F.col("row").alias("b"), F.col("columns").alias("of_b")), "b")
+        of_b = mine.join(second, "row", "left_semi").select(F.col("row").alias("b"), F.col("columns").alias("of_b"))
+        left = left.join(mine.select(F.col("row").alias("a"), F.col("columns").alias("of_a")), "a").join(of_b, "b")
         left = left.select(
             "a", "b", "n", "m", (F.col("common") + F.size(F.array_intersect("of_a", "of_b"))).alias("common"),
             (F.col("rest_a") - F.size("of_a")).alias("rest_a"), (F.col("rest_b") - F.size("of_b")).alias("rest_b"))
