@@ -4,7 +4,7 @@ Features are the n-grams of one to three characters of the lower-cased text, eve
 hashed into SLOTS entries. Spark counts in how many training documents each occurs, over all of them; a document
 is the unit vector of (1 + log count) * idf. Weights are learned by follow-the-regularised-leader with L1 and L2 penalties
 on a sample of about SAMPLE training documents: learners see about LEARNER of them each, and Spark averages their
-weights. A fifth of the sample is left to set the temperature that divides the logits. The sample is chosen by a hash
+weights; a weight that most learners leave at zero is zero. A fifth of the sample is left to set the temperature that divides the logits. The sample is chosen by a hash
 of the id with a threshold from the number of documents, so its size does not grow; all documents are predicted.
 
 A null text and one without letters are `und` with score 0, as is every text when no training document has a language.
@@ -30,9 +30,24 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLOTS, LONGEST = 1 << 15, 3
 SAMPLE, LEARNER, EPOCHS = 10_240, 1024, 5
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 0.1
 UNDETERMINED = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _spans(points: list[int]) -> str:
+    """A character class of code points, as ranges."""
+    out: list[list[int]] = []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+#: What a pattern calls a word character without being a letter: digits, fractions, superscripts and other numbers.
+_NUMBERS = _spans([p for p in range(sys.maxunicode + 1) if (c := chr(p)).isalnum() and not c.isalpha()])
+_NO_LETTERS = re.compile(rf"[\W_{_NUMBERS}]+")
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +171,8 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     shard = F.pmod(F.xxhash64(F.lit("learner"), "id"), F.lit(learners))
     parts = sample.groupBy(shard.alias("shard")).applyInPandas(learn, "at long, w double, rows long")
     used = max(1, sample.select(shard).distinct().count())
-    mean = parts.groupBy("at").agg((F.sum("w") / used).alias("w")).toPandas()
+    mean = parts.groupBy("at").agg((F.sum("w") / used).alias("w"), F.count("*").alias("held"))
+    mean = mean.filter(2 * F.col("held") >= used).select("at", "w").toPandas()
     flat = np.zeros(SLOTS * width + width)
     flat[mean["at"].to_numpy(np.int64)] = mean["w"].to_numpy(float)
     model.weights, model.bias = flat[:SLOTS * width].reshape(SLOTS, width), flat[SLOTS * width:]
