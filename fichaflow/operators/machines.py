@@ -34,9 +34,9 @@ def _number(batch: DataFrame, machines: DataFrame, block_rows: int) -> DataFrame
 
     In arrival order each number is one above the largest so far, explicit ones
     included: ``g + max(existing, max(e - g))`` with ``g`` the numbers given so far.
-    There are two prefixes only, so every batch is cut into blocks.
+    There are two prefixes only, so a large batch is cut into blocks; a small one is one block per prefix.
     """
-    rows = batch.join(blocks.cut_by_rank(batch, "_prefix", block_rows), "seq")
+    rows = blocks.with_blocks(batch, "_prefix", blocks.find_hot_keys(batch, "_prefix", block_rows))
     w = Window.partitionBy("_prefix", BLK).orderBy("seq")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_g", F.count_if(F.col("_explicit").isNull()).over(so_far))

@@ -126,14 +126,35 @@ def apply_profile_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
     }).select(*users.columns)
 
 
-def apply_user_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Full overwrite: what a change omits becomes null, and the last of several changes (by seq) stands.
+def judge_user_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """User changes (seq, id, role, name, shift, document_id, job_role) with ``reject``, null when they may apply.
 
-    The role defaults to employee; a change with an unknown role is ignored.
+    The role defaults to employee. A document must differ from all other users' and from one that another
+    user's usable change claims earlier in the batch; a document given up in the batch is free in the next one.
     """
-    role = F.coalesce("role", F.lit("employee"))
-    new = changes.where(role.isin(*S.ROLES)).groupBy("id").agg(F.max_by(F.struct(
-        role.alias("_role"), *[F.col(c).alias(f"_{c}") for c in ("name", "shift", "document_id", "job_role")],
+    c = changes.select(
+        "seq", "id", F.coalesce("role", F.lit("employee")).alias("role"), "name", "shift", nonempty(F.col("document_id")).alias("document_id"), "job_role")
+    c = c.join(users.select("id", F.lit(True).alias("_known")), "id", "left")
+    owners = users.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(
+        F.min("id").alias("_owner"), F.max("id").alias("_other"))
+    c = _left(c, owners, "document_id")
+    taken = (F.col("_owner") != F.col("id")) | (F.col("_other") != F.col("id"))
+    bad = (
+        F.when(~F.col("role").isin(*S.ROLES), "invalid_role").when(F.col("_known").isNull(), "unknown_user")
+        .when(taken, "document_exists")
+    )
+    c = c.withColumn("_bad", bad)
+    claims = c.where(F.col("_bad").isNull() & F.col("document_id").isNotNull()).groupBy("document_id").agg(
+        F.min_by("id", "seq").alias("_claimed_by"))
+    c = _left(c, claims, "document_id")
+    reject = F.coalesce("_bad", F.when(F.col("_claimed_by") != F.col("id"), "document_exists"))
+    return c.select("seq", "id", "role", "name", "shift", "document_id", "job_role", reject.alias("reject"))
+
+
+def apply_user_updates(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """Full overwrite: what a change omits becomes null, and the last of several usable changes (by seq) stands."""
+    new = judge_user_updates(users, changes).where(F.col("reject").isNull()).groupBy("id").agg(F.max_by(F.struct(
+        *[F.col(c).alias(f"_{c}") for c in ("role", "name", "shift", "document_id", "job_role")],
     ), "seq").alias("_new")).select("id", F.lit(True).alias("_changed"), "_new.*")
     joined = users.join(new, "id", "left")
     changed = F.col("_changed").isNotNull()

@@ -443,6 +443,55 @@ def _(v):
     return user_ops.apply_user_updates(v.users(), changes).select("id", "name", "shift", "document_id", "job_role", "role")
 
 
+DOCUMENT_CHANGES = """
+asked AS (
+  SELECT id + k * 1000000000 AS seq, CASE WHEN id % 41 = 0 THEN -id ELSE id END AS id,
+    CASE WHEN id % 37 = 0 THEN 'jefe' WHEN id % 5 = 0 THEN 'admin' END AS role, name, shift, job_role,
+    CASE (id + k) % 6 WHEN 0 THEN 'V-' || CAST(id + 1 AS VARCHAR) WHEN 1 THEN document_id WHEN 2 THEN 'N-' || CAST(id % 40 AS VARCHAR)
+      WHEN 3 THEN '' WHEN 4 THEN 'V-' || CAST(id * 7 AS VARCHAR) END AS document_id
+  FROM users, (SELECT unnest([0, 1]) AS k)),
+checked AS (
+  SELECT *, CASE WHEN role = 'jefe' THEN 'invalid_role' WHEN id < 0 THEN 'unknown_user'
+    WHEN EXISTS (SELECT 1 FROM users u WHERE u.document_id = asked.document_id AND u.id <> asked.id) THEN 'document_exists' END AS bad
+  FROM asked),
+claims AS (SELECT document_id, arg_min(id, seq) AS claimed_by FROM checked WHERE bad IS NULL AND document_id <> '' GROUP BY 1),
+verdicts AS (
+  SELECT c.*, coalesce(bad, CASE WHEN claimed_by <> c.id THEN 'document_exists' END) AS reject
+  FROM checked c LEFT JOIN claims ON claims.document_id = c.document_id),
+"""
+
+
+def document_changes(v):
+    """Two changes of each user: another's document, the own one, one of a few new ones, a blank, a multiple's, none."""
+    key = F.col("id")
+    text = lambda n, prefix="V-": F.concat(F.lit(prefix), n.cast("string"))
+    rows = v.users().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    kind = (key + F.col("k")) % 6
+    document = (
+        F.when(kind == 0, text(key + 1)).when(kind == 1, F.col("document_id")).when(kind == 2, text(key % 40, "N-"))
+        .when(kind == 3, "").when(kind == 4, text(key * 7))
+    )
+    return rows.select(
+        (key + F.col("k") * 1_000_000_000).alias("seq"), F.when(key % 41 == 0, -key).otherwise(key).alias("id"),
+        F.when(key % 37 == 0, "jefe").when(key % 5 == 0, "admin").alias("role"), "name", "shift", document.alias("document_id"), "job_role",
+    )
+
+
+@query("user_update_verdicts", sql("SELECT seq, id, reject FROM verdicts", DOCUMENT_CHANGES))
+def _(v):
+    return user_ops.judge_user_updates(v.users(), document_changes(v)).select("seq", "id", "reject")
+
+
+@query("user_updates_with_documents", sql("""
+SELECT u.id, CASE WHEN n.id IS NULL THEN u.document_id ELSE n.document_id END AS document_id,
+  CASE WHEN n.id IS NULL THEN u.role ELSE coalesce(n.role, 'employee') END AS role
+FROM users u LEFT JOIN (SELECT id, l.d AS document_id, l.r AS role FROM (
+  SELECT id, arg_max(struct_pack(d := nullif(document_id, ''), r := role), seq) AS l FROM verdicts WHERE reject IS NULL GROUP BY id)) n
+  ON n.id = u.id""", DOCUMENT_CHANGES))
+def _(v):
+    return user_ops.apply_user_updates(v.users(), document_changes(v)).select("id", "document_id", "role")
+
+
 SIGN_UPS = """
 asked AS (
   SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 29 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'user' || CAST(o_custkey AS VARCHAR)
