@@ -27,7 +27,10 @@ HOURS6 = "INTERVAL 6 HOUR"
 MESSAGES = f"""
 machines AS (
   SELECT {mid('s_suppkey')} AS id, s_name AS name, n_name AS location, s_suppkey % 10 = 0 AS test_mode,
-         {TYPE.format(k='s_suppkey')} AS type
+         {TYPE.format(k='s_suppkey')} AS type,
+         CASE s_suppkey % 4 WHEN 1 THEN 'active' WHEN 2 THEN 'maintenance' ELSE 'inactive' END AS status0,
+         CASE WHEN s_suppkey % 8 = 1 THEN TIMESTAMP '2023-12-31 20:00:00' WHEN s_suppkey % 4 = 2 THEN TIMESTAMP '2023-12-31 12:00:00'
+           WHEN s_suppkey % 8 = 3 THEN TIMESTAMP '2023-12-31 23:00:00' END AS ping0
   FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 raw AS (
   SELECT event_id AS seq, date_trunc('millisecond', ts) AS rcv, user_id,
@@ -66,7 +69,7 @@ def _replay(timeout: str, tick: str | None = None) -> str:
                "AND j.ts - s.last_coin < INTERVAL 6 HOUR AND s.last_coin - j.ts < INTERVAL 6 HOUR)")
     return f"""
 st AS (
-  SELECT id AS machine_id, CAST(0 AS BIGINT) AS rn, 'inactive' AS status, CAST(NULL AS TIMESTAMP) AS last_ping,
+  SELECT id AS machine_id, CAST(0 AS BIGINT) AS rn, status0 AS status, ping0 AS last_ping,
          CAST(NULL AS TIMESTAMP) AS last_coin, CAST(NULL AS VARCHAR) AS status_before, CAST(NULL AS TIMESTAMP) AS off_at,
          false AS limited
   FROM machines
@@ -92,7 +95,8 @@ states AS (
               ELSE 'accepted' END AS disposition
   FROM judged j JOIN st s ON s.machine_id = j.machine_id AND s.rn = j.rn),
 final AS (
-  SELECT m.id AS machine_id, m.name, m.location, m.type, s.status, s.last_ping, s.seq AS last_seq,
+  SELECT m.id AS machine_id, m.name, m.location, m.type, coalesce(s.status, m.status0) AS status,
+         coalesce(s.last_ping, m.ping0) AS last_ping, s.seq AS last_seq,
          CASE WHEN s.status = 'active' AND {off} < TIMESTAMP '2024-01-31 00:00:00' THEN {off} END AS off_at
   FROM machines m LEFT JOIN (
     SELECT st.*, j.seq FROM st JOIN judged j ON j.machine_id = st.machine_id AND j.rn = st.rn

@@ -146,7 +146,7 @@ def _(v):
 
 @query("machine_snapshot", sql("""
 SELECT machine_id AS id, name, location, type, last_ping, CASE WHEN off_at IS NOT NULL THEN 'inactive'
-  ELSE coalesce(status, 'inactive') END AS status FROM final"""))
+  ELSE status END AS status FROM final"""))
 def _(v):
     return replayed(v, with_coins=False).snapshot().select("id", "name", "location", "type", "last_ping", "status")
 
@@ -333,7 +333,7 @@ def _(v):
 
 
 @query("machine_liveness", sql("""
-SELECT machine_id AS id, name, CASE WHEN off_at IS NOT NULL THEN 'inactive' ELSE coalesce(status, 'inactive') END AS status,
+SELECT machine_id AS id, name, CASE WHEN off_at IS NOT NULL THEN 'inactive' ELSE status END AS status,
   last_ping AS "lastPing", coalesce(TIMESTAMP '2024-01-31 00:00:00' - last_ping < INTERVAL 6 HOUR, false) AS connected FROM final"""))
 def _(v):
     return event_ops.liveness(replayed(v, with_coins=False).snapshot(), as_of(), 6 * 3600 * 1000)
@@ -560,13 +560,13 @@ def _changes(v):
     return late.unionByName(early)
 
 
-UPDATED = """coalesce(new_name, name) AS name, coalesce(new_status, 'inactive') AS status,
+UPDATED = """coalesce(new_name, name) AS name, coalesce(new_status, status0) AS status,
   coalesce(new_location, location) AS location, coalesce(new_test_mode, test_mode) AS test_mode, new_key AS type"""
 
 
 @query("machine_updates", O.over(f"""
 SELECT id, {UPDATED} FROM planned WHERE new_group = old_group
-UNION ALL SELECT id, name, 'inactive', location, test_mode, type FROM planned WHERE new_group <> old_group /* machines */""", extra=CHANGES))
+UNION ALL SELECT id, name, status0, location, test_mode, type FROM planned WHERE new_group <> old_group /* machines */""", extra=CHANGES))
 def _(v):
     return machine_ops.apply_machine_updates(v.machines(), _changes(v)).drop("last_ping")
 

@@ -86,13 +86,17 @@ class SampleViews:
 
     def machines(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("location"))
-        mid = machine_id(F.col("s_suppkey"))
+        key = F.col("s_suppkey")
+        mid = machine_id(key)
+        at = lambda text: F.lit(text).cast("timestamp_ntz")
         return self.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
             mid.alias("id"),
             F.col("s_name").alias("name"),
-            F.lit("inactive").alias("status"),
+            # before the first message: on, under repair or off; heard of some hours before, or never
+            F.when(key % 4 == 1, "active").when(key % 4 == 2, "maintenance").otherwise("inactive").alias("status"),
             "location",
-            F.lit(None).cast("timestamp_ntz").alias("last_ping"),
+            F.when(key % 8 == 1, at("2023-12-31 20:00:00")).when(key % 4 == 2, at("2023-12-31 12:00:00"))
+            .when(key % 8 == 3, at("2023-12-31 23:00:00")).alias("last_ping"),
             (F.col("s_suppkey") % 10 == 0).alias("test_mode"),
             type_from_id(mid).alias("type"),
         )
