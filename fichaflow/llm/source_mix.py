@@ -36,7 +36,7 @@ BLOCK_WORDS, LEAST_SLOTS = 1024, 1 << 16
 BITS, GOLDEN = 40, 679_535_556_991
 SLOTS_A_BUCKET, RANK_CHUNK = 1 << 14, 1 << 16
 #: Hexadecimal digits of the digest that tell the pieces of a source.
-PIECE_DIGITS = 4
+PIECE_DIGITS = 3
 
 
 class Mix(NamedTuple):
