@@ -3,7 +3,8 @@
 A text is cut into marked words: each blank begins one, and one blank is put before the text. Line feeds stand alone, as
 no piece holds one. Of the words of a batch, the distinct ones are sorted, which lists the leaves of their trie
 depth first. The forward scores of a word are kept per position, so the next word starts at the end of the prefix that
-both share. The best path has the largest sum of piece scores; among equal ones the one whose last piece is longer, at
+both share. A model made by merges has no likelihoods but ranks; by Zipf's law a piece of rank r gets the score -log(r + ZIPF).
+The best path has the largest sum of piece scores; among equal ones the one whose last piece is longer, at
 each position. A character that is no piece costs `UNKNOWN_COST` more than the worst piece and becomes its UTF-8 bytes.
 So does the mark itself where a text has it, and decoding gives back every text exactly.
 
@@ -13,6 +14,7 @@ need no care; a column that has the name of the result is replaced.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from collections.abc import Iterable, Iterator
@@ -27,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
+#: Offset of ranks in Zipf's law.
+ZIPF = 100
 #: Words whose ids a worker remembers; longer words are not kept.
 MEMORY_WORDS, MEMORY_CHARS = 200_000, 40
 _WORD = re.compile(f" [^ \n{MARK}]*|[^ \n{MARK}]+|[\n{MARK}]")
@@ -56,7 +60,11 @@ class Pieces:
         names = [model.id_to_piece(i) for i in ids]
         byte_ids = [names.index(f"<0x{b:02X}>") for b in range(256)]
         skip = [i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)]
-        return cls(names, [model.get_score(i) for i in ids], byte_ids, skip)
+        scores = [model.get_score(i) for i in ids]
+        usable = sorted({-scores[i] for i in ids if i not in {*skip, *byte_ids}})
+        if all(s >= 0 and s == int(s) for s in usable):  # ranks of merges
+            scores = [-math.log(ZIPF + max(-s, 0.0)) for s in scores]
+        return cls(names, scores, byte_ids, skip)
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
