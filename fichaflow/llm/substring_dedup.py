@@ -5,7 +5,7 @@ that repeat an earlier one of its own, and deals the rest to buckets. Within a b
 document, then smallest start) of each hash are repeats, wherever the window stands in the input. Neighbouring
 repeats merge into maximal intervals of words, joined back to the documents.
 
-A bucket is chosen by the smallest hash of a five-word part of the window. Neighbouring windows share it mostly, so they
+Windows that a task knows to be repeats are dealt by document, the others by content. Their bucket is chosen by the smallest hash of a five-word part of the window. Neighbouring windows share it mostly, so they
 travel as one run with one position. Parts so common that their windows would overload a bucket are found first, by
 counting all windows in a table of SLOTS entries; windows of such parts are dealt by their own hash instead.
 Equal windows meet in one bucket either way, and no key holds more than about OVERLOAD / SLOTS of all windows.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fichaflow.llm.words import Words, chunks
+from fichaflow.llm.words import Words, chunks, mix
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,7 +38,8 @@ SIZE, PART = 20, 5
 SLOTS, OVERLOAD = 1 << 16, 8
 #: Windows that a task compares among themselves before it passes them on.
 BATCH_WINDOWS = 700_000
-BUCKETS_PER_PARTITION = 4
+#: Windows of a bucket on average, at most; a session with more partitions gets more buckets.
+BUCKET_WINDOWS, BUCKETS_PER_PARTITION = 1_000_000, 4
 RUNS = "bucket int, docs array<bigint>, starts array<int>, lengths array<int>, hashes binary, more_docs array<bigint>, more_starts array<int>, more_lengths array<int>"
 HASH_BYTES = 7
 
@@ -105,17 +106,20 @@ class Dealer:
         h, d, s = hashes[order], doc[order], start[order]
         lead = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), np.arange(len(h)), 0))
         again[order] = (d != d[lead]) | (s != s[lead])  # as in repeats(): a row that repeats the first one's id and place is no later one
+        # repeats known by now need no comparison: they are dealt by document, so that a hot window burdens no bucket
+        apart = mix(doc.view(np.uint64) ^ (start >> 12).astype(np.uint64) << np.uint64(40)) % np.uint64(self.buckets)
+        bucket = np.where(again, self.buckets + apart.astype(np.int32), bucket).astype(np.int32)
         # runs: neighbouring windows of a document for the same bucket, all first or all repeats
         fresh = np.ones(len(doc), bool)
         fresh[1:] = ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (bucket[1:] != bucket[:-1])
-                     | (again[1:] != again[:-1]) | (low[1:] != low[:-1]))
+                     | (again[1:] != again[:-1]) | ~again[1:] & (low[1:] != low[:-1]))
         begin = np.flatnonzero(fresh)
         length = np.diff(np.append(begin, len(doc))).astype(np.int32)
         run_of = np.cumsum(fresh) - 1
         order = np.argsort(bucket[begin], kind="stable")
         first, more = order[~again[begin[order]]], order[again[begin[order]]]
         used = np.unique(bucket)
-        edges = lambda runs: np.searchsorted(bucket[begin[runs]], np.append(used, self.buckets)).astype(np.int32)
+        edges = lambda runs: np.searchsorted(bucket[begin[runs]], np.append(used, 2 * self.buckets)).astype(np.int32)
         lists = lambda runs, values: pa.ListArray.from_arrays(pa.array(edges(runs)), pa.array(values))
         rank = np.empty(len(begin), np.int64)
         rank[first] = np.arange(len(first))
@@ -165,9 +169,9 @@ def repeats(group: pd.DataFrame, size: int) -> pd.DataFrame:
 def repeat_intervals(docs: DataFrame, key: str, text: str, size: int = SIZE) -> DataFrame:
     """(doc, start, stop): stretches of words covered by repeats. Stretches of one document may touch or overlap."""
     spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     slots = count_slots(plain, size)
+    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(slots.sum()) // BUCKET_WINDOWS))
     hot = spark.sparkContext.broadcast(slots * SLOTS > OVERLOAD * max(int(slots.sum()), 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
