@@ -2,8 +2,9 @@
 
 Urls that a rule allows are examples of accepted ones, urls that a rule blocks of rejected ones. For each class a
 variable-order Markov model over bytes is counted: P(c | k bytes) = (n(k bytes, c) + S * P(c | k-1 bytes)) / (n(k bytes) + S),
-from 1/256 up to ORDER bytes, so a context never seen leaves the shorter one's value. Counts stand in a table of SLOTS
-hashed entries per class, so its size does not depend on the data; Spark sums it over all urls. The score of a url
+from 1/256 up to ORDER bytes, so a context never seen leaves the shorter one's value. Counts are exact: order, context and byte
+fit in one 64-bit key, and Spark sums the counts of each key over all urls. Up to BROADCAST_KEYS of them go to all tasks as sorted
+arrays; with more, the keys of the urls meet their counts in a join, with the same scores. The score of a url
 is the difference of its log-likelihoods divided by its length. A tenth of the examples, left out of the counts, calibrates it:
 their scores, counted in fixed bins, fit a logistic curve, and a url that no rule fits is accepted from probability 1/2 on.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fichaflow.llm.words import mix
+from fichaflow.llm.storage import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,7 +35,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-ORDER, SMOOTHING, SLOTS = 5, 1.0, 1 << 18
+ORDER, SMOOTHING = 5, 1.0
+#: Keys that tasks receive as a table, 24 bytes each; beyond, scores come from a join.
+BROADCAST_KEYS = 1 << 20
 CALIBRATION_FOLDS, BINS_PER_UNIT, WIDEST = 10, 128, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,28 +62,43 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 @dataclass
 class Models:
-    """counts[class, slot] of contexts with their next byte, totals[class, slot] of contexts; class 0 rejected, 1 accepted."""
+    """keys: contexts with their next byte, and contexts, sorted; counts[class, key]; class 0 rejected, 1 accepted.
 
-    counts: np.ndarray
-    totals: np.ndarray
+    table: the same as a stored frame (key, n0, n1) where they are too many for tasks; keys is None then."""
+
+    keys: np.ndarray | None
+    counts: np.ndarray | None
+    table: DataFrame | None = None
     slope: float = 0.0
     offset: float = 0.0
 
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """(class, key) counts, 0 where a key was never seen."""
+        if not len(self.keys):
+            return np.zeros((2, len(keys)))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.counts[:, at] * (self.keys[at] == keys)
+
 
-def slots(urls: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Per order: the slot of each byte with its context, and that of the context; the length of each url with its end."""
+def url_keys(urls: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Per order: the key of each byte with its context, and that of the context; the length of each url with its end.
+
+    A key holds, from the low bits, the byte (0 for the context alone), up to five bytes before it, and the order (with 8 added for
+    the context alone), so different ones never share a key."""
     data = [(u or "").translate(_LOWER_CASE).encode("utf-8", "surrogatepass") for u in urls]
-    flat = np.frombuffer(b"".join(b"\0" * ORDER + d + b"\3" for d in data), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(b"\0" * ORDER + d + b"\3" for d in data), np.uint8).astype(np.int64)
     lengths = np.array([len(d) + 1 for d in data], np.int64)
     at = np.arange(lengths.sum()) + np.repeat(ORDER * np.arange(1, len(data) + 1), lengths)
-    context = np.zeros(len(at), np.uint64)
+    context = np.zeros(len(at), np.int64)
     keys, heads = [], []
     for k in range(ORDER + 1):
         if k:
-            context = context * np.uint64(0x100000001B3) + flat[at - k] + np.uint64(1)
-        head = mix(context * np.uint64(8) + np.uint64(k))
-        heads.append((head % np.uint64(SLOTS)).astype(np.int64))
-        keys.append((mix(head + flat[at] + np.uint64(1)) % np.uint64(SLOTS)).astype(np.int64))
+            context = context | flat[at - k] << 8 * k
+        heads.append(context | (k + 8) << 48)
+        keys.append(context | flat[at] | k << 48)
     return keys, heads, lengths
 
 
@@ -91,43 +109,40 @@ def score(models: Models, urls: list[str | None]) -> np.ndarray:
     """Length-normalised difference of log-likelihoods, accepted minus rejected."""
     if not urls:
         return np.zeros(0)
-    keys, heads, lengths = slots(urls)
-    logs = []
-    for c in (0, 1):
-        p = np.full(len(keys[0]), 1 / 256)
-        for key, head in zip(keys, heads):
-            p = (models.counts[c][key] + SMOOTHING * p) / (models.totals[c][head] + SMOOTHING)
-        # slots are shared, so a count can exceed its context's total; a probability does not exceed 1
-        logs.append(np.add.reduceat(np.log(np.minimum(p, 1.0)), np.concatenate([[0], np.cumsum(lengths)[:-1]])))
-    return (logs[1] - logs[0]) / lengths
+    keys, heads, lengths = url_keys(urls)
+    p = np.full((2, len(keys[0])), 1 / 256)
+    for key, head in zip(keys, heads):
+        p = (models.of(key) + SMOOTHING * p) / (models.of(head) + SMOOTHING)
+    ratio = np.add.reduceat(np.log(p[1]) - np.log(p[0]), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+    return ratio / lengths
 
 
 def count_models(examples: DataFrame) -> Models:
-    """Sum the tables over all examples (url, accepted)."""
+    """Sum the counts of all keys over all examples (url, accepted)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 2, SLOTS), np.int64)
         for batch in batches:
             urls, accepted = batch.column("url").to_pylist(), batch.column("accepted").to_pylist()
             for c in (0, 1):
                 own = [u for u, a in zip(urls, accepted) if a == bool(c)]
                 if own:
-                    keys, heads, _ = slots(own)
-                    for part, found in enumerate((keys, heads)):
-                        table[c, part] += np.bincount(np.concatenate(found), minlength=SLOTS)
-        flat = table.reshape(-1)
-        slot = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(flat[slot])], ["slot", "n"])
+                    keys, heads, _ = url_keys(own)
+                    key, n = np.unique(np.concatenate(keys + heads), return_counts=True)
+                    none = np.zeros(len(n), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(none if c else n), pa.array(n if c else none)], ["key", "n0", "n1"])
 
-    summed = examples.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(4 * SLOTS)
-    flat[summed["slot"].to_numpy(np.int64)] = summed["n"].to_numpy(float)
-    counts = flat.reshape(2, 2, SLOTS)
-    return Models(counts[:, 0].copy(), counts[:, 1].copy())
+    summed = examples.mapInArrow(count, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    table = stored(summed, "url-keys")
+    if table.count() > BROADCAST_KEYS:
+        return Models(None, None, table)
+    found = table.toArrow().sort_by("key")
+    return Models(found["key"].to_numpy(), np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()]).astype(float))
 
 
 def scored(urls: DataFrame, models: Models) -> DataFrame:
     """Add `score` to all rows."""
+    if models.table is not None:
+        return scored_by_join(urls, models.table)
     shared = urls.sparkSession.sparkContext.broadcast(models)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +153,36 @@ def scored(urls: DataFrame, models: Models) -> DataFrame:
     return urls.mapInArrow(add, urls.select("*", F.lit(0.0).alias("score")).schema)
 
 
+def scored_by_join(urls: DataFrame, table: DataFrame) -> DataFrame:
+    """The same scores with the keys of distinct urls joined to the counts, which stay distributed."""
+    distinct = stored(urls.select("url").distinct().withColumn("n", F.monotonically_increasing_id()), "urls")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, heads, lengths = url_keys(batch.column("url").to_pylist())
+            n = np.repeat(batch.column("n").to_numpy(), lengths)
+            place = np.arange(len(n)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            for part in (*keys, *heads):
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(place.astype(np.int32)), pa.array(part)], ["n", "place", "key"])
+
+    each = distinct.mapInArrow(explode, "n long, place int, key long").join(table, "key", "left")
+    order = F.shiftright("key", 48).cast("int")
+    count = lambda k, c: F.coalesce(F.max(F.when(order == k, F.col(c))), F.lit(0)).alias(f"{c}_{k}")
+    kinds = [k + more for k in range(ORDER + 1) for more in (0, 8)]
+    each = each.groupBy("n", "place").agg(*(count(k, c) for k in kinds for c in ("n0", "n1")))
+    logs = []
+    for c in ("n0", "n1"):
+        p = F.lit(1 / 256)
+        for k in range(ORDER + 1):
+            p = (F.col(f"{c}_{k}") + SMOOTHING * p) / (F.col(f"{c}_{k + 8}") + SMOOTHING)
+        logs.append(F.log(p))
+    total = each.groupBy("n").agg((F.sum(logs[1] - logs[0]) / F.count("*")).alias("score"))
+    named = distinct.join(total, "n").select(F.col("url").alias("of"), "score")
+    return urls.join(named, F.col("url").eqNullSafe(F.col("of")), "left").drop("of")
+
+
 def calibrate(models: Models, examples: DataFrame) -> Models:
     """Fit slope and offset on the scores of examples left out, counted in fixed bins."""
     limit = WIDEST * BINS_PER_UNIT
