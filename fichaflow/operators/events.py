@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fichaflow import schemas as S
 from fichaflow.functions.times import between_days, local_day, micros
 from fichaflow.operators import blocks
+from fichaflow.operators.coins import coin_number
 from fichaflow.operators.blocks import BLK, HotKeys, find_hot_keys, number_rows
 
 RANGES = {"7d": 7, "30d": 30}
@@ -275,7 +276,7 @@ def machine_history(
 
 
 def machine_stats(machines: DataFrame, events: DataFrame, coins: DataFrame, faithful: bool = True) -> DataFrame:
-    """Income, score, sessions and usage per machine; ``data`` is the payload map.
+    """Income, score, sessions and usage per machine; ``data`` is the payload map, ``coins`` the ledger or its kept counts.
 
     The test filter is null for rows without a test mark, which leaves them out;
     ``faithful=False`` keeps them.
@@ -287,7 +288,7 @@ def machine_stats(machines: DataFrame, events: DataFrame, coins: DataFrame, fait
         F.sum(F.when(F.col("type") == "game_end", score)).alias("score"),
         F.count_if(F.col("type") == "game_start").alias("starts"),
     )
-    income = coins.groupBy("machine_id").agg(F.count(F.lit(1)).alias("income"))
+    income = coins.groupBy("machine_id").agg(coin_number(coins).alias("income"))
     joined = machines.select(F.col("id").alias("machine_id")).join(per_machine, "machine_id", "left").join(
         income, "machine_id", "left"
     )

@@ -11,7 +11,7 @@ from fichaflow.operators import alerts as alert_ops
 from fichaflow.operators import coin_dedup, coins as coin_ops, events as event_ops, ingest, machines as machine_ops
 from fichaflow.operators.machine_state import last_heartbeat
 from fichaflow.plans import oracles as O
-from fichaflow.plans.registry import AS_OF, as_of, query, replayed
+from fichaflow.plans.registration import AS_OF, as_of, query, replayed
 
 AS_OF_PY = dt.datetime.fromisoformat(AS_OF)
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"

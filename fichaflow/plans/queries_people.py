@@ -8,7 +8,7 @@ from fichaflow import schemas as S
 from fichaflow.operators import machines as machine_ops
 from fichaflow.operators import quality, reports as report_ops, sales as sale_ops, users as user_ops
 from fichaflow.plans import oracles as O
-from fichaflow.plans.registry import query, replayed
+from fichaflow.plans.registration import query, replayed
 
 # a supervisor and a plain employee of the sample users, chosen at run time by smallest id
 SUPERVISOR, OPERATOR = "Supervisor de turno", "Operador"

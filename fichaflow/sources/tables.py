@@ -207,7 +207,7 @@ def upsert_days(changes: DataFrame, folder: str, name: str, key: list[str], day:
         F.struct("seq", *[F.col(c).cast(types[c]).alias(c) for c in values], F.col("changed_at").alias("updated_at")).alias("_last"),
     )
     merge = lambda rows: rows.groupBy(*key).agg(F.min("_first").alias("_first"), F.max_by("_last", "_last.seq").alias("_last"))
-    with files.staged(merge(new), folder, f"{name}-changes", day) as path:
+    with files.staged(merge(new), folder, f"{name}-changes") as path:
         new = spark.read.schema(new.schema).parquet(path).select(*new.columns)
         days = [r[0] for r in new.select(day).distinct().collect()]
         stored_schema = T.StructType([*schema.fields, T.StructField("last_seq", T.LongType())])
@@ -219,7 +219,7 @@ def upsert_days(changes: DataFrame, folder: str, name: str, key: list[str], day:
             new = merge(new.unionByName(have))
         merged = new.select(*key, "_first.*", "_last.*").withColumnRenamed("seq", "last_seq")
         ready = merged.select(*schema.names, "last_seq")
-        with files.staged(ready, folder, name, day) as done:
+        with files.staged(ready, folder, name) as done:
             finished = spark.read.schema(stored_schema).parquet(done).hint("rebalance", day)
             swap_days(finished, path_of(folder, name), day)
 
