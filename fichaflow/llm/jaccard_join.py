@@ -9,8 +9,10 @@ only those that allow a partner of its own size, its head.
 The product over these columns finds candidate pairs, each by a column and the two places in it. Within a column, pairs inside one
 component need no count, as they change nothing. So each column first pairs its rows with one leader, the head row whose columns
 are the most frequent (an unedited text among edited copies), which is linear in its rows. Then heads meet rows of other
-components, under the bounds on sizes and places. Overlap counts of pairs are accumulated over blocks of columns, each joined to the pairs
-as arrays of hashes; after a block, pairs are discarded whose count cannot reach the bound with all columns that remain.
+components, under the bounds on sizes and places. Overlap counts of pairs are accumulated over blocks of columns. First, no more
+columns can be shared in a small block than either row has there; pairs whose sum of these stays below the bound are discarded by 64
+numbers a row. For the others, blocks are joined as arrays of hashes; after each, pairs are discarded whose count cannot reach the bound
+with all columns that remain.
 Texts are never shuffled. All links between different sets are found or implied.
 
 Sets are compared by 64-bit hashes of shingles, sets as a whole by 64 bits. Null and empty texts have no set: they are
@@ -40,7 +42,9 @@ SLOTS, SEGMENTS = 1 << 20, 256
 FILTER_BITS = 1 << 24
 #: Sets that a task remembers, to pass on the columns of copies once.
 SEEN_SETS = 200_000
-#: Blocks of columns that overlaps are counted over, by the first bits of a column: a quarter of all, then the rest.
+#: Blocks of columns, by the first BLOCK_BITS of a column, whose sizes alone bound an overlap: a row keeps how many columns it has in each.
+BLOCK_BITS = 6
+#: Blocks of columns that overlaps are counted over: a quarter of all, then the rest.
 BLOCK_EDGES = (-(1 << 62) * 2, -(1 << 62), (1 << 62) * 2)
 
 
@@ -93,9 +97,10 @@ def set_hashes(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def first_columns(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, row, n, weight, columns): hash and size of each document's set, how frequent its columns are, and the first of them.
+    """(id, row, n, weight, columns, held): hash and size of each document's set, how frequent its columns are, the first of them, and
+    how many it has in each small block.
 
-    columns is null for documents whose set the task has passed on already; row is null for an empty set.
+    columns and held are null for documents whose set the task has passed on already; row is null for an empty set.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(count_columns(docs, size))
 
@@ -111,11 +116,15 @@ def first_columns(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 order = np.lexsort((hashes, often, owner))
                 ranked, often = hashes[order].view(np.int64), often[order]
                 length = n - -(-percent * n // 100) + 1
-                columns, known = [], part.column("id").is_valid().to_pylist()
+                columns, known, held = [], part.column("id").is_valid().to_pylist(), []
+                blocks = 1 << BLOCK_BITS
+                sizes = np.bincount(owner * blocks + (hashes >> np.uint64(64 - BLOCK_BITS)).astype(np.int64), minlength=part.num_rows * blocks)
+                sizes = sizes.astype(np.int32).reshape(part.num_rows, blocks)
                 weight = np.zeros(part.num_rows, np.int32)
                 for k, key in enumerate(row.tolist()):
                     new = n[k] and known[k] and key not in seen
                     columns.append(ranked[edge[k]:edge[k] + length[k]] if new else None)
+                    held.append(sizes[k] if new else None)
                     if new:
                         seen.add(key)
                         weight[k] = often[edge[k]]
@@ -123,10 +132,10 @@ def first_columns(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), pa.array(row, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(weight),
-                    pa.array(columns, pa.list_(pa.int64())),
-                ], ["id", "row", "n", "weight", "columns"])
+                    pa.array(columns, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int32())),
+                ], ["id", "row", "n", "weight", "columns", "held"])
 
-    return docs.mapInArrow(rows, "id long, row long, n int, weight int, columns array<long>")
+    return docs.mapInArrow(rows, "id long, row long, n int, weight int, columns array<long>, held array<int>")
 
 
 def bounds(percent: int) -> str:
@@ -141,6 +150,7 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     rows = stored(first_columns(docs, size, percent), "rows")
     sets = rows.filter("row is not null and id is not null")
     classes = sets.groupBy("row").agg(F.min("id").alias("first"))
+    sizes = stored(sets.filter("held is not null").groupBy("row").agg(F.first("held").alias("held")), "sizes")
 
     # a row may come once from each task; that changes neither leaders nor links
     block = sets.select("row", "n", "weight", F.posexplode("columns").alias("i", "column"))
@@ -155,7 +165,7 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     turned = {"a": "leader", "b": "row", "n": "m", "m": "n", "i": "j", "j": "i"}
     smaller = shared.select(*(F.col(old).alias(new) for new, old in turned.items())).filter(bounds(percent))
     pairs = larger.select("a", "b", "n", "m").union(smaller.select("b", "a", "m", "n"))
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = stored(within_sizes(pairs.distinct(), sizes, percent), "pairs")
     found = overlaps(pairs, docs, classes, size, percent)
     root = stored(components(found), "roots")
 
@@ -164,7 +174,7 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     left = stored(own.join(several.select("column"), "column", "left_semi"), "left")
     smaller = left.filter(head).select("column", F.col("row").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     pairs = left.withColumnRenamed("row", "a").join(smaller, "column").filter(f"root <> other and {bounds(percent)}")
-    pairs = stored(pairs.select("a", "b", "n", "m").distinct(), "pairs")
+    pairs = stored(within_sizes(pairs.select("a", "b", "n", "m").distinct(), sizes, percent), "pairs")
     if not pairs.isEmpty():
         found = overlaps(pairs, docs, classes, size, percent)
         root = components(found.union(root.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -177,6 +187,14 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
+def within_sizes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n, m) whose rows could overlap enough by the sizes (row, held) of their small blocks."""
+    met = pairs.join(sizes.select(F.col("row").alias("a"), F.col("held").alias("of_a")), "a").join(
+        sizes.select(F.col("row").alias("b"), F.col("held").alias("of_b")), "b")
+    most = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return met.filter((100 + percent) * most.cast("long") >= percent * (F.col("n").cast("long") + F.col("m"))).select("a", "b", "n", "m")
+
+
 def incidence(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(row, block, columns): columns of the sets (row, first) in blocks, from the text of the first document of each.
 
