@@ -95,7 +95,7 @@ def _(v):
     """Changes in two batches, the later ones of each key first."""
     folder, changes = folder_of(v.spark), v.sale_changes()
     for odd in (1, 0):
-        tables.upsert_sales(changes.where(F.col("seq") % 2 == odd), folder)
+        tables.upsert_sales(changes.where(F.col("seq") % 2 == odd), folder, "month")
     return tables.read_table(v.spark, folder, "employee_daily_sales")
 
 
@@ -103,7 +103,7 @@ def _(v):
 def _(v):
     folder, changes = folder_of(v.spark), blocks.checkpoint(report_changes(v))
     for odd in (1, 0):
-        tables.upsert_reports(changes.where(F.col("seq") % 2 == odd), folder)
+        tables.upsert_reports(changes.where(F.col("seq") % 2 == odd), folder, "month")
     return tables.read_table(v.spark, folder, "employee_weekly_reports")
 
 

@@ -191,16 +191,19 @@ def write_table(rows: DataFrame, folder: str, name: str) -> None:
         files.swap(rows.sparkSession, path, path_of(folder, name))
 
 
-def upsert_days(changes: DataFrame, folder: str, name: str, key: list[str], day: str) -> None:
+def upsert_days(changes: DataFrame, folder: str, name: str, key: list[str], day: str, grain: str = "day") -> None:
     """Merge changes (seq, changed_at, key, values) into a stored table with one row per key, partitioned by a day of the key.
 
     Only partitions of days in the changes are read and rewritten. A row keeps its first id and creation time and takes the
     values of its last change by arrival number, so changes may come in any order and more than once. The merged days
-    are finished in a staging folder; until they are swapped in, the table stays as it was.
+    are finished in a staging folder; until they are swapped in, the table stays as it was. ``grain="month"`` makes partitions
+    of months, for tables with few rows a day; it is fixed once the table is there.
     """
     spark, schema = changes.sparkSession, S.TABLES[name]
     values = [c for c in schema.names if c not in ("id", "created_at", "updated_at", *key)]
     types = {f.name: f.dataType for f in schema.fields}
+    part, of_day = (day, F.col(day)) if grain == "day" else (f"{day}_{grain}", F.trunc(F.col(day), grain))
+    extra = [T.StructField("last_seq", T.LongType())] + ([] if part == day else [T.StructField(part, T.DateType())])
     new = changes.select(
         *[F.col(k).cast(types[k]).alias(k) for k in key],
         F.struct(F.col("seq").alias("id"), F.col("changed_at").alias("created_at")).alias("_first"),
@@ -209,32 +212,32 @@ def upsert_days(changes: DataFrame, folder: str, name: str, key: list[str], day:
     merge = lambda rows: rows.groupBy(*key).agg(F.min("_first").alias("_first"), F.max_by("_last", "_last.seq").alias("_last"))
     with files.staged(merge(new), folder, f"{name}-changes") as path:
         new = spark.read.schema(new.schema).parquet(path).select(*new.columns)
-        days = [r[0] for r in new.select(day).distinct().collect()]
-        stored_schema = T.StructType([*schema.fields, T.StructField("last_seq", T.LongType())])
+        touched = [r[0] for r in new.select(of_day.alias(part)).distinct().collect()]
+        stored_schema = T.StructType([*schema.fields, *extra])
         have = existing(spark, folder, name, stored_schema)
         if have is not None:
-            have = have.where(F.col(day).isin(days)).select(
+            have = have.where(F.col(part).isin(touched)).select(
                 *key, F.struct("id", "created_at").alias("_first"),
                 F.struct(F.col("last_seq").alias("seq"), *values, "updated_at").alias("_last"))
             new = merge(new.unionByName(have))
         merged = new.select(*key, "_first.*", "_last.*").withColumnRenamed("seq", "last_seq")
-        ready = merged.select(*schema.names, "last_seq")
+        ready = merged.withColumn(part, of_day).select(*schema.names, *(f.name for f in extra))
         with files.staged(ready, folder, name) as done:
-            finished = spark.read.schema(stored_schema).parquet(done).hint("rebalance", day)
-            swap_days(finished, path_of(folder, name), day)
+            finished = spark.read.schema(stored_schema).parquet(done).hint("rebalance", part)
+            swap_days(finished, path_of(folder, name), part)
 
 
-def swap_days(rows: DataFrame, target: str, day: str) -> None:
+def swap_days(rows: DataFrame, target: str, part: str) -> None:
     """Replace the partitions that the rows belong to; all others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(target)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(target)
 
 
-def upsert_sales(changes: DataFrame, folder: str) -> None:
+def upsert_sales(changes: DataFrame, folder: str, grain: str = "day") -> None:
     """Stored daily sales after accepted sale changes."""
-    upsert_days(changes, folder, "employee_daily_sales", ["employee_id", "machine_id", "sale_date"], "sale_date")
+    upsert_days(changes, folder, "employee_daily_sales", ["employee_id", "machine_id", "sale_date"], "sale_date", grain)
 
 
-def upsert_reports(changes: DataFrame, folder: str) -> None:
+def upsert_reports(changes: DataFrame, folder: str, grain: str = "day") -> None:
     """Stored weekly reports after valid report changes; daily reports among them are left out."""
     weekly = changes.where(~F.col("daily"))
-    upsert_days(weekly, folder, "employee_weekly_reports", ["employee_id", "week_end_date"], "week_end_date")
+    upsert_days(weekly, folder, "employee_weekly_reports", ["employee_id", "week_end_date"], "week_end_date", grain)
