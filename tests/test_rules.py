@@ -254,3 +254,11 @@ def test_assignments(spark):
         {c: F.lit(None).cast("string") for c in ("role", "name", "shift", "document_id", "job_role")})
     me = users.sign_in_profile(us, um, "u").first()
     assert (me.operator_coin_balance, me.assigned_machine_id, me.assigned_machine_ids) == (200, "a", ["a", "b"])
+
+
+def test_a_device_time_is_read_once(spark):
+    plan = spark.range(1).select(F.lit("x").alias("t"), F.current_timestamp().cast("timestamp_ntz").alias("i")).select(
+        times.device_time(F.col("t"), F.col("i")))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    # repeated parts would be evaluated again for every rule that uses them
+    assert text.count("btrim") <= 2 and text.count("regexp_extract") == 2
