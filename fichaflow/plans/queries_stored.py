@@ -20,8 +20,10 @@ from fichaflow.sources.known_ids import KnownIds
 from fichaflow.sources.tables import read_device_events
 from fichaflow.streaming.keyed import KeyedIngestJob, keyed_session, machine_states
 
-#: Partitions of keyed state; fixed for the life of a stream.
+#: Least partitions of keyed state; their number is fixed for the life of a stream.
 STATE_PARTITIONS = 8
+#: Least files of the message stream, all of one micro-batch.
+STREAM_FILES = 3
 MIDDLE = "2024-01-16"
 
 
@@ -109,14 +111,18 @@ def _(v):
 
 # ---- keyed stream ---------------------------------------------------------------
 def keyed_run(v) -> tuple[KeyedIngestJob, str]:
-    """All messages as a stream of three files, in arrival order; the last message of all moves no timer of its own."""
-    folder = folder_of(v.spark)
-    v.device_messages().repartitionByRange(3, "seq").sortWithinPartitions("seq").write.json(folder + "/messages")
+    """All messages as a stream of files, in arrival order; the last message of all moves no timer of its own.
+
+    Files and state partitions are as many as the cluster has cores, so no step leaves some of them idle.
+    """
+    folder, cores = folder_of(v.spark), v.spark.sparkContext.defaultParallelism
+    files, partitions = max(STREAM_FILES, cores), max(STATE_PARTITIONS, cores)
+    v.device_messages().repartitionByRange(files, "seq").sortWithinPartitions("seq").write.json(folder + "/messages")
     before = {k: v.spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")}
-    v.spark.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
+    v.spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     job = KeyedIngestJob(keyed_session(v.spark), folder, v.machines(), Heartbeat(SIX_HOURS_MS), SIX_HOURS_MS)
     try:
-        source = read_device_events(v.spark, folder + "/messages", streaming=True, max_files=3)
+        source = read_device_events(v.spark, folder + "/messages", streaming=True, max_files=files)
         job.start(source, folder + "/state", availableNow=True).awaitTermination()
     finally:
         for key, value in before.items():

@@ -72,6 +72,8 @@ class MachineProcessor(StatefulProcessor):
         held = self.machine.get()
         state = list(held) if held else [waiting[0]["status0"], None, None, None, None]
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        # ids met in this micro-batch; a machine without an earlier message has none in the store
+        self.met, self.stored_ids = set(), state[2] is not None
         for row in waiting:
             late = self.route_late and row["ts_us"] < watermark
             if late or state[2] is not None and row["seq"] <= state[2]:
@@ -109,8 +111,9 @@ class MachineProcessor(StatefulProcessor):
     def _coin(self, row: Row, state: list) -> str:
         uid, at, last = row["uid"], row["ts_us"], state[3]
         if uid is not None:
-            if self.coin_ids.containsKey((uid,)):
+            if uid in self.met or self.stored_ids and self.coin_ids.containsKey((uid,)):
                 return coin_dedup.DUPLICATE
+            self.met.add(uid)
             self.coin_ids.updateValue((uid,), (row["seq"],))
         elif last is not None and abs(at - last) < self.dedup_us:
             return coin_dedup.RATE_LIMIT
