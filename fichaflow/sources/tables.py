@@ -210,7 +210,8 @@ def upsert_days(changes: DataFrame, folder: str, name: str, key: list[str], day:
         F.struct("seq", *[F.col(c).cast(types[c]).alias(c) for c in values], F.col("changed_at").alias("updated_at")).alias("_last"),
     )
     merge = lambda rows: rows.groupBy(*key).agg(F.min("_first").alias("_first"), F.max_by("_last", "_last.seq").alias("_last"))
-    with files.staged(merge(new), folder, f"{name}-changes") as path:
+    # staged as they come: they meet in the one shuffle that merges them with the stored rows
+    with files.staged(new, folder, f"{name}-changes") as path:
         new = spark.read.schema(new.schema).parquet(path).select(*new.columns)
         touched = [r[0] for r in new.select(of_day.alias(part)).distinct().collect()]
         stored_schema = T.StructType([*schema.fields, *extra])
@@ -219,9 +220,12 @@ def upsert_days(changes: DataFrame, folder: str, name: str, key: list[str], day:
             have = have.where(F.col(part).isin(touched)).select(
                 *key, F.struct("id", "created_at").alias("_first"),
                 F.struct(F.col("last_seq").alias("seq"), *values, "updated_at").alias("_last"))
-            new = merge(new.unionByName(have))
-        merged = new.select(*key, "_first.*", "_last.*").withColumnRenamed("seq", "last_seq")
+            new = new.unionByName(have)
+        merged = merge(new).select(*key, "_first.*", "_last.*").withColumnRenamed("seq", "last_seq")
         ready = merged.withColumn(part, of_day).select(*schema.names, *(f.name for f in extra))
+        if have is None:  # nothing that is read is replaced
+            swap_days(ready.hint("rebalance", part), path_of(folder, name), part)
+            return
         with files.staged(ready, folder, name) as done:
             finished = spark.read.schema(stored_schema).parquet(done).hint("rebalance", part)
             swap_days(finished, path_of(folder, name), part)

@@ -268,3 +268,16 @@ def test_replaced_table_survives_a_failure(spark, tmp_path, monkeypatch):
     # stopped between the two renames of a swap
     files._rename(spark, folder + "/machines", folder + "/machines.old")
     assert tables.read_table(spark, folder, "machines").count() == 3
+
+
+def test_the_first_upsert_stages_its_changes_only(spark, tmp_path, monkeypatch):
+    """Nothing stored is read, so the merged days go to the table at once; later ones are finished beside it."""
+    staged, names = files.staged, []
+    monkeypatch.setattr(files, "staged", lambda rows, folder, name, *by: names.append(name) or staged(rows, folder, name, *by))
+    change = lambda seq, coins: (seq, 1, "m", dt.date(2024, 1, 5), coins, None, None, 0, 0, None, dt.datetime(2024, 1, 5, seq))
+    changes = "seq long, employee_id long, machine_id string, sale_date date, coins int, record_message string, prize_bs decimal(12,2), lost int, returned int, entry_coins int, changed_at timestamp_ntz"
+    for batch in ([change(2, 20), change(3, 30), change(3, 30)], [change(1, 10), change(4, 40)]):
+        tables.upsert_sales(spark.createDataFrame(batch, changes), str(tmp_path), "month")
+    name = "employee_daily_sales"
+    assert names == [f"{name}-changes", f"{name}-changes", name]
+    assert rows(tables.read_table(spark, str(tmp_path), name), "id", "coins") == [(1, 40)]
