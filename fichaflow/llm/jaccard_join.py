@@ -196,24 +196,27 @@ def within_sizes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def incidence(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(row, block, columns): columns of the sets (row, first) in blocks, from the text of the first document of each.
+    """(id, row, in_a, in_b, block, columns): columns of documents in blocks, from their texts, of those with an id in wanted
+    (row, first, in_a, in_b) or one that hashes alike; in_a and in_b may be true too often for the same reason.
 
-    A bit table of fixed size, set by the hashed ids, spares most other texts the work; the join decides.
+    Two bit tables of fixed size, set by the hashed ids, decide, so no columns are shuffled here; joins on row and id drop the others.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bit = F.expr("bit_or(shiftleft(1L, cast(place % 32 AS INT)))").alias("bits")
-    word = wanted.select(F.col("first").alias("id")).select(place.alias("place")).groupBy(
-        F.floor(F.col("place") / 32).alias("word")).agg(bit)
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bit = F.expr("shiftleft(1L, cast(place % 32 AS INT))")
+    word = wanted.select(F.col("first").alias("id"), "in_a", "in_b").select(place.alias("place"), "in_a", "in_b").groupBy(
+        F.floor(F.col("place") / 32).alias("word")).agg(*(F.bit_or(F.when(F.col(c), bit).otherwise(0)).alias(c) for c in ("in_a", "in_b")))
+    bits = np.zeros((2, FILTER_BITS // 32), np.uint32)
     table = word.toPandas()
-    bits[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
+    for k, side in enumerate(("in_a", "in_b")):
+        bits[k, table["word"].to_numpy(np.int64)] = table[side].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("place").to_numpy(zero_copy_only=False)
-            hit = shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1
-            for part in chunks(batch.filter(pa.array(hit == 1)), "text"):
+            hit = (shared.value[:, at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            batch = batch.append_column("in_a", pa.array(hit[0])).append_column("in_b", pa.array(hit[1]))
+            for part in chunks(batch.filter(pa.array(hit.any(axis=0))), "text"):
                 owner, hashes = shingle_sets(part.column("text"), size)
                 n = np.bincount(owner, minlength=part.num_rows)
                 edge = np.concatenate([[0], np.cumsum(n)])
@@ -225,28 +228,32 @@ def incidence(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(held[inside]))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), pa.array(row), pa.array(np.full(part.num_rows, k, np.int32)), lists], ["id", "row", "block", "columns"])
+                        [part.column("id"), pa.array(row), part.column("in_a"), part.column("in_b"), pa.array(np.full(part.num_rows, k, np.int32)), lists],
+                        ["id", "row", "in_a", "in_b", "block", "columns"])
 
-    some = docs.filter("id is not null").withColumn("place", place).mapInArrow(columns, "id long, row long, block int, columns array<long>")
-    own = wanted.select("row", F.col("first").alias("id"))
-    return some.join(own, ["row", "id"], "left_semi").drop("id")
+    made = "id long, row long, in_a boolean, in_b boolean, block int, columns array<long>"
+    return docs.filter("id is not null").withColumn("place", place).mapInArrow(columns, made)
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of rows, of those (a, b, n, m), whose overlap over all blocks of columns reaches the similarity."""
-    nodes = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    wanted = stored(classes.join(nodes, "row", "left_semi"), "wanted")
+    ends = pairs.select(F.col("a").alias("row"), F.lit(True).alias("in_a")).union(pairs.select("b", F.lit(False)))
+    nodes = ends.groupBy("row").agg(F.bool_or("in_a").alias("in_a"), F.bool_or(~F.col("in_a")).alias("in_b"))
+    wanted = stored(classes.join(nodes, "row"), "wanted")
     held = stored(incidence(docs, wanted, size), "incidence")
-    if held.count() > wanted.count() * (len(BLOCK_EDGES) - 1):  # rows of the table that repeat an id and its text
-        held = stored(held.dropDuplicates(["row", "block"]), "incidence")
-    second = stored(pairs.select(F.col("b").alias("row")).distinct(), "second")
+    own = wanted.select("row", F.col("first").alias("id"))
+    if held.select("row", "id").join(own, ["row", "id"], "left_semi").count() > wanted.count() * (len(BLOCK_EDGES) - 1):
+        held = stored(held.dropDuplicates(["row", "id", "block"]), "incidence")  # rows of the table that repeat an id and its text
     left = pairs.select("a", "b", "n", "m", F.lit(0).alias("common"), F.col("n").alias("rest_a"), F.col("m").alias("rest_b"))
+    for side in "ab":
+        left = left.join(wanted.select(F.col("row").alias(side), F.col("first").alias(f"id_{side}")), side)
     for k in range(len(BLOCK_EDGES) - 1):
-        mine = held.filter(F.col("block") == k)
-        of_b = mine.join(second, "row", "left_semi").select(F.col("row").alias("b"), F.col("columns").alias("of_b"))
-        left = left.join(mine.select(F.col("row").alias("a"), F.col("columns").alias("of_a")), "a").join(of_b, "b")
-        left = left.select(
+        of_a, of_b = (
+            held.filter((F.col("block") == k) & F.col(f"in_{side}")).select(
+                F.col("row").alias(side), F.col("id").alias(f"id_{side}"), F.col("columns").alias(f"of_{side}"))
+            for side in "ab")
+        left = left.join(of_a, ["a", "id_a"]).join(of_b, ["b", "id_b"]).select(
             "a", "b", "n", "m", (F.col("common") + F.size(F.array_intersect("of_a", "of_b"))).alias("common"),
-            (F.col("rest_a") - F.size("of_a")).alias("rest_a"), (F.col("rest_b") - F.size("of_b")).alias("rest_b"))
+            (F.col("rest_a") - F.size("of_a")).alias("rest_a"), (F.col("rest_b") - F.size("of_b")).alias("rest_b"), "id_a", "id_b")
         left = stored(left.filter(f"{100 + percent}L * (common + least(rest_a, rest_b)) >= {percent}L * (n + m)"), "counted")
     return left.select("a", "b")
