@@ -9,7 +9,7 @@ from fichaflow.functions.roles import acts_as_supervisor, is_operator, not_liste
 from fichaflow.functions.times import between_days
 from fichaflow.functions.values import computed_once, is_ymd, money_non_negative, number, present, whole_non_negative
 from fichaflow.operators import blocks
-from fichaflow.operators.blocks import BLK, HotKeys, find_hot_keys, hot_blocks, with_blocks
+from fichaflow.operators.blocks import BLK, checkpoint, find_hot_keys, with_blocks
 
 SALE_KEY = ("employee_id", "machine_id", "sale_date")
 
@@ -122,10 +122,9 @@ def _epoch_sums(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_sum", F.sum("spent").over(e))
 
 
-def _spent_carry(movements: DataFrame, hot: HotKeys) -> DataFrame:
-    """Coins spent since the last reset at the start of each block of a hot employee."""
-    rows = _epoch_sums(hot_blocks(movements, "employee_id", hot))
-    summary = rows.groupBy("employee_id", BLK).agg(
+def _spent_carry(rows: DataFrame) -> DataFrame:
+    """Coins spent since the last reset at the start of each block of a hot employee, from sums within blocks."""
+    summary = rows.where(F.col(BLK) >= 0).groupBy("employee_id", BLK).agg(
         F.max("_epoch").alias("_resets"), F.max_by("_sum", "seq").alias("_tail")
     )
     w = blocks.block_window("employee_id")
@@ -150,12 +149,13 @@ def operator_balance(
     Each entry takes its coins, never below zero. Between resets the balance only
     falls, so clamping the running sum once is exact.
     """
-    movements = _movements(entries, resets)
+    movements = checkpoint(_movements(entries, resets))  # counted, cut into blocks and summed
     hot = find_hot_keys(movements, "employee_id", block_rows)
     rows = _epoch_sums(with_blocks(movements, "employee_id", hot))
     spent = F.col("_sum")
     if hot is not None:
-        rows = rows.join(_spent_carry(movements, hot), ["employee_id", BLK], "left")
+        rows = checkpoint(rows)  # read for the carries and with them
+        rows = rows.join(_spent_carry(rows), ["employee_id", BLK], "left")
         spent = spent + F.when(F.col("_epoch") == 0, F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0))
     start = F.lit(S.INITIAL_OPERATOR_COINS)
     if users is not None:

@@ -173,6 +173,22 @@ def test_balance(spark, block):
     assert now == {1: balance[1], 2: balance[2], 3: 120}
 
 
+def test_balance_computes_its_movements_once(spark):
+    """Counting, cutting and summing read them as stored, also with hot employees."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(seq):
+        seen.add(1)
+        return seq
+
+    e = spark.range(60).select(counted("id").alias("id"), (F.col("id") % 2).alias("employee_id"), F.lit(3).alias("coins"))
+    r = spark.createDataFrame([(100, 0), (101, 5)], "seq long, employee_id long")
+    got = {x.seq: x.balance for x in sale_ops.operator_balance(e, r, block_rows=7).collect()}
+    assert got == {**{k: 200 - 3 * (k // 2 + 1) for k in range(60)}, 100: 200, 101: 200}
+    assert seen.value == 60
+
+
 @pytest.mark.parametrize("block", [None, 8])
 def test_power_sessions(spark, block):
     rnd = random.Random(3)
