@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from fichaflow.llm.components import components
-from fichaflow.llm.storage import stored
+from fichaflow.llm.storage import discard_stored, stored
 from fichaflow.llm.words import Words, chunks, mix
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -147,9 +147,10 @@ def bounds(percent: int) -> str:
 def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that each document reaches by links."""
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = stored(first_columns(docs, size, percent), "rows")
-    sets = rows.filter("row is not null and id is not null")
-    classes = sets.groupBy("row").agg(F.min("id").alias("first"))
+    made = stored(first_columns(docs, size, percent), "columns")
+    rows = stored(made.select("id", "n", "row"), "rows")
+    classes = rows.filter("row is not null and id is not null").groupBy("row").agg(F.min("id").alias("first"))
+    sets = made.filter("row is not null and id is not null")
     sizes = stored(sets.filter("held is not null").groupBy("row").agg(F.first("held").alias("held")), "sizes")
 
     # a row may come once from each task; that changes neither leaders nor links
@@ -159,6 +160,7 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", size: in
     leaders = block.filter(head).groupBy("column").agg(leader)
     shared = block.join(leaders, "column").filter("row <> leader.row").select("column", "row", "n", "i", "leader.m", "leader.j", F.col("leader.row").alias("leader"))
     shared = stored(shared.distinct(), "block")
+    discard_stored(made)
 
     # the bounds hold for the larger one as a; the overlap is counted with the leader as b, as few rows are leaders
     larger = shared.withColumns({"a": F.col("row"), "b": F.col("leader")}).filter(bounds(percent))
@@ -243,7 +245,8 @@ def overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     held = stored(incidence(docs, wanted, size), "incidence")
     own = wanted.select("row", F.col("first").alias("id"))
     if held.select("row", "id").join(own, ["row", "id"], "left_semi").count() > wanted.count() * (len(BLOCK_EDGES) - 1):
-        held = stored(held.dropDuplicates(["row", "id", "block"]), "incidence")  # rows of the table that repeat an id and its text
+        repeated, held = held, stored(held.dropDuplicates(["row", "id", "block"]), "incidence")  # rows of the table that repeat an id and its text
+        discard_stored(repeated)
     left = pairs.select("a", "b", "n", "m", F.lit(0).alias("common"), F.col("n").alias("rest_a"), F.col("m").alias("rest_b"))
     for side in "ab":
         left = left.join(wanted.select(F.col("row").alias(side), F.col("first").alias(f"id_{side}")), side)
@@ -256,4 +259,5 @@ def overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
             "a", "b", "n", "m", (F.col("common") + F.size(F.array_intersect("of_a", "of_b"))).alias("common"),
             (F.col("rest_a") - F.size("of_a")).alias("rest_a"), (F.col("rest_b") - F.size("of_b")).alias("rest_b"), "id_a", "id_b")
         left = stored(left.filter(f"{100 + percent}L * (common + least(rest_a, rest_b)) >= {percent}L * (n + m)"), "counted")
+    discard_stored(held)
     return left.select("a", "b")

@@ -36,6 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard_stored(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more: all that came of it is stored itself."""
+    for file in df.inputFiles()[:1]:
+        discard(df.sparkSession, file.rpartition("/")[0])
+
+
 @contextmanager
 def tracked(spark: SparkSession) -> Iterator[None]:
     """Remember what is stored meanwhile, and delete what the tracked call before this one stored.
@@ -44,8 +55,7 @@ def tracked(spark: SparkSession) -> Iterator[None]:
     """
     global _made
     for path in _done:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        discard(spark, path)
     _done.clear()
     _made = []
     try:
