@@ -21,18 +21,19 @@ repeat: rows are scored one by one. Further columns are ignored. Without trainin
 
 from __future__ import annotations
 
+import itertools
 import sys
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fichaflow.llm.storage import stored
+from fichaflow.llm.storage import discard_stored, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,6 +44,10 @@ TOLERANCE = 1e-4
 ADD, MIX, TRANSITION_PRIOR = 0.1, 0.7, 20.0
 #: Distinct words that a task counts before it passes them on.
 COUNTED_WORDS = 200_000
+#: Tokens whose neighbours a task counts at once; words that a sweep moves at once; counts below this have their logarithms in a table.
+COUNTED_TOKENS, SWEPT_ROWS, FEW = 1_000_000, 1024, 16
+#: In codes of neighbours, the classes after the word; in encoded texts, a word outside the table.
+AFTER, RARE = 128, 255
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -196,10 +201,15 @@ def exchange(pairs: np.ndarray, movable: int, classes: int = CLASSES, tolerance:
 
 @dataclass
 class ClassModel:
-    """cls: class of each symbol; context[class before, class]: log10 of the factor beside c(word) + ADD; whole: Z."""
+    """cls: class of each symbol; context[class before, class]: log10 of the factor beside c(word) + ADD; whole: Z.
+
+    units: how many words were units of their own; fixed[class, code]: counts of the classes beside them, as in neighbours().
+    """
 
     words: Vocabulary
     cls: np.ndarray
+    units: int
+    fixed: np.ndarray
     context: np.ndarray
     ends: int
     train_tokens: int
@@ -230,49 +240,292 @@ def learn(train: DataFrame) -> tuple[ClassModel, DataFrame]:
     for w, s in words.symbol.items():
         if s < words.clustered:
             distinct[cls[words.clustered + ending(w)]] -= 1
+    fixed = np.zeros((int(cls[end]), 256))
+    for unit in range(words.clustered):
+        np.add.at(fixed[cls[unit]], cls, pairs[:, unit])
+        np.add.at(fixed[cls[unit]], AFTER + cls, pairs[unit])
+    model = ClassModel(words, cls, words.clustered, fixed, table, ends, int(total["n"]) + ends, int(total["v"]) + (ends > 0))
+    return with_context(model, table, distinct), counts
+
+
+def with_context(model: ClassModel, table: np.ndarray, distinct: np.ndarray) -> ClassModel:
+    """The model for these counts of class pairs and of distinct words of each class."""
     n = table.sum(axis=0)
-    share = (n + ADD) / (n.sum() + ADD * width)
+    share = (n + ADD) / (n.sum() + ADD * len(n))
     move = (table + TRANSITION_PRIOR * share) / (table.sum(axis=1, keepdims=True) + TRANSITION_PRIOR)
-    model = ClassModel(words, cls, table, ends, int(total["n"]) + ends, int(total["v"]) + (ends > 0))
-    model.context = np.log10(MIX * move / (n + ADD * (distinct + 1)) + (1 - MIX) / model.whole)
-    return model, counts
+    return replace(model, context=np.log10(MIX * move / (n + ADD * (distinct + 1)) + (1 - MIX) / model.whole))
 
 
-SCORED = "id {id}, row long, n_tokens long, n_known long, head_score double, context_score double, rare array<struct<word:binary,n:int>>"
+def neighbours(train: DataFrame, model: ClassModel) -> DataFrame:
+    """(word, codes, amounts) of all training words that are no unit of their own: how often which class of units stands before
+    (code = class) and after (code = AFTER + class), in one byte and one int32 for each code of a piece of the texts."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, cls = shared.value.words, shared.value.cls.astype(np.int32)
+        end = words.symbols - 1
+        own: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)  # 0: units of their own, and the ends
+        ids, units = [0], [end]
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = tokens(text)
+                placed = words.of(found)
+                ids += [own[w] if u >= words.clustered else 0 for w, u in zip(found, placed)]
+                ids.append(0)
+                units += placed
+                units.append(end)
+            if len(ids) > COUNTED_TOKENS:
+                yield rows(own, ids, cls[units])
+                own.clear()
+                own.default_factory = itertools.count(1).__next__
+                ids, units = [0], [end]
+        yield rows(own, ids, cls[units])
+
+    def rows(own: dict[bytes, int], ids: list[int], classes: np.ndarray) -> pa.RecordBatch:
+        word = np.array(ids, np.int32)
+        at = np.flatnonzero(word)
+        pairs, n = np.unique(np.concatenate([word[at] << 8 | classes[at - 1], word[at] << 8 | AFTER + classes[at + 1]]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), *packed((pairs >> 8) - 1, pairs & 255, n, len(own))], names)
+
+    names = ["word", "codes", "amounts"]
+    found = train.select("text").mapInArrow(count, "word binary, codes binary, amounts binary")
+    return found.repartition("word").groupBy("word").agg(F.collect_list("codes").alias("codes"), F.collect_list("amounts").alias("amounts"))
+
+
+def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, amount) of a batch of words."""
+    codes, amounts = (batch.column(c).to_pylist() for c in ("codes", "amounts"))
+    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    return row, np.frombuffer(b"".join(codes), np.uint8).astype(int), np.frombuffer(b"".join(amounts), np.int32).astype(int)
+
+
+def packed(row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int) -> list[pa.Array]:
+    """Columns codes and amounts of counts that are sorted by their row."""
+    ends = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return [pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends * values.itemsize), pa.py_buffer(values)])
+            for values in (code.astype(np.uint8), n.astype(np.int32))]
+
+
+class Moves:
+    """The best class of a word while all others stay, by the classes of units beside it.
+
+    around[class, code]: counts beside all words of a class; those of the word are among them in the class that it has.
+    """
+
+    def __init__(self, around: np.ndarray):
+        self.around, self.total = around, around.sum(axis=1) / 2
+        self.now = xlogx(around)
+        self.few = np.stack([(xlogx(around + m) - self.now).T for m in range(FEW)])
+
+    def best(self, row: np.ndarray, code: np.ndarray, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Of words in the classes cls, with their counts sorted by the word's row."""
+        own, around = np.arange(len(cls)), self.around
+        of_word = np.bincount(row, weights=n * (code < AFTER), minlength=len(cls))
+        gain = -2 * (xlogx(self.total + of_word[:, None]) - xlogx(self.total))
+        gain[own, cls] = -2 * (xlogx(self.total[cls]) - xlogx(self.total[cls] - of_word))
+        added = self.few[np.minimum(n, FEW - 1), code]
+        many = n >= FEW
+        added[many] = xlogx(around.T[code[many]] + n[many, None]) - self.now.T[code[many]]
+        a = cls[row]
+        added[np.arange(len(row)), a] = self.now[a, code] - xlogx(around[a, code] - n)
+        gain += np.add.reduceat(added, np.searchsorted(row, own))
+        best = gain.argmax(axis=1)
+        return np.where(gain[own, best] > gain[own, cls] + 1e-9, best, cls)
+
+
+def around_likelihood(around: np.ndarray) -> float:
+    """Of the classes beside all words, given the words' classes, up to a constant."""
+    return float(xlogx(around).sum() - 2 * xlogx(around.sum(axis=1) / 2).sum())
+
+
+def place_words(train: DataFrame, model: ClassModel) -> tuple[ClassModel, DataFrame]:
+    """The model with an exchanged class of its own for every training word, its context not yet learnt, and (word, n, cls) of all
+    words that are no units.
+
+    Units keep the classes that they have. Every other word starts in the class of its ending, and is moved in sweeps to the class
+    that raises the likelihood of the units' classes beside it most. A sweep moves all words at once. Where that loses, as many words
+    made way for each other, it is not kept: the next one moves half as many, drawn anew, and after a gain twice as many. The last
+    sweep gains next to nothing for its share of the words, or would move less than one.
+    """
+    words, k, end = model.words, model.words.clustered, model.words.symbols - 1
+    fixed = model.fixed
+    size, start = len(fixed), model.cls[k:end]
+    names = ["word", "n", "codes", "amounts", "cls"]
+    schema = "word binary, n long, codes binary, amounts binary, cls short"
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, amounts = ([b"".join(c) for c in batch.column(name).to_pylist()] for name in ("codes", "amounts"))
+            row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            pairs, where = np.unique(row << 8 | np.frombuffer(b"".join(codes), np.uint8), return_inverse=True)
+            n = np.bincount(where, weights=np.frombuffer(b"".join(amounts), np.int32), minlength=len(pairs)).astype(int)
+            row, code = pairs >> 8, pairs & 255
+            total = np.bincount(row, weights=n * (code < AFTER), minlength=len(batch)).astype(int)
+            cls = start[[ending(w) for w in batch.column("word").to_pylist()]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(total), *packed(row, code, n, len(batch)), pa.array(cls, pa.int16())], names)
 
-def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of all texts."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size * 256)
+        for batch in batches:
+            row, code, n = counted(batch)
+            out += np.bincount(batch.column("cls").to_numpy()[row].astype(int) << 8 | code, weights=n, minlength=size * 256)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(int))], ["at", "n"])
+
+    def around_all(state: DataFrame) -> np.ndarray:
+        found = state.mapInArrow(sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out = fixed.copy()
+        out.reshape(-1)[found["at"].to_numpy()] += found["n"].to_numpy()
+        return out
+
+    def sweep(state: DataFrame, around: np.ndarray, share: float, turn: bytes) -> DataFrame:
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            moves = Moves(around)
+            for whole in batches:
+                for at in range(0, len(whole), SWEPT_ROWS):
+                    batch = whole.slice(at, SWEPT_ROWS)
+                    cls = batch.column("cls").to_numpy().astype(int)
+                    drawn = np.array([zlib.crc32(w + turn) < share * 2**32 for w in batch.column("word").to_pylist()])
+                    if drawn.any():
+                        cls[drawn] = moves.best(*counted(batch.filter(pa.array(drawn))), cls[drawn])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cls, pa.int16())], names)
+
+        return stored(state.mapInArrow(move, schema), "classes")
+
+    state = stored(neighbours(train, model).mapInArrow(begin, schema), "classes")
+    around, rows = around_all(state), state.count()
+    share, turn = 1.0, 0
+    while share * rows >= 1:
+        moved = sweep(state, around, share, turn.to_bytes(2, "big"))
+        after = around_all(moved)
+        before, now = around_likelihood(around), around_likelihood(after)
+        turn += 1
+        if now <= before:
+            discard_stored(moved)
+            share /= 2
+            continue
+        discard_stored(state)
+        state, around = moved, after
+        if now - before < TOLERANCE * share * abs(before):
+            break
+        share = min(1.0, 2 * share)
+
+    table = list(words.count)
+    alone = train.sparkSession.createDataFrame([(w,) for w in table[k:]], "word binary")
+    found = {bytes(r["word"]): r["cls"] for r in state.join(F.broadcast(alone), "word").select("word", "cls").collect()}
+    cls = np.concatenate([model.cls[:k], np.array([found[w] for w in table[k:]], int), model.cls[k:]])
+    own = Vocabulary({w: i for i, w in enumerate(table)}, words.count, len(table))
+    return replace(model, words=own, cls=cls), state.select("word", "n", "cls")
+
+
+def learn_context(filled: DataFrame, model: ClassModel, counts: DataFrame) -> ClassModel:
+    """The model with the transitions of the classes in training texts, from with_classes and place_words."""
+    end = int(model.cls[-1])
+    width = end + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(width * width, np.int64)
+        for batch in batches:
+            cls = np.frombuffer(bytes([end]) + b"".join(c + bytes([end]) for c in batch.column("classes").to_pylist()), np.uint8).astype(int)
+            out += np.bincount(cls[:-1] * width + cls[1:], minlength=width * width)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["at", "n"])
+
+    found = filled.select("classes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(width * width)
+    table[found["at"].to_numpy()] = found["n"].to_numpy()
+    distinct = np.bincount([*model.cls[:model.units], end], minlength=width).astype(float)
+    for row in counts.groupBy("cls").count().collect():
+        distinct[row["cls"]] += row["count"]
+    return with_context(model, table.reshape(width, width), distinct)
+
+
+ENCODED = "id {id}, row long, n_tokens long, n_known long, head_score double, classes binary, at binary, rare array<struct<word:binary,n:int>>"
+
+
+def encode(docs: DataFrame, model: ClassModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored texts as a byte of class for each word, RARE for those outside the table, which are listed once and by place."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        count, end = m.words.count, m.words.symbols - 1
-        weight = {w: float(np.log10(c + ADD)) for w, c in count.items()}
-        cls = m.cls
+        weight = {w: float(np.log10(c + ADD)) for w, c in m.words.count.items()}
+        cls = {w: int(m.cls[s]) for w, s in m.words.symbol.items()}
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
-                s = cls[np.array([end, *m.words.of(words), end], np.int64)]
                 rare = Counter(w for w in words if w not in weight)
+                place = {w: i for i, w in enumerate(rare)}
+                at = [place[w] for w in words if w not in weight] if rare else []
                 head = np.log10(m.ends + ADD) + sum(weight[w] for w in words if w in weight)
-                values = (len(words) + 1, len(words) - sum(rare.values()) + (m.ends > 0), head, float(m.context[s[:-1], s[1:]].sum()),
-                          [{"word": w, "n": n} for w, n in rare.items()])
+                values = (len(words) + 1, len(words) - len(at) + (m.ends > 0), head, bytes([cls.get(w, RARE) for w in words]),
+                          np.array(at, np.int32).tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
                 for col, v in zip(cols, values):
                     col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                ["id", "row", "n_tokens", "n_known", "head_score", "context_score", "rare"])
+                ["id", "row", "n_tokens", "n_known", "head_score", "classes", "at", "rare"])
+
+    return stored(docs.mapInArrow(write, ENCODED.format(id=docs.schema["id"].dataType.simpleString())), "parts")
+
 
-    parts = stored(docs.mapInArrow(score, SCORED.format(id=docs.schema["id"].dataType.simpleString())), "parts")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+FILLED = "id {id}, n_tokens long, n_known long, weight double, classes binary"
+
+
+def with_classes(parts: DataFrame, model: ClassModel, counts: DataFrame) -> DataFrame:
+    """(id, n_tokens, n_known, weight, classes) of encoded texts: rare words meet their counts and classes in a join."""
+    of_ending = F.element_at(F.lit([int(c) for c in model.cls[model.words.clustered:-1]]), (ending_column(F.col("word")) + 1).cast("int"))
+    cls = F.coalesce(F.col("cls").cast("int"), of_ending) if "cls" in counts.columns else of_ending
+    rare = parts.select("row", F.posexplode("rare").alias("place", "r")).select("row", "place", "r.word", F.col("r.n").alias("times"))
     met = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_score"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    weight = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.collect_list(F.col("place").cast("long") * 256 + cls).alias("places"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column("places")
+            ends, values = places.offsets.to_numpy(), places.values.to_numpy()
+            out = []
+            for i, (classes, at) in enumerate(zip(batch.column("classes").to_pylist(), batch.column("at").to_pylist())):
+                if at:
+                    known = values[ends[i]:ends[i + 1]]
+                    of_place = np.empty(len(known), np.uint8)
+                    of_place[known >> 8] = known & 255
+                    whole = np.frombuffer(classes, np.uint8).copy()
+                    whole[whole == RARE] = of_place[np.frombuffer(at, np.int32)]
+                    classes = whole.tobytes()
+                out.append(classes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["id", "n_tokens", "n_known", "weight", "classes"])
+
     return parts.drop("rare").join(met, "row", "left").select(
         "id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        (weight - F.col("n_tokens") * float(np.log10(model.whole))).alias("base_score"), (weight + F.col("context_score")).alias("score"))
+        (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("weight"), "classes", "at", "places",
+    ).mapInArrow(fill, FILLED.format(id=parts.schema["id"].dataType.simpleString()))
+
+
+def score_filled(filled: DataFrame, model: ClassModel) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) from with_classes."""
+    end, context = int(model.cls[-1]), model.context
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for classes in batch.column("classes").to_pylist():
+                s = np.frombuffer(bytes([end]) + classes + bytes([end]), np.uint8)
+                found.append(float(context[s[:-1], s[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.float64())], ["id", "n_tokens", "n_known", "weight", "context"])
+
+    schema = f"id {filled.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, weight double, context double"
+    return filled.mapInArrow(score, schema).select(
+        "id", "n_tokens", "n_known", (F.col("weight") - F.col("n_tokens") * float(np.log10(model.whole))).alias("base_score"),
+        (F.col("weight") + F.col("context")).alias("score"))
+
+
+def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of all texts; words whose counts have no class have that of their ending."""
+    return score_filled(with_classes(encode(docs, model, key, text), model, counts), model)
