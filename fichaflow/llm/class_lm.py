@@ -263,29 +263,28 @@ def neighbours(train: DataFrame, model: ClassModel) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cls = shared.value.words, shared.value.cls.astype(np.int32)
-        end = words.symbols - 1
-        own: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)  # 0: units of their own, and the ends
-        ids, units = [0], [end]
+        own: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)  # 0: the ends
+        ids = [0]
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = tokens(text)
-                placed = words.of(found)
-                ids += [own[w] if u >= words.clustered else 0 for w, u in zip(found, placed)]
+                ids += [own[w] for w in tokens(text)]
                 ids.append(0)
-                units += placed
-                units.append(end)
             if len(ids) > COUNTED_TOKENS:
-                yield rows(own, ids, cls[units])
+                yield rows(words, cls, list(own), np.array(ids, np.int32))
                 own.clear()
                 own.default_factory = itertools.count(1).__next__
-                ids, units = [0], [end]
-        yield rows(own, ids, cls[units])
-
-    def rows(own: dict[bytes, int], ids: list[int], classes: np.ndarray) -> pa.RecordBatch:
-        word = np.array(ids, np.int32)
-        at = np.flatnonzero(word)
-        pairs, n = np.unique(np.concatenate([word[at] << 8 | classes[at - 1], word[at] << 8 | AFTER + classes[at + 1]]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), *packed((pairs >> 8) - 1, pairs & 255, n, len(own))], names)
+                ids = [0]
+        yield rows(words, cls, list(own), np.array(ids, np.int32))
+
+    def rows(words: Vocabulary, cls: np.ndarray, own: list[bytes], ids: np.ndarray) -> pa.RecordBatch:
+        unit = np.array([words.symbols - 1, *words.of(own)], np.int32)
+        alone = (unit >= words.clustered) & (unit < words.symbols - 1)
+        place, classes = (np.cumsum(alone) - 1).astype(np.int32), cls[unit][ids]
+        at = np.flatnonzero(alone[ids])
+        word = place[ids[at]] << 8
+        pairs, n = np.unique(np.concatenate([word | classes[at - 1], word | AFTER + classes[at + 1]]), return_counts=True)
+        listed = [own[i - 1] for i in np.flatnonzero(alone)]
+        return pa.RecordBatch.from_arrays([pa.array(listed, pa.binary()), *packed(pairs >> 8, pairs & 255, n, len(listed))], names)
 
     names = ["word", "codes", "amounts"]
     found = train.select("text").mapInArrow(count, "word binary, codes binary, amounts binary")
@@ -321,7 +320,8 @@ class Moves:
         """Of words in the classes cls, with their counts sorted by the word's row."""
         own, around = np.arange(len(cls)), self.around
         of_word = np.bincount(row, weights=n * (code < AFTER), minlength=len(cls))
-        gain = -2 * (xlogx(self.total + of_word[:, None]) - xlogx(self.total))
+        amounts, where = np.unique(of_word, return_inverse=True)
+        gain = -2 * (xlogx(self.total + amounts[:, None]) - xlogx(self.total))[where]
         gain[own, cls] = -2 * (xlogx(self.total[cls]) - xlogx(self.total[cls] - of_word))
         added = self.few[np.minimum(n, FEW - 1), code]
         many = n >= FEW
@@ -386,7 +386,9 @@ def place_words(train: DataFrame, model: ClassModel) -> tuple[ClassModel, DataFr
                 for at in range(0, len(whole), SWEPT_ROWS):
                     batch = whole.slice(at, SWEPT_ROWS)
                     cls = batch.column("cls").to_numpy().astype(int)
-                    drawn = np.array([zlib.crc32(w + turn) < share * 2**32 for w in batch.column("word").to_pylist()])
+                    drawn = np.ones(len(cls), bool)
+                    if share < 1:
+                        drawn[:] = [zlib.crc32(w + turn) < share * 2**32 for w in batch.column("word").to_pylist()]
                     if drawn.any():
                         cls[drawn] = moves.best(*counted(batch.filter(pa.array(drawn))), cls[drawn])
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cls, pa.int16())], names)
@@ -451,18 +453,21 @@ def encode(docs: DataFrame, model: ClassModel, key: str = "doc_id", text: str =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        weight = {w: float(np.log10(c + ADD)) for w, c in m.words.count.items()}
-        cls = {w: int(m.cls[s]) for w, s in m.words.symbol.items()}
+        table = list(m.words.count)
+        places = dict(zip(table, itertools.count()))
+        weight = np.log10(np.array([*m.words.count.values(), 0]) + ADD)  # the last place, -1, is that of rare words
+        cls = np.array([*(m.cls[m.words.symbol[w]] for w in table), RARE], np.uint8)
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
-                rare = Counter(w for w in words if w not in weight)
-                place = {w: i for i, w in enumerate(rare)}
-                at = [place[w] for w in words if w not in weight] if rare else []
-                head = np.log10(m.ends + ADD) + sum(weight[w] for w in words if w in weight)
-                values = (len(words) + 1, len(words) - len(at) + (m.ends > 0), head, bytes([cls.get(w, RARE) for w in words]),
-                          np.array(at, np.int32).tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
+                place = np.array([places.get(w, -1) for w in words], int)
+                met = [words[i] for i in np.flatnonzero(place < 0)]
+                rare = Counter(met)
+                listed = dict(zip(rare, itertools.count()))
+                head = np.log10(m.ends + ADD) + weight[place[place >= 0]].sum()
+                values = (len(words) + 1, len(words) - len(met) + (m.ends > 0), float(head), cls[place].tobytes(),
+                          np.array([listed[w] for w in met], np.int32).tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
                 for col, v in zip(cols, values):
                     col.append(v)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
