@@ -4,13 +4,13 @@ P(word | before) = (c(word) + 0.1) * (MIX * P(class | class before) / Z(class) +
 emission, mixed with the smoothed unigram. Z are the sums of all c + 0.1 of a class or of the vocabulary, one unknown word
 included, so each part is a distribution. Class transitions are smoothed towards the classes' own frequencies.
 
-What is learnt, over all training documents: counts of all tokens, and counts of pairs of units. A unit is one of the CLUSTERED most
-frequent words, or all other words of one ending: ENDINGS groups by the last three bytes. All units are clustered into CLASSES by
-exchange: each in turn moves to the class that raises the likelihood of the pairs most, until a sweep gains next to nothing. So
-every word of the training texts is in an exchanged class, with words of its ending where it is too rare to be placed alone; a word
-not seen in training gets the class of its ending. The end of a text is a class of its own. The pair table has
-(CLUSTERED + ENDINGS + 1)**2 entries at most; units for all words would need the counts of all pairs of words, about as many rows as
-there are tokens.
+What is learnt, over all training documents: counts of all tokens, and a class for every word by exchange, in two steps. learn()
+counts pairs of units: one of the CLUSTERED most frequent words, or all other words of one ending (ENDINGS groups by the last three
+bytes). Each unit in turn moves to the class that raises the likelihood of the pairs most, until a sweep gains next to nothing; the
+pair table has (CLUSTERED + ENDINGS + 1)**2 entries at most. place_words() then exchanges every other word alone, in sweeps over a
+table of all words: the words beside it count by the classes of their units, which stay, so no counts of all word pairs are needed,
+which are about as many rows as tokens. Transitions come from the classes that all words have in the end. Only words not seen in
+training get the class of their ending. The end of a text is a class of its own.
 
 Counts of at most HEAD frequent words go to all tasks as a table. All rarer words of a text meet theirs in a join, each once per
 text, so no word is left out and the vocabulary may have any size.
