@@ -24,12 +24,14 @@ from __future__ import annotations
 import itertools
 import sys
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,8 +46,10 @@ TOLERANCE = 1e-4
 ADD, MIX, TRANSITION_PRIOR = 0.1, 0.7, 20.0
 #: Distinct words that a task counts before it passes them on.
 COUNTED_WORDS = 200_000
-#: Tokens whose neighbours a task counts at once; words that a sweep moves at once; counts below this have their logarithms in a table.
-COUNTED_TOKENS, SWEPT_ROWS, FEW = 1_000_000, 1024, 16
+#: Tokens whose neighbours or pairs a task counts at once; words that a sweep moves at once; counts below this have their logarithms in a table.
+COUNTED_TOKENS, SWEPT_ROWS, FEW = 2_000_000, 1024, 16
+#: Words of several Arrow batches that a task takes together, so that those with the same neighbours are moved once.
+TOGETHER = 16_384
 #: In codes of neighbours, the classes after the word; in encoded texts, a word outside the table.
 AFTER, RARE = 128, 255
 
@@ -55,6 +59,23 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Distinct words, and numbers from 1 for the words of all texts in their order, with 0 before, between and after the texts; cut
+    after about COUNTED_TOKENS."""
+    own: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
+    ids = array("i", [0])
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            ids.extend(map(own.__getitem__, tokens(text)))
+            ids.append(0)
+            if len(ids) > COUNTED_TOKENS:
+                yield list(own), np.array(ids)
+                own.clear()
+                own.default_factory = itertools.count(1).__next__
+                ids = array("i", [0])
+    yield list(own), np.array(ids)
+
+
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
@@ -128,13 +149,10 @@ def count_pairs(train: DataFrame, words: Vocabulary) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        for batch in batches:
-            flat = [size - 1]
-            for text in batch.column(0).to_pylist():
-                flat += shared.value.of(tokens(text))
-                flat.append(size - 1)
-            s = np.array(flat, np.int64)
-            total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
+        for own, ids in numbered(batches):
+            unit = np.array([size - 1, *shared.value.of(own)], np.int32)[ids]
+            pairs, n = np.unique(unit[:-1] * size + unit[1:], return_counts=True)
+            total[pairs] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -258,23 +276,14 @@ def with_context(model: ClassModel, table: np.ndarray, distinct: np.ndarray) ->
 
 def neighbours(train: DataFrame, model: ClassModel) -> DataFrame:
     """(word, codes, amounts) of all training words that are no unit of their own: how often which class of units stands before
-    (code = class) and after (code = AFTER + class), in one byte and one int32 for each code of a piece of the texts."""
+    (code = class) and after (code = AFTER + class), in one byte and one int32 for each code. A word has a row for each piece of the
+    texts; all of them are in one partition, one after the other."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cls = shared.value.words, shared.value.cls.astype(np.int32)
-        own: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)  # 0: the ends
-        ids = [0]
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids += [own[w] for w in tokens(text)]
-                ids.append(0)
-            if len(ids) > COUNTED_TOKENS:
-                yield rows(words, cls, list(own), np.array(ids, np.int32))
-                own.clear()
-                own.default_factory = itertools.count(1).__next__
-                ids = [0]
-        yield rows(words, cls, list(own), np.array(ids, np.int32))
+        for own, ids in numbered(batches):
+            yield rows(words, cls, own, ids)
 
     def rows(words: Vocabulary, cls: np.ndarray, own: list[bytes], ids: np.ndarray) -> pa.RecordBatch:
         unit = np.array([words.symbols - 1, *words.of(own)], np.int32)
@@ -288,14 +297,60 @@ def neighbours(train: DataFrame, model: ClassModel) -> DataFrame:
 
     names = ["word", "codes", "amounts"]
     found = train.select("text").mapInArrow(count, "word binary, codes binary, amounts binary")
-    return found.repartition("word").groupBy("word").agg(F.collect_list("codes").alias("codes"), F.collect_list("amounts").alias("amounts"))
+    return found.repartition("word").sortWithinPartitions("word")
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of TOGETHER rows or more, the last one but not empty."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= TOGETHER:
+            yield pa.concat_batches(held)
+            held = []
+    if any(map(len, held)):
+        yield pa.concat_batches(held)
+
+
+def joined(values: pa.Array, kind: type) -> np.ndarray:
+    """All values of a binary column, one after the other."""
+    return np.frombuffer(b"".join(values.to_pylist()), kind)
 
 
 def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, amount) of a batch of words."""
-    codes, amounts = (batch.column(c).to_pylist() for c in ("codes", "amounts"))
-    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    return row, np.frombuffer(b"".join(codes), np.uint8).astype(int), np.frombuffer(b"".join(amounts), np.int32).astype(int)
+    codes = batch.column("codes")
+    row = np.repeat(np.arange(len(batch)), pc.binary_length(codes).to_numpy())
+    return row, joined(codes, np.uint8).astype(int), joined(batch.column("amounts"), np.int32).astype(int)
+
+
+def added_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row (word, codes, amounts), by code, for each word of rows in which those of a word follow each other."""
+    word = batch.column("word")
+    new = np.ones(len(word), bool)
+    new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+    row, code, n = counted(batch)
+    row = (np.cumsum(new) - 1)[row]
+    rows, found = int(new.sum()), []
+    for low in range(0, rows, SWEPT_ROWS):
+        high = min(low + SWEPT_ROWS, rows)
+        a, b = np.searchsorted(row, (low, high))
+        total = np.bincount(row[a:b] - low << 8 | code[a:b], weights=n[a:b], minlength=(high - low) * 256).astype(np.int64)
+        at = np.flatnonzero(total)
+        found.append((at + (low << 8), total[at]))
+    at, total = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([word.filter(pa.array(new)), *packed(at >> 8, at & 255, total, rows)], ["word", "codes", "amounts"])
+
+
+def alike(batch: pa.RecordBatch, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first rows of all that have the same neighbours and class, and to which of these each row belongs."""
+    ends = pa.py_buffer(np.arange(len(cls) + 1, dtype=np.int32))
+    own = pa.Array.from_buffers(pa.binary(), len(cls), [None, ends, pa.py_buffer(cls.astype(np.uint8))])
+    # five bytes for each neighbour, and one
+    number = pc.binary_join_element_wise(batch.column("codes"), batch.column("amounts"), own, b"").dictionary_encode().indices.to_numpy()
+    first = np.zeros(number.max() + 1, int)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return first, number
 
 
 def packed(row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int) -> list[pa.Array]:
@@ -354,27 +409,31 @@ def place_words(train: DataFrame, model: ClassModel) -> tuple[ClassModel, DataFr
     schema = "word binary, n long, codes binary, amounts binary, cls short"
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, amounts = ([b"".join(c) for c in batch.column(name).to_pylist()] for name in ("codes", "amounts"))
-            row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-            pairs, where = np.unique(row << 8 | np.frombuffer(b"".join(codes), np.uint8), return_inverse=True)
-            n = np.bincount(where, weights=np.frombuffer(b"".join(amounts), np.int32), minlength=len(pairs)).astype(int)
-            row, code = pairs >> 8, pairs & 255
-            total = np.bincount(row, weights=n * (code < AFTER), minlength=len(batch)).astype(int)
-            cls = start[[ending(w) for w in batch.column("word").to_pylist()]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(total), *packed(row, code, n, len(batch)), pa.array(cls, pa.int16())], names)
+        last: list[pa.RecordBatch] = []  # the next batch may have more rows of its word
+        for batch in together(batches):
+            found = added_up(pa.concat_batches([*last, batch]))
+            last = [found.slice(len(found) - 1)]
+            yield placed(found.slice(0, len(found) - 1))
+        for found in last:
+            yield placed(found)
+
+    def placed(found: pa.RecordBatch) -> pa.RecordBatch:
+        row, code, n = counted(found)
+        total = np.bincount(row, weights=n * (code < AFTER), minlength=len(found)).astype(int)
+        cls = start[np.array([ending(w) for w in found.column("word").to_pylist()], int)]
+        return pa.RecordBatch.from_arrays(
+            [found.column("word"), pa.array(total), found.column("codes"), found.column("amounts"), pa.array(cls, pa.int16())], names)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size * 256)
-        for batch in batches:
+        for batch in together(batches):
             row, code, n = counted(batch)
             out += np.bincount(batch.column("cls").to_numpy()[row].astype(int) << 8 | code, weights=n, minlength=size * 256)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(int))], ["at", "n"])
 
     def around_all(state: DataFrame) -> np.ndarray:
-        found = state.mapInArrow(sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        found = state.select("codes", "amounts", "cls").mapInArrow(sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         out = fixed.copy()
         out.reshape(-1)[found["at"].to_numpy()] += found["n"].to_numpy()
         return out
@@ -382,16 +441,20 @@ def place_words(train: DataFrame, model: ClassModel) -> tuple[ClassModel, DataFr
     def sweep(state: DataFrame, around: np.ndarray, share: float, turn: bytes) -> DataFrame:
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             moves = Moves(around)
-            for whole in batches:
-                for at in range(0, len(whole), SWEPT_ROWS):
-                    batch = whole.slice(at, SWEPT_ROWS)
-                    cls = batch.column("cls").to_numpy().astype(int)
-                    drawn = np.ones(len(cls), bool)
-                    if share < 1:
-                        drawn[:] = [zlib.crc32(w + turn) < share * 2**32 for w in batch.column("word").to_pylist()]
-                    if drawn.any():
-                        cls[drawn] = moves.best(*counted(batch.filter(pa.array(drawn))), cls[drawn])
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cls, pa.int16())], names)
+            for batch in together(batches):
+                cls = batch.column("cls").to_numpy().astype(int)
+                drawn = np.ones(len(cls), bool)
+                if share < 1:
+                    drawn[:] = [zlib.crc32(w + turn) < share * 2**32 for w in batch.column("word").to_pylist()]
+                if drawn.any():
+                    cls[drawn] = best(moves, batch.select(["codes", "amounts"]).filter(pa.array(drawn)), cls[drawn])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cls, pa.int16())], names)
+
+        def best(moves: Moves, batch: pa.RecordBatch, cls: np.ndarray) -> np.ndarray:
+            first, number = alike(batch, cls)
+            parts, cls = batch.take(pa.array(first)), cls[first]
+            ends = range(0, len(first), SWEPT_ROWS)
+            return np.concatenate([moves.best(*counted(parts.slice(at, SWEPT_ROWS)), cls[at:at + SWEPT_ROWS]) for at in ends])[number]
 
         return stored(state.mapInArrow(move, schema), "classes")
 
@@ -458,7 +521,8 @@ def encode(docs: DataFrame, model: ClassModel, key: str = "doc_id", text: str =
         weight = np.log10(np.array([*m.words.count.values(), 0]) + ADD)  # the last place, -1, is that of rare words
         cls = np.array([*(m.cls[m.words.symbol[w]] for w in table), RARE], np.uint8)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
+            once, times, ends = [], [], [0]
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
                 place = np.array([places.get(w, -1) for w in words], int)
@@ -467,12 +531,17 @@ def encode(docs: DataFrame, model: ClassModel, key: str = "doc_id", text: str =
                 listed = dict(zip(rare, itertools.count()))
                 head = np.log10(m.ends + ADD) + weight[place[place >= 0]].sum()
                 values = (len(words) + 1, len(words) - len(met) + (m.ends > 0), float(head), cls[place].tobytes(),
-                          np.array([listed[w] for w in met], np.int32).tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
+                          np.array([listed[w] for w in met], np.int32).tobytes())
                 for col, v in zip(cols, values):
                     col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
+                once += rare
+                times += rare.values()
+                ends.append(len(once))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
+            words = pa.StructArray.from_arrays([pa.array(once, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
+                [batch.column("id"), batch.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds)),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)],
                 ["id", "row", "n_tokens", "n_known", "head_score", "classes", "at", "rare"])
 
     return stored(docs.mapInArrow(write, ENCODED.format(id=docs.schema["id"].dataType.simpleString())), "parts")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,37 @@ def test_placing_without_words_outside_the_units(spark):
         start, _ = class_lm.learn(texts)
         model, counts = class_lm.place_words(texts, start)
         assert counts.count() == 0 and (model.cls == start.cls).all() and model.words.symbol == start.words.symbol
+
+
+def test_rows_of_a_word_are_added_up_across_batches(spark, monkeypatch):
+    """However small the pieces of texts and batches are, each word has one row, and the same class."""
+    monkeypatch.setattr(class_lm, "CLUSTERED", 3)
+    monkeypatch.setattr(class_lm, "HEAD", 5)
+    monkeypatch.setattr(class_lm, "CLASSES", 3)
+    queries.prepared(spark)
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{min(int(rnd.expovariate(0.1)), 40)}" for _ in range(rnd.randrange(0, 30))) for _ in range(60)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    start, _ = class_lm.learn(train)
+    found = []
+    for together, tokens in ((1, 10), (2, 50), (16_384, 2_000_000)):
+        monkeypatch.setattr(class_lm, "TOGETHER", together)
+        monkeypatch.setattr(class_lm, "COUNTED_TOKENS", tokens)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(together))
+        rows = class_lm.place_words(train, start)[1].collect()
+        found.append({bytes(r.word).decode(): (r.n, r.cls) for r in rows})
+        assert len(rows) == len(found[-1])
+    queries.prepared(spark)
+    words = Counter(w for t in texts for w in t.split())
+    assert {w: n for w, (n, _) in found[0].items()} == {w: words[w] for w in found[0]} and len(found[0]) == len(words) - 3
+    assert found[0] == found[1] == found[2]
+
+
+def test_words_with_equal_neighbours_and_class_are_moved_once():
+    beside = [([1, 130], [1, 1]), ([1, 130], [1, 2]), ([2], [3]), ([1, 130], [1, 1])] * 500
+    columns = class_lm.packed(
+        np.repeat(np.arange(2000), [len(c) for c, _ in beside]), np.concatenate([c for c, _ in beside]), np.concatenate([n for _, n in beside]), 2000)
+    cls = np.arange(2000) // 1000
+    first, number = class_lm.alike(pa.RecordBatch.from_arrays(columns, ["codes", "amounts"]), cls)
+    assert first.tolist() == [0, 1, 2, 1000, 1001, 1002]
+    assert all(beside[i] == beside[first[k]] and cls[i] == cls[first[k]] for i, k in enumerate(number))
