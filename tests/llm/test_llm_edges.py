@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for each operator."""
 
+import itertools
 import random
 import re
 
@@ -341,3 +342,34 @@ def test_stages(spark, docs, tmp_path, benchmark):
         assert now.columns == docs.columns
     # documents 1, 2 and 7 leak item 5, as does the copy without an id, which has no group and no finding
     assert sorted((r.doc_id or 0, r.key) for r in now.collect()) == [(0, "extra key"), (6, "extra key")]
+
+
+def test_frequent_words_are_encoded_once_however_many_others_come(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY_WORDS", 20)
+    encoder = pieces.Encoder(pieces.Pieces.load(queries.PIECES_FILE))
+    done, encode = [], encoder.pieces.encode_words
+
+    def counted(words):
+        words = list(words)
+        done.extend(words)
+        return encode(words)
+
+    encoder.pieces.encode_words = counted
+    texts = [f"again word{k}x word{k}y word{k}z ▁" for k in range(60)]
+    found = [encoder.encode([t])[0].tolist() for t in texts]
+    assert done.count(" again") == 1 and len(done) == 182 and len(encoder.memory) + len(encoder.older) < 60
+    assert all(encoder.pieces.decode(ids) == t for ids, t in zip(found, texts))
+
+
+def test_best_paths_over_pieces_are_those_of_all_cuts():
+    scores = {"a": -1.0, "ab": -2.5, "b": -1.5, "abab": -4.0, "bab": -2.0, "c": -3.0, "bc": -4.5, "abc": -6.0, "cab": -5.0}
+    held = pieces.Pieces([*scores, *(f"<0x{b:02X}>" for b in range(256))], [*scores.values(), *[0.0] * 256], list(range(9, 265)))
+
+    def cuts(word):
+        return [()] if not word else [(word[:k], *rest) for k in range(1, len(word) + 1) if word[:k] in scores for rest in cuts(word[k:])]
+
+    words = [w for n in range(1, 7) for w in map("".join, itertools.product("abc", repeat=n))]
+    for word, ids in held.encode_words(words).items():
+        # among equal sums the last piece is the longer one, at each position
+        best = max(cuts(word), key=lambda cut: (sum(scores[p] for p in cut), [len(p) for p in reversed(cut)]))
+        assert ids == [list(scores).index(p) for p in best], word
